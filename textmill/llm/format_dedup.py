@@ -38,15 +38,23 @@ def normal_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(flat, r"(?<=[一-鿿]) (?=[一-鿿])", ""))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fields(text: Column, labels: tuple[str, ...] = FIELD_LABELS) -> Column:
     """Array of ``label\\x02value`` with no blanks in the values; an unlabelled text is one pair without label."""
     words = "|".join(x for x in labels if not _is_han(x))
     han = "|".join(x for x in labels if _is_han(x))
-    norm = normal_form(text)
-    marked = F.regexp_replace(norm, rf"(?<![^ ])({words})(?![^ ])|({han})", "\u0001$1$2\u0002")
-    labelled = norm.rlike(rf"^(?:(?:{words})(?![^ ])|(?:{han}))")
-    pieces = F.filter(F.split(F.when(labelled, marked).otherwise(F.concat(F.lit("\u0002"), norm)), "\u0001"), lambda x: F.length(x) > 0)
-    return F.transform(pieces, lambda x: F.replace(x, F.lit(" "), F.lit("")))
+
+    def split(norm: Column) -> Column:
+        marked = F.regexp_replace(norm, rf"(?<![^ ])({words})(?![^ ])|({han})", "\u0001$1$2\u0002")
+        labelled = norm.rlike(rf"^(?:(?:{words})(?![^ ])|(?:{han}))")
+        pieces = F.split(F.when(labelled, marked).otherwise(F.concat(F.lit("\u0002"), norm)), "\u0001")
+        return F.transform(F.filter(pieces, lambda x: F.length(x) > 0), lambda x: F.replace(x, F.lit(" "), F.lit("")))
+
+    return _let(normal_form(text), split)
 
 
 def fingerprint(pairs: Column) -> Column:
@@ -64,19 +72,21 @@ def _same_multiset(a: Column, b: Column) -> Column:
 def collapse_formatting(df: DataFrame, id_col: str = "id", text_col: str = "original_text", salts: int = 16) -> DataFrame:
     """One row per distinct id: ``id, class_id`` (smallest id of its class) and ``copies`` of the class.
 
-    The fingerprints alone are counted first, so texts are shuffled only for groups of two and
-    more. There the first record's pairs are copied to ``salts`` salts and members spread over
+    The fingerprints alone are counted first; texts are taken up again only for groups of two
+    and more. There the first record's pairs are copied to ``salts`` salts and members spread over
     them: a group with a third of all rows is compared in ``salts`` tasks.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull())
-    rows = rows.withColumn("p", fields(F.coalesce("t", F.lit("")))).drop("t")
-    rows = rows.withColumn("blank", F.forall("p", lambda x: x == "\u0002")).withColumn("fp", fingerprint(F.col("p")))
-    seen = rows.select("id", "fp", "blank")
-    groups = (
-        seen.where(~F.col("blank")).groupBy("fp").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-        .where("first_id < last_id")
-    )
-    members = rows.where(~F.col("blank")).join(groups.select("fp", "first_id"), "fp")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+
+    def summary(pairs: Column) -> Column:
+        blank = F.forall(pairs, lambda x: x == "\u0002")
+        return F.when(~blank, fingerprint(pairs))
+
+    seen = rows.select("id", _let(fields(F.col("t")), summary).alias("fp")).where("fp IS NOT NULL")
+    groups = seen.groupBy("fp").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
+    # only ids move here; the texts of groups of two and more are fetched and taken apart again
+    wanted = seen.join(groups.select("fp", "first_id"), "fp").select("id", "fp", "first_id").distinct()
+    members = rows.join(wanted, "id").withColumn("p", fields(F.col("t"))).drop("t")
     first = members.where("id = first_id").groupBy("fp").agg(F.first("p").alias("q"))
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     checked = (
