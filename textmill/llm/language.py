@@ -30,7 +30,7 @@ SAMPLE_DOCS = 300
 SAMPLE_CHARS = 4000
 #: Least words (or Han signs) and lead in bits of a sentence that stands on its own.
 LEAST_WORDS = 3
-LEAD_BITS = 18.0
+LEAD_BITS = 40.0
 
 #: Spellings of language labels.
 _ALIASES = {
@@ -44,7 +44,7 @@ _ALIASES = {
 _LABEL = {alias: lang for lang, names in _ALIASES.items() for alias in names}
 _NONE = ("", "unknown", "und", "n/a", "na", "none", "null", "-", "--", "?", "unk", "undefined", "other", "xx", "zxx", "mul", "nan", "not specified", "unspecified", "tbd", ".", "auto")
 
-_NOISE = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|https?://\S+|\S+\s?[@＠]\s?\S+(?:\s?\.\s?\w+)?|\w*\d\w*")
+_NOISE = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|https?://\S+|\S+\s?[@＠]\s?\S+(?:\s?\.\s?\w+)?|\S+\s?[\[(]at[\])]\s?\S+|\w*\d\w*")
 _SENTENCE = re.compile(r"[^.!?。！？…\n|]+[.!?。！？…\n|]*")
 
 
