@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.runtime import checkpoint
+
 #: Names of labelled fields, longest first where one holds another.
 FIELD_LABELS = (
     "pros", "cons", "comment", "liked", "disliked", "verdict",
@@ -35,7 +37,8 @@ def normal_form(text: Column) -> Column:
     flat = F.translate(F.regexp_replace(text, r"\\[nrt]", " "), _WIDE, _NARROW)
     flat = F.lower(F.upper(flat))
     flat = F.regexp_replace(flat, r"[^\p{L}\p{N}\p{M}]+", " ")
-    return F.trim(F.regexp_replace(flat, r"(?<=[一-鿿]) (?=[一-鿿])", ""))
+    han_joined = lambda x: F.when(x.rlike("[一-鿿]"), F.regexp_replace(x, r"(?<=[一-鿿]) (?=[一-鿿])", "")).otherwise(x)
+    return F.trim(_let(flat, han_joined))
 
 
 def _let(value: Column, use) -> Column:
@@ -82,11 +85,12 @@ def collapse_formatting(df: DataFrame, id_col: str = "id", text_col: str = "orig
         blank = F.forall(pairs, lambda x: x == "\u0002")
         return F.when(~blank, fingerprint(pairs))
 
-    seen = rows.select("id", _let(fields(F.col("t")), summary).alias("fp")).where("fp IS NOT NULL")
+    # stored, as it is read three times and costs a pass over all texts
+    seen = checkpoint(rows.select("id", _let(fields(F.col("t")), summary).alias("fp"))).where("fp IS NOT NULL")
     groups = seen.groupBy("fp").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
     # only ids move here; the texts of groups of two and more are fetched and taken apart again
     wanted = seen.join(groups.select("fp", "first_id"), "fp").select("id", "fp", "first_id").distinct()
-    members = rows.join(wanted, "id").withColumn("p", fields(F.col("t"))).drop("t")
+    members = checkpoint(rows.join(wanted, "id").withColumn("p", fields(F.col("t"))).drop("t"))
     first = members.where("id = first_id").groupBy("fp").agg(F.first("p").alias("q"))
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     checked = (
