@@ -44,7 +44,9 @@ _ALIASES = {
 _LABEL = {alias: lang for lang, names in _ALIASES.items() for alias in names}
 _NONE = ("", "unknown", "und", "n/a", "na", "none", "null", "-", "--", "?", "unk", "undefined", "other", "xx", "zxx", "mul", "nan", "not specified", "unspecified", "tbd", ".", "auto")
 
-_NOISE = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|https?://\S+|\S+\s?[@＠]\s?\S+(?:\s?\.\s?\w+)?|\S+\s?[\[(]at[\])]\s?\S+|\w*\d\w*")
+_NOISE = re.compile(
+    r"<[^<>]{0,200}>|&#?[0-9A-Za-z]{1,8};|https?://[!-~]+|[0-9A-Za-z_.+-]+\s?(?:[@＠]|[\[(]at[\])])\s?[0-9A-Za-z_-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[0-9A-Za-z_-]+)*|[^\W一-鿿]*\d[^\W一-鿿]*"
+)
 _SENTENCE = re.compile(r"[^.!?。！？…\n|]+[.!?。！？…\n|]*")
 
 

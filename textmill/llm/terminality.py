@@ -54,7 +54,7 @@ def flatten(text: str) -> str:
     return text
 
 
-_URL = re.compile(r"https?://\S+")
+_URL = re.compile(r"https?://[!-~]+")
 #: Words before a signature, which ends a text without an end mark.
 _SIGNED = re.compile(r"(?:(?:regards|sincerely|yours|cheers|best|thanks|с уважением|ваша?|saludos|grüße|grüßen|з повагою)\s*,\s*|(?:——|—|--)\s*)(?:(?:mrs?|ms|dr|prof)\b\.?\s*)?[^\W\d_][\w.'’-]*(?: [^\W\d_][\w.'’-]*){0,3}\s*$", re.I)
 
