@@ -81,7 +81,10 @@ class Tail:
         self.mark = mark[0] if mark else ""
         if mark:
             body = body[: mark.start()].rstrip()
-        parts = [x for x in _SPLIT.split(body) if x and x.strip()]
+        # the last sentence lies within the last signs unless no sentence ends there
+        parts = [x for x in _SPLIT.split(body[-500:]) if x and x.strip()]
+        if len(parts) < 2 and len(body) > 500:
+            parts = [x for x in _SPLIT.split(body) if x and x.strip()]
         self.sentence = parts[-1] if parts else ""
 
 
