@@ -67,9 +67,10 @@ class Tail:
     def __init__(self, text: str):
         flat = flatten(text)
         flat = flat.rstrip()
-        self.more = bool(_MORE.search(flat))
-        if self.more:
-            flat = _MORE.sub("", flat)
+        note = _MORE.search(flat, max(0, len(flat) - 40))
+        self.more = note is not None
+        if note:
+            flat = flat[: note.start()]
         self.broken = bool(_BROKEN.search(flat))
         if self.broken:
             flat = _BROKEN.sub("", flat)
