@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textmill.functions.bind import bind
 from textmill.functions.probs import argmax, normalize3
-from textmill.functions.text import _after as after_first
-from textmill.functions.text import before_first
+from textmill.functions.text import after_first, before_first
 from textmill.schemas import THOUGHT_CLOSE, THOUGHT_OPEN, TURN_END
 
 FLAT_JSON = r"(?s)\{[^{}]*\}"
@@ -36,40 +36,65 @@ def _last_piece(text: Column, marker: str) -> Column:
 
 def sentiment_channel(text: Column) -> Column:
     """Channel format: after the thought's end, else after its start, else before the turn's end, else anywhere."""
-    inner = after_first(text, THOUGHT_OPEN)
-    return _first_int(_sentiment(after_first(inner, THOUGHT_CLOSE)), _sentiment(inner), _sentiment(before_first(text, TURN_END)), _sentiment(text))
+
+    def read(text: Column) -> Column:
+        inner = after_first(text, THOUGHT_OPEN)
+        return _first_int(_sentiment(after_first(inner, THOUGHT_CLOSE)), _sentiment(inner), _sentiment(before_first(text, TURN_END)), _sentiment(text))
+
+    return bind(text, read)
 
 
 def sentiment_thinking(text: Column) -> Column:
     """Thinking format: after ``</thinking>``, else in the last ``und_b8`` piece, else anywhere."""
-    return _first_int(_sentiment(after_first(text, "</thinking>")), _sentiment(_last_piece(text, "und_b8")), _sentiment(text))
+
+    def read(text: Column) -> Column:
+        return _first_int(_sentiment(after_first(text, "</thinking>")), _sentiment(_last_piece(text, "und_b8")), _sentiment(text))
+
+    return bind(text, read)
 
 
 def sentiment_plain(text: Column) -> Column:
     """``Answer: n``, else ``sentiment: n``, else the last digit 0, 1 or 2 of the text."""
-    last = F.try_element_at(F.regexp_extract_all(text, F.lit("([0-2])"), F.lit(1)), F.lit(-1))
-    return _first_int(_match(text, r"Answer:\s*([0-2])"), _match(text, r"sentiment[:\s]+([0-2])"), last)
+
+    def read(text: Column) -> Column:
+        last = F.try_element_at(F.regexp_extract_all(text, F.lit("([0-2])"), F.lit(1)), F.lit(-1))
+        return _first_int(_match(text, r"Answer:\s*([0-2])"), _match(text, r"sentiment[:\s]+([0-2])"), last)
+
+    return bind(text, read)
 
 
 def sentiment_any(text: Column) -> Column:
     """``struct(label, format)``; the channel reader's last rung already takes all that the thinking reader can."""
-    a, b, c = sentiment_channel(text), sentiment_thinking(text), sentiment_plain(text)
-    label = F.when(a != -1, a).when(b != -1, b).otherwise(c)
-    kind = F.when(a != -1, "gemma4").when(b != -1, "qwen3").when(c != -1, "simple").otherwise("unknown")
-    return F.struct(label.alias("label"), kind.alias("format"))
+
+    def pick(three: Column) -> Column:
+        a, b, c = three["a"], three["b"], three["c"]
+        label = F.when(a != -1, a).when(b != -1, b).otherwise(c)
+        kind = F.when(a != -1, "gemma4").when(b != -1, "qwen3").when(c != -1, "simple").otherwise("unknown")
+        return F.struct(label.alias("label"), kind.alias("format"))
+
+    read = lambda t: F.struct(sentiment_channel(t).alias("a"), sentiment_thinking(t).alias("b"), sentiment_plain(t).alias("c"))
+    return bind(text, lambda t: bind(read(t), pick))
 
 
 def sentiment_model(text: Column) -> Column:
     """After ``</think>``, after ``</thinking>``, anywhere."""
-    return _first_int(_sentiment(after_first(text, "</think>")), _sentiment(after_first(text, "</thinking>")), _sentiment(text))
+
+    def read(text: Column) -> Column:
+        return _first_int(_sentiment(after_first(text, "</think>")), _sentiment(after_first(text, "</thinking>")), _sentiment(text))
+
+    return bind(text, read)
 
 
 def sentiment_batch(text: Column) -> Column:
     """Channel format, then as ``sentiment_model``."""
-    inner = after_first(text, THOUGHT_OPEN)
-    return _first_int(
-        _sentiment(after_first(inner, THOUGHT_CLOSE)), _sentiment(after_first(text, "</think>")), _sentiment(after_first(text, "</thinking>")), _sentiment(text)
-    )
+
+    def read(text: Column) -> Column:
+        inner = after_first(text, THOUGHT_OPEN)
+        return _first_int(
+            _sentiment(after_first(inner, THOUGHT_CLOSE)), _sentiment(after_first(text, "</think>")), _sentiment(after_first(text, "</thinking>")), _sentiment(text)
+        )
+
+    return bind(text, read)
 
 
 def first_json(text: Column, greedy: bool = True) -> Column:
@@ -113,12 +138,13 @@ def strip_thinking(text: Column) -> Column:
 
 def annotation(text: Column) -> Column:
     """``struct(probabilities, hard_label, confidence)`` of an annotator's reply; null where no object can be read."""
-    body = first_json(strip_thinking(text)["answer"])
-    value = lambda k: F.get_json_object(body, f"$.{k}").try_cast("double")
-    probs = normalize3(value("negative"), value("neutral"), value("positive"))
-    conf = F.coalesce(value("confidence"), F.array_max(probs))
-    parsed = F.struct(probs.alias("probabilities"), argmax(probs).alias("hard_label"), conf.alias("confidence"))
-    return F.when(F.try_parse_json(body).isNotNull(), parsed)
+
+    def of_body(body: Column) -> Column:
+        value = lambda k: F.get_json_object(body, f"$.{k}").try_cast("double")
+        of_probs = lambda p: F.struct(p.alias("probabilities"), argmax(p).alias("hard_label"), F.coalesce(value("confidence"), F.array_max(p)).alias("confidence"))
+        return F.when(F.try_parse_json(body).isNotNull(), bind(normalize3(value("negative"), value("neutral"), value("positive")), of_probs))
+
+    return bind(text, lambda t: bind(first_json(strip_thinking(t)["answer"]), of_body))
 
 
 def review_of_prompt(text: Column) -> Column:

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.schemas import STOPWORDS
 
@@ -15,7 +16,7 @@ EMAIL = r"\S+@\S+\.\S+"
 TAG = r"<[^>]+>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

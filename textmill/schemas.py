@@ -30,17 +30,17 @@ PROCESSED_RECORD = T.StructType(
         T.StructField("preprocessor_version", T.StringType()),
     ]
 )
-TRAINING_ROW = T.StructType.fromDDL(
+TRAINING_ROW = (
     "id string, text string, label int, hard_label int, soft_labels array<double>, cot string, rating int, confidence double, category string"
 )
-CONVERSATION_ROW = T.StructType.fromDDL(
+CONVERSATION_ROW = (
     "conversations array<struct<role:string,content:string>>, text string, label int, soft_labels array<double>, category string"
 )
-ANNOTATION_ROW = T.StructType.fromDDL(
+ANNOTATION_ROW = (
     "id string, split string, text string, probabilities array<double>, hard_label int, confidence double, model string"
 )
-INSTRUCTION_ROW = T.StructType.fromDDL("instruction string, input string, output string, soft_labels array<double>, confidence double")
-PREDICTION_ROW = T.StructType.fromDDL("id string, predicted_label int, ground_truth_label int")
+INSTRUCTION_ROW = ("instruction string, input string, output string, soft_labels array<double>, confidence double")
+PREDICTION_ROW = ("id string, predicted_label int, ground_truth_label int")
 
 # ---- fixed values: they must equal those of the data's producers -----------------------------
 

@@ -20,16 +20,16 @@ LAYOUTS = {
 }
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON array, or JSON lines if the name ends in ``.jsonl``; bad lines become null rows and are dropped."""
     lines = path.endswith(".jsonl")
     df = spark.read.schema(schema).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
     return df.dropna(how="all")
 
 
-def read_wrapped(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
-    """Rows under the key ``data`` of one JSON object."""
-    df = spark.read.schema(T.StructType([T.StructField("data", T.ArrayType(item))])).option("multiLine", True).json(path)
+def read_wrapped(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """Rows under the key ``data`` of one JSON object; ``item`` is the DDL of a row."""
+    df = spark.read.schema(f"data array<struct<{item}>>").option("multiLine", True).json(path)
     return df.select(F.explode("data").alias("r")).select("r.*")
 
 
@@ -39,7 +39,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def read_splits(spark: SparkSession, folder: str, splits: list[str], schema: T.StructType) -> DataFrame:
+def read_splits(spark: SparkSession, folder: str, splits: list[str], schema: T.StructType | str) -> DataFrame:
     """``{split}.jsonl`` files with ``split``; each row's id is its split and its place by content hash."""
     parts = [read_json(spark, f"{folder}/{s}.jsonl", schema).withColumn("split", F.lit(s)) for s in splits]
     return reduce(DataFrame.unionByName, parts)

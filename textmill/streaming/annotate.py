@@ -17,7 +17,7 @@ def annotate(rows: DataFrame, scorer=stub_scorer) -> DataFrame:
     return replies.select("id", annotation(F.col("output")).alias("a")).where("a IS NOT NULL").select("id", "a.*")
 
 
-def run_annotation(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, scorer=stub_scorer) -> int:
+def run_annotation(spark: SparkSession, source: str, schema: T.StructType | str, out: str, checkpoint: str, scorer=stub_scorer) -> int:
     """Annotate all rows of ``source`` that ``out`` lacks, in micro-batches; returns the rows of ``out``.
 
     Each batch is written under its own number, so a batch that is replayed after a failure
@@ -35,7 +35,7 @@ def run_annotation(spark: SparkSession, source: str, schema: T.StructType, out:
     return _stored(spark, out).count()
 
 
-STORED = T.StructType.fromDDL("id string, probabilities array<double>, hard_label int, confidence double, batch int")
+STORED = ("id string, probabilities array<double>, hard_label int, confidence double, batch int")
 
 
 def _stored(spark: SparkSession, out: str) -> DataFrame:
