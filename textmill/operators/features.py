@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.runtime import checkpoint
+
 
 def sklearn_tokens(text: Column) -> Column:
     """Lower-case words of two signs and more."""
@@ -21,7 +23,8 @@ def with_bigrams(tokens: Column) -> Column:
 def vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     """``word, word_id``: distinct words in order, numbered from 0 without a global sort."""
     words = df.select(F.explode(tokens).alias("word")).distinct()
-    ranged = words.repartitionByRange("word").withColumn("_p", F.spark_partition_id())
+    # stored, as a second run of the range exchange may draw other bounds
+    ranged = checkpoint(words.repartitionByRange("word").withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     place = F.col("_s") + F.row_number().over(Window.partitionBy("_p").orderBy("word")) - 1

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.runtime import checkpoint
+
 CLASSES = (0, 1, 2)
 
 
@@ -25,7 +27,8 @@ def positional_join(truth: DataFrame, predicted: DataFrame, order: list[str]) ->
 
 
 def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # stored, as a second run of the range exchange may draw other bounds
+    ranged = checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

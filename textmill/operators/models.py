@@ -17,10 +17,10 @@ def as_vector(values: Column) -> Column:
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Rows with weight n / (k n_c); the table of classes is small and broadcast."""
+    """Rows with weight n / (k n_c); the table of classes is joined as its size allows."""
     n = df.groupBy(label).agg(F.count("*").alias("_c"))
     w = n.withColumn("weight", F.sum("_c").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("_c"))).drop("_c")
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def fit_linear_svm(df: DataFrame, features: str = "features", label: str = "label", rounds: int = 20, c: float = 1.0):

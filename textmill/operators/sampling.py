@@ -24,33 +24,39 @@ def small_batch(df: DataFrame, size: int, order: list[Column], label: str = "lab
     base, rest = divmod(size, 3)
     quota = F.when(F.col(label) == 0, base + (rest > 0)).when(F.col(label) == 1, base + (rest > 1)).when(F.col(label) == 2, base)
     ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return ranked.where(F.col("rn") <= quota)
+    # the fixed bound lets each task drop what no class can keep before the shuffle
+    return ranked.where(F.col("rn") <= base + 1).where(F.col("rn") <= quota)
 
 
-def stratified_split(df: DataFrame, label: str, order: list[Column], train: float = 0.8, val: float = 0.1) -> DataFrame:
+def hash_rank(df: DataFrame, key: Column, group: Column, seed: int = 42) -> DataFrame:
+    """Rows with ``_rn``, the rank in the seeded shuffle of their group, and ``_n``, the group's size.
+
+    No task sorts a group: rows are counted per leading three signs of the hash (4096 values) and
+    ranked inside those alone.
+    """
+    rows = df.withColumn("_h", shuffle_key(key, seed)).withColumn("_g", group).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy("_g", "_b").agg(F.count("*").alias("_c"))
+    by_group = Window.partitionBy("_g")
+    before = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_g").alias("_g2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"), F.sum("_c").over(by_group).alias("_n"))
+    joined = rows.join(starts, rows["_g"].eqNullSafe(starts["_g2"]) & (rows["_b"] == starts["_b2"]))
+    place = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h"))
+    return joined.withColumn("_rn", F.col("_s") + place).drop("_h", "_g", "_b", "_g2", "_b2", "_s")
+
+
+def stratified_split(df: DataFrame, label: str, key: Column, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """Rows with ``split``: each class is cut by exact rank at the shares."""
-    w = Window.partitionBy(label)
-    ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+    ranked = hash_rank(df, key, F.col(label), seed)
     split = F.when(F.col("_rn") <= F.floor(F.col("_n") * train), "train").when(F.col("_rn") <= F.floor(F.col("_n") * (train + val)), "val").otherwise("test")
     return ranked.withColumn("split", split).drop("_rn", "_n")
 
 
 def cut_split(df: DataFrame, key: Column, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """Rows with ``split`` by exact rank in a seeded global shuffle.
-
-    The rank is found without a global sort: rows are counted per leading byte of the hash, and
-    ranked inside one byte's rows.
-    """
-    h = shuffle_key(key, seed)
-    rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_c"))
-    starts = counts.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    whole = counts.agg(F.sum("_c").alias("_all"))
-    # at most 4096 rows of counts and one total
-    placed = rows.join(F.broadcast(starts), "_b").join(F.broadcast(whole)).withColumn("_r", F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy("_h")))
-    a, b = F.floor(F.col("_all") * train), F.floor(F.col("_all") * val)
-    split = F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "val").otherwise("test")
-    return placed.withColumn("split", split).drop("_h", "_b", "_s", "_r", "_all")
+    """Rows with ``split`` by exact rank in a seeded global shuffle."""
+    ranked = hash_rank(df, key, F.lit(0), seed)
+    a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
+    split = F.when(F.col("_rn") <= a, "train").when(F.col("_rn") <= a + b, "val").otherwise("test")
+    return ranked.withColumn("split", split).drop("_rn", "_n")
 
 
 def curriculum(df: DataFrame, key: Column, sizes: list[int], seed: int = 42) -> DataFrame:

@@ -29,7 +29,7 @@ def mixture_scores(words: DataFrame, counts: DataFrame, sizes: DataFrame, vocabu
     cluster by a broadcast of that fixed table; the word counts join on cluster and word.
     """
     eps = 1e-10
-    pairs = words.join(F.broadcast(sizes))
+    pairs = words.withColumn("_k", F.lit(1)).join(F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k").drop("_k")
     rows = pairs.join(counts, ["cluster", "word"], "left")
     term = F.log((F.coalesce("n", F.lit(0)) + beta) / (F.col("tokens") + vocabulary * beta) + eps)
     got = rows.groupBy("doc", "cluster").agg(F.sum(F.col("c") * term).alias("ll"), F.first("docs").alias("docs"))

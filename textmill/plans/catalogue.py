@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textmill.functions import parse, probs, records, text
 from textmill.operators import chat, features, metrics, models, quality, sampling, topics
 from textmill.plans import views
-from textmill.runtime import table
+from textmill.runtime import prefix_sum, table
 from textmill.schemas import SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE, STOPWORDS, STOPWORDS_EN
 from textmill.sources import readers, sinks
 
@@ -366,7 +366,7 @@ def _(s, d):
     "SELECT id, label, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n * (0.8::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r",
 )
 def _(s, d):
-    return sampling.stratified_split(_labelled(s, d), "label", [sampling.shuffle_key(F.col("id"))]).select("id", "label", "split")
+    return sampling.stratified_split(_labelled(s, d), "label", F.col("id")).select("id", "label", "split")
 
 
 @query(
@@ -670,10 +670,9 @@ def _(s, d):
     "y AS (SELECT event_type, floor((place - 1) / 16)::BIGINT AS batch, count(*) AS k, round(sum(value), 4) AS batch_ms FROM x GROUP BY 1, 2) SELECT event_type, batch, batch_ms FROM y WHERE k = 16",
 )
 def _(s, d):
-    from pyspark.sql.window import Window
-
-    rows = table(s, d, "events").withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")))
-    return metrics.full_batches(rows, F.col("place"), 16, F.col("value"), "event_type")
+    # ids rise with time, so ranges of them are the buckets of the running count
+    rows = prefix_sum(table(s, d, "events"), ["event_type"], F.floor(F.col("event_id") / 4096).cast("long"), [F.col("event_id")], F.lit(1.0), "before")
+    return metrics.full_batches(rows, F.col("before") + 1, 16, F.col("value"), "event_type")
 
 
 @query("q_epoch_means", "SELECT date_trunc('day', ts)::DATE AS epoch, round(avg(value), 6) AS loss, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
