@@ -45,7 +45,7 @@ _LABEL = {alias: lang for lang, names in _ALIASES.items() for alias in names}
 _NONE = ("", "unknown", "und", "n/a", "na", "none", "null", "-", "--", "?", "unk", "undefined", "other", "xx", "zxx", "mul", "nan", "not specified", "unspecified", "tbd", ".", "auto")
 
 _NOISE = re.compile(
-    r"<[^<>]{0,200}>|&#?[0-9A-Za-z]{1,8};|https?://[!-~]+|[0-9A-Za-z_.+-]+\s?(?:[@＠]|[\[(]at[\])])\s?[0-9A-Za-z_-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[0-9A-Za-z_-]+)*|[^\W一-鿿]*\d[^\W一-鿿]*"
+    r"<[^<>]{0,200}>|&#?[0-9A-Za-z]{1,8};|https?://[!-~]+|[0-9A-Za-z_.+-]{1,64}\s?(?:[@＠]|[\[(]at[\])])\s?[0-9A-Za-z_-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[0-9A-Za-z_-]+)*|[^\W一-鿿]{0,80}\d[^\W一-鿿]*"
 )
 _SENTENCE = re.compile(r"[^.!?。！？…\n|]+[.!?。！？…\n|]*")
 
@@ -103,9 +103,13 @@ def segments(scorer: Scorer, text: str) -> list[tuple[int, int, str, float]]:
 def fit_counts(docs: DataFrame) -> dict[str, dict[str, int]]:
     """Word counts per language of the bounded sample of ``docs(doc_id, text, lang)``."""
     labelled = docs.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # a hash range holds the candidates down to a few per cent before the window where a language has many
-    rows = labelled.select("lang", "text", "doc_id").withColumn("r", F.row_number().over(pick)).where(F.col("r") <= SAMPLE_DOCS).select("lang", "text").collect()
+    # six counts thin a large language by hash before anything is ranked
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    keep = F.lit(False)
+    for lang, n in sizes.items():
+        keep = F.when(F.col("lang") == lang, F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (2 * SAMPLE_DOCS)))) == 0).otherwise(keep)
+    pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
+    rows = labelled.where(keep).select("lang", "text", "doc_id").withColumn("r", F.row_number().over(pick)).where(F.col("r") <= SAMPLE_DOCS).select("lang", "text").collect()
     counts: dict[str, Counter] = {}
     for row in rows:
         counts.setdefault(row["lang"], Counter()).update(words(row["text"]))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.runtime import checkpoint
+
 #: Cyrillic and Greek letters and the Latin letters they look like.
 _CYRILLIC = "аеорсухіјѕԁһԛԝѵӏАВЕКМНОРСТУХІЈЅԌԚԜҮ"
 _CYRILLIC_AS = "aeopcyxijsdhqwvlABEKMHOPCTYXIJSGQWY"
@@ -123,14 +125,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     their ids are expanded last, as the asked columns name documents.
     """
     rows = normalize_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("id IS NOT NULL AND raw IS NOT NULL")
-    keyed = rows.select("id", F.sha2("form", 256).alias("look"), F.sha2("raw", 256).alias("stored")).distinct()
-    mixed = keyed.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo < hi").select("look")
-    members = keyed.join(mixed, "look")
-    a, b = members.alias("a"), members.alias("b")
-    return (
-        a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.stored") != F.col("b.stored")))
-        .select(F.col("a.id").alias("doc_id_a"), F.col("b.id").alias("doc_id_b")).distinct()
-    )
+    keyed = checkpoint(rows.select("id", F.md5("form").alias("look"), F.md5("raw").alias("stored")).distinct())
+    spellings = keyed.groupBy("look", "stored").agg(F.lit(1).alias("one"))
+    mixed = spellings.groupBy("look").agg(F.count("stored").alias("k")).where("k > 1").select("look")
+    spellings = spellings.join(mixed, "look").select("look", "stored")
+    a, b = spellings.select("look", F.col("stored").alias("sa")), spellings.select("look", F.col("stored").alias("sb"))
+    pairs = a.join(b, "look").where("sa < sb")
+    ids = keyed.select("stored", "id")
+    both = pairs.join(ids.select(F.col("stored").alias("sa"), F.col("id").alias("ia")), "sa").join(ids.select(F.col("stored").alias("sb"), F.col("id").alias("ib")), "sb")
+    return both.where("ia <> ib").select(F.least("ia", "ib").alias("doc_id_a"), F.greatest("ia", "ib").alias("doc_id_b")).distinct()
 
 
 def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

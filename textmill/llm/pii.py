@@ -89,8 +89,8 @@ def tax_12(digits: str) -> bool:
 
 _AT = r"(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?)"
 _DOT = r"(?:\s?\.\s?|\s?[\[(]\s?dot\s?[\])]\s?)"
-_EMAIL = re.compile(rf"[a-z0-9][a-z0-9._%+'-]*{_AT}[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9][a-z0-9-]*)*?{_DOT}[a-z]{{2,12}}(?![a-z0-9@])", re.I)
-_SPELT = re.compile(r"[a-z0-9][a-z0-9._%+'-]*\s(?:at|собака|эт)\s[a-z0-9][a-z0-9-]*(?:\s(?:dot|точка)\s[a-z0-9-]+)*\s(?:dot|точка)\s[a-z]{2,12}(?![a-z0-9])", re.I)
+_EMAIL = re.compile(rf"[a-z0-9][a-z0-9._%+'-]{{0,63}}{_AT}[a-z0-9][a-z0-9-]{{0,62}}(?:{_DOT}[a-z0-9][a-z0-9-]{{0,62}}){{0,6}}?{_DOT}[a-z]{{2,12}}(?![a-z0-9@])", re.I)
+_SPELT = re.compile(r"[a-z0-9][a-z0-9._%+'-]{0,63}\s(?:at|собака|эт)\s[a-z0-9][a-z0-9-]{0,62}(?:\s(?:dot|точка)\s[a-z0-9-]{1,63}){0,6}\s(?:dot|точка)\s[a-z]{2,12}(?![a-z0-9])", re.I)
 
 # ---- numbers ---------------------------------------------------------------------------------
 
@@ -212,8 +212,8 @@ def _number_score(raw: str, digits: str, before: str, after: str) -> tuple[str |
 
 _STREET_EN = r"(?:street|str|avenue|ave|road|rd|lane|ln|boulevard|blvd|drive|dr|court|ct|place|pl|square|sq|terrace|way|close|crescent|parkway|pkwy|row|hill|grove|gardens)"
 _ADDRESS_LATIN = re.compile(
-    rf"(?:(?:flat|apt\.?|apartment|unit|suite)\s?\d+\w?,?\s)?(?<![\w-])\d{{1,5}}[a-z]?,?\s(?:(?:north|south|east|west|n\.|s\.|e\.|w\.)\s)?[a-z][\w'’-]*(?:\s[a-z][\w'’-]*){{0,2}}?\s{_STREET_EN}\b\.?(?:,?\s(?:apt\.?|apartment|unit|suite|flat|floor|#)\s?\d+\w?)?"
-    r"|\b[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer)\s\d{1,4}[a-z]?\b"
+    rf"(?:(?:flat|apt\.?|apartment|unit|suite)\s?\d+\w?,?\s)?(?<![\w-])\d{{1,5}}[a-z]?,?\s(?:(?:north|south|east|west|n\.|s\.|e\.|w\.)\s)?[a-z][\w'’-]{{0,40}}(?:\s[a-z][\w'’-]{{0,40}}){{0,2}}?\s{_STREET_EN}\b\.?(?:,?\s(?:apt\.?|apartment|unit|suite|flat|floor|#)\s?\d+\w?)?"
+    r"|\b[A-ZÄÖÜ][\wäöüß-]{0,40}(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer)\s\d{1,4}[a-z]?\b"
     r"|\b(?:calle|avenida|avda\.|paseo|plaza|camino)\s(?:de\s(?:la\s|los\s|las\s)?)?[\wáéíóúñ]+(?:\s[\wáéíóúñ]+)?,?\s(?:n[ºo.]\s?)?\d{1,4}\b",
     re.I,
 )

@@ -29,8 +29,8 @@ _SPLIT = re.compile(r"(?<=[.!?。！？…])(?:\s+|(?<=[。！？]))|\s\|\s|[\"
 _MORE = re.compile(r"[\s.…]*[\[(<]?\s*(?:read more|see more|show more|more|truncated|cut|continued?|ещё|еще|далее|читать далее|подробнее|обрезано|展开|全文|更多|查看更多|阅读全文|未完|截断)\s*[.…]*[\])>]\s*$|[\s.…]+(?:read more|see more|show more|читать далее|查看更多|阅读全文|展开全文)\s*[.…»>]*\s*$|(?:\.\.\.|…)\s*[\[(](?:\.\.\.|…)[\])]\s*$|\s\(more\s*$|\[(?:\.\.\.|…)\]\s*$", re.I)
 _TAG = re.compile(r"<[^<>]{0,200}>")
 #: signs that may follow a finished sentence: quotes, brackets, stars, pictographs and blanks
-_CLOSERS = re.compile(r"[\s\"'”’»«“„\]\[)(}{*~_#>|🀀-🫿☀-➿️‍–—]+$")
-_END = re.compile(r"[.!?。！？…]+$")
+_CLOSER = re.compile(r"[\s\"'”’»«“„\]\[)(}{*~_#>|🀀-🫿☀-➿️‍–—]")
+_ENDS = ".!?。！？…"
 _BROKEN = re.compile(r"(?:�+|<[a-zA-Z/][^<>]{0,60}|&[a-zA-Z#]\w{0,6})$")
 
 
@@ -59,6 +59,14 @@ _URL = re.compile(r"https?://[!-~]+")
 _SIGNED = re.compile(r"(?:(?:regards|sincerely|yours|cheers|best|thanks|с уважением|ваша?|saludos|grüße|grüßen|з повагою)\s*,\s*|(?:——|—|--)\s*)(?:(?:mrs?|ms|dr|prof)\b\.?\s*)?[^\W\d_][\w.'’-]*(?: [^\W\d_][\w.'’-]*){0,3}\s*$", re.I)
 
 
+def _without_closers(text: str) -> str:
+    """Walks back from the end, so a long run of blanks inside a text costs nothing."""
+    at = len(text)
+    while at and _CLOSER.match(text, at - 1):
+        at -= 1
+    return text[:at]
+
+
 class Tail:
     """Last sentence of a text and the signs after it."""
 
@@ -71,17 +79,17 @@ class Tail:
         self.more = note is not None
         if note:
             flat = flat[: note.start()]
-        self.broken = bool(_BROKEN.search(flat))
-        if self.broken:
-            flat = _BROKEN.sub("", flat)
-        body = _CLOSERS.sub("", flat)
+        torn = _BROKEN.search(flat, max(0, len(flat) - 80))
+        self.broken = torn is not None
+        if torn:
+            flat = flat[: torn.start()]
+        body = _without_closers(flat)
         self.signed = bool(_SIGNED.search(body[-90:]))
         self.dash = body.endswith("-")
         body = body.rstrip("-")
-        mark = _END.search(body)
-        self.mark = mark[0] if mark else ""
-        if mark:
-            body = body[: mark.start()].rstrip()
+        bare = body.rstrip(_ENDS)
+        self.mark = body[len(bare) :]
+        body = bare.rstrip()
         # the last sentence lies within the last signs unless no sentence ends there
         parts = [x for x in _SPLIT.split(body[-500:]) if x and x.strip()]
         if len(parts) < 2 and len(body) > 500:
@@ -122,7 +130,7 @@ def fit(texts: list[str], seed: int = 1, epochs: int = 4) -> Terminality:
     for text in texts:
         flat = flatten(text)
         parts = re.split(r"(?<=[.!?])(?=\s)|(?<=[。！？])|\n|\s\|\s", flat)
-        sentences.extend(p.strip() for p in parts if p and _END.search(p.strip()) and not p.strip().endswith(("...", "…")))
+        sentences.extend(p.strip() for p in parts if p and p.strip() and p.strip()[-1] in _ENDS and not p.strip().endswith(("...", "…")))
     rng.shuffle(sentences)
     sentences = sentences[:SAMPLE_SENTENCES]
     counts = Counter(w for s in sentences for w in set(tokens(s)))
@@ -132,7 +140,7 @@ def fit(texts: list[str], seed: int = 1, epochs: int = 4) -> Terminality:
     model = Terminality(known, prefixes, np.zeros(1 << BITS, np.float32), 0.0)
     rows, labels = [], []
     for s in sentences:
-        body = _END.sub("", s).strip()
+        body = s.rstrip(_ENDS).strip()
         whole = tokens(body)
         if len(whole) < 2:
             continue
