@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from textmill.llm import format_dedup, group_split, lookalikes
+
 #: module -> names of its queries
 _MODULES = {
     "truncation": ("p1_found", "p1_source_report"),
@@ -31,5 +33,43 @@ def queries() -> dict:
     return {name: _lazy(module, name) for module, names in _MODULES.items() for name in names}
 
 
+def _product_key(value: str) -> str:
+    wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    flat = f"lower(trim(translate({value}, {quote(wide)}, {quote(narrow)})))"
+    flat = f"regexp_replace({flat}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+    flat = f"regexp_replace({flat}, {quote(group_split.CODE_PREFIX)}, '')"
+    flat = f"regexp_replace({flat}, '^(\\d+)\\.0+$', '\\1')"
+    bare = f"upper(regexp_replace({flat}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+    return f"(CASE WHEN regexp_full_match({bare}, '[0-9]{{4,9}}') THEN lpad({bare}, 10, '0') ELSE {bare} END)"
+
+
+def _fields_key(text: str) -> str:
+    """The sorted fields of a text as one string; sorting is what the operator does without."""
+    wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    words = "|".join(x for x in format_dedup.FIELD_LABELS if x[0] < "一")
+    han = "|".join(x for x in format_dedup.FIELD_LABELS if x[0] >= "一")
+    flat = f"lower(upper(translate(regexp_replace({text}, '\\\\[nrt]', ' ', 'g'), {quote(wide)}, {quote(narrow)})))"
+    norm = f"trim(regexp_replace({flat}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
+    for _ in range(2):  # neighbours overlap, so a second pass joins the rest
+        norm = f"regexp_replace({norm}, '([一-鿿]) ([一-鿿])', '\\1\\2', 'g')"
+    spaced = f"(' ' || replace({norm}, ' ', '  ') || ' ')"
+    marked = f"regexp_replace(regexp_replace({spaced}, ' ({words}) ', '\x01\\1\x02', 'g'), '({han})', '\x01\\1\x02', 'g')"
+    pieces = f"list_filter(string_split(replace({marked}, ' ', ''), '\x01'), lambda x: len(x) > 0)"
+    labelled = f"regexp_matches({norm}, '^(?:(?:{words})(?: |$)|(?:{han}))')"
+    return f"CASE WHEN {labelled} THEN array_to_string(list_sort({pieces}), '\x01') ELSE nullif(replace({norm}, ' ', ''), '') END"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    skeleton, form = lookalikes.normalize_sql("raw")
+    skeletons = f"WITH d AS (SELECT DISTINCT doc_id AS id, text AS raw FROM documents), skeletons AS (SELECT id, raw, {skeleton} AS sk FROM d) "
+    groups = f"WITH g AS (SELECT DISTINCT id, {_fields_key('original_text')} AS k FROM raw_records WHERE id IS NOT NULL) "
+    return {
+        "p2_found": f"WITH v AS (SELECT DISTINCT product_id AS value, {_product_key('product_id')} AS k FROM raw_records WHERE product_id IS NOT NULL) "
+        "SELECT a.value AS product_id_a, b.value AS product_id_b FROM v a JOIN v b ON a.k = b.k AND a.value < b.value WHERE regexp_full_match(a.k, '[A-Z0-9]{10}')",
+        "p6_found": groups + "SELECT first_id, id FROM (SELECT id, min(id) OVER (PARTITION BY k) AS first_id FROM g WHERE k IS NOT NULL) WHERE id <> first_id",
+        "p6_collapsed": groups + "SELECT min(id) AS id, count(*) AS copies FROM g GROUP BY CASE WHEN k IS NULL THEN id END, k",
+        "p10_found": skeletons + "SELECT a.id AS doc_id_a, b.id AS doc_id_b FROM skeletons a JOIN skeletons b ON a.sk = b.sk AND a.id < b.id AND a.raw <> b.raw",
+        "p10_normalized": skeletons + f"SELECT id AS doc_id, form AS text, raw IS DISTINCT FROM form AS changed FROM ({form})",
+    }
