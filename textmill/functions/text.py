@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions.bind import bind
 from textmill.schemas import STOPWORDS
 
 URL = r"https?://(?:[-\w.])+(?:[:\d]+)?(?:/(?:[\w/_.])*(?:\?(?:[\w&=%.])*)?(?:#(?:[\w.])*)?)?"
@@ -28,9 +29,14 @@ def html_unescape(text: Column) -> Column:
 
 def strip_markup(text: Column) -> Column:
     """Links, e-mail addresses and tags become a blank; runs of white space one blank; ends trimmed."""
-    out = F.regexp_replace(text, f"(?iU){URL}", " ")
-    out = F.regexp_replace(out, f"(?U){EMAIL}", " ")
-    out = F.regexp_replace(out, TAG, " ")
+
+    def where(sign: str, pattern: str, value: Column) -> Column:
+        """The pattern runs only over texts that hold the sign every match needs."""
+        return bind(value, lambda t: F.when(t.contains(sign), F.regexp_replace(t, pattern, " ")).otherwise(t))
+
+    out = where("://", f"(?iU){URL}", text)
+    out = where("@", f"(?U){EMAIL}", out)
+    out = where("<", TAG, out)
     return F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
@@ -72,7 +78,7 @@ def stopwords(language: Column) -> Column:
 def clean_tokens(text: Column, language: Column, least: int = 2, remove_stopwords: bool = True) -> Column:
     """Tokens of ``least`` signs and more, without the language's stopwords."""
     found = F.filter(tokens_by_language(text, language), lambda x: F.length(x) >= least)
-    return _without(found, stopwords(language)) if remove_stopwords else found
+    return bind(stopwords(language), lambda stop: _without(found, stop)) if remove_stopwords else found
 
 
 def _without(found: Column, stop: Column) -> Column:
@@ -90,6 +96,17 @@ def tokens_topic(text: Column, least: int = 3) -> Column:
     return _without(words, F.array(*map(F.lit, dict.fromkeys(STOPWORDS["en"]))))
 
 
+def processed(text: Column, language: Column) -> Column:
+    """``struct(text_for_llm, text_for_nlp, word_count, char_count)``, each part computed once."""
+
+    def of_clean(clean: Column) -> Column:
+        of_tokens = lambda t: F.struct(F.array_join(t, " ").alias("nlp"), F.size(t).alias("n"))
+        of_parts = lambda x: F.struct(clean.alias("text_for_llm"), x["nlp"].alias("text_for_nlp"), x["n"].alias("word_count"), F.length(clean).alias("char_count"))
+        return bind(bind(clean_tokens(clean, language), of_tokens), of_parts)
+
+    return bind(clean_for_llm(text), of_clean)
+
+
 def word_count(tokens_text: Column) -> Column:
     return F.when(F.length(tokens_text) == 0, 0).otherwise(F.size(F.split(tokens_text, " ")))
 

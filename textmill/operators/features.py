@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.functions.bind import bind
 from textmill.runtime import checkpoint
 
 
@@ -15,9 +16,14 @@ def sklearn_tokens(text: Column) -> Column:
 
 
 def with_bigrams(tokens: Column) -> Column:
-    n = F.size(tokens)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1))))
-    return F.concat(tokens, F.coalesce(pairs, F.array().cast("array<string>")))
+    """Tokens, then each two neighbours joined by a blank."""
+
+    def add(words: Column) -> Column:
+        later = F.slice(words, F.lit(2), F.size(words))
+        earlier = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.concat(words, F.zip_with(earlier, later, lambda a, b: F.concat_ws(" ", a, b)))
+
+    return bind(tokens, add)
 
 
 def vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
@@ -61,17 +67,24 @@ def pad_to_batch(df: DataFrame, ids: str, batch: Column, pad: int = 0) -> DataFr
 
 def masked_labels(ids: Column, prefix: Column, limit: int = 512) -> Column:
     """-100 for the prompt's ``prefix`` ids, then the ids, cut at ``limit``."""
-    k = F.least(prefix, F.size(ids)).cast("int")
-    return F.slice(F.concat(F.array_repeat(F.lit(-100), k), F.slice(ids, k + 1, F.greatest(F.size(ids), F.lit(1)))), 1, limit)
+
+    def mask(x: Column) -> Column:
+        k = F.least(prefix, F.size(x)).cast("int")
+        return F.slice(F.concat(F.array_repeat(F.lit(-100), k), F.slice(x, k + 1, F.greatest(F.size(x), F.lit(1)))), 1, limit)
+
+    return bind(ids, mask)
 
 
 def fixed_length(ids: Column, length: int = 256, pad: int = 0) -> Column:
     """``struct(input_ids, attention_mask)`` cut and padded to one length."""
-    cut = F.slice(ids, 1, length)
-    return F.struct(
-        pad_right(cut, F.lit(length), pad).alias("input_ids"),
-        pad_right(F.transform(cut, lambda x: F.lit(1)), F.lit(length), 0).alias("attention_mask"),
-    )
+
+    def pad_both(cut: Column) -> Column:
+        return F.struct(
+            pad_right(cut, F.lit(length), pad).alias("input_ids"),
+            pad_right(F.transform(cut, lambda x: F.lit(1)), F.lit(length), 0).alias("attention_mask"),
+        )
+
+    return bind(F.slice(ids, 1, length), pad_both)
 
 
 def label_token_place(text: Column, needle: str, tokens: Column) -> Column:

@@ -7,14 +7,14 @@ brute force in ``tests``.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from textmill.functions import parse, probs, records, text
 from textmill.operators import chat, features, metrics, models, quality, sampling, topics
 from textmill.plans import views
-from textmill.runtime import prefix_sum, table
+from textmill.runtime import prefix_sum, shared_folder, table
 from textmill.schemas import SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE, STOPWORDS, STOPWORDS_EN
 from textmill.sources import readers, sinks
 
@@ -806,10 +806,8 @@ def _(s, d):
 
 @query("q_process_records")
 def _(s, d):  # PRJ-5, 6
-    df = table(s, d, "raw_records").withColumn("text_for_llm", text.clean_for_llm(F.col("original_text")))
-    df = df.withColumn("t", text.clean_tokens(F.col("text_for_llm"), F.col("language")))
-    n = F.size("t")
-    return df.select("id", "text_for_llm", F.array_join("t", " ").alias("text_for_nlp"), n.alias("word_count"), F.length("text_for_llm").alias("char_count"), records.length_category(n).alias("length_category"))
+    df = table(s, d, "raw_records").select("id", text.processed(F.col("original_text"), F.col("language")).alias("x"))
+    return df.select("id", "x.*", records.length_category(F.col("x.word_count")).alias("length_category"))
 
 
 _TOPIC = f"list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z\\s]', '', 'g')), '\\s+'), lambda w: len(w) >= 3 AND NOT list_contains({_words(STOPWORDS_EN)}, w))"
@@ -1026,8 +1024,8 @@ def _(s, d):  # STM-1, 6: the stream of the event file drained in one go
     from textmill.streaming.annotate import running_counts
 
     src = table(s, d, "events")
-    folder = tempfile.mkdtemp(prefix="textmill-stream-") if s.conf.get("spark.checkpoint.dir", None) is None else s.conf.get("spark.checkpoint.dir").rstrip("/") + f"/stream-{id(src)}"
-    name = f"counts_{id(src)}"
+    name = f"counts_{uuid.uuid4().hex}"
+    folder = shared_folder(s).rstrip("/") + f"/{name}"
     stream = running_counts(s.readStream.schema(src.schema).parquet(f"{d}/events.parquet*"), "event_type")
     run = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
     run.awaitTermination()
