@@ -54,6 +54,8 @@ def flatten(text: str) -> str:
     return text
 
 
+#: Words that stand for no text; they are not the rest of one.
+PLACEHOLDERS = frozenset(("n/a", "na", "null", "none", "nil", "nan", "tbd", "todo", "empty", "undefined", "нет", "пусто", "无", "空", "暂无"))
 _URL = re.compile(r"https?://[!-~]+")
 #: Words before a signature, which ends a text without an end mark.
 _SIGNED = re.compile(r"(?:(?:regards|sincerely|yours|cheers|best|thanks|с уважением|ваша?|saludos|grüße|grüßen|з повагою)\s*,\s*|(?:——|—|--)\s*)(?:(?:mrs?|ms|dr|prof)\b\.?\s*)?[^\W\d_][\w.'’-]*(?: [^\W\d_][\w.'’-]*){0,3}\s*$", re.I)
@@ -171,7 +173,7 @@ def fit(texts: list[str], seed: int = 1, epochs: int = 4) -> Terminality:
 
 def judge(model: Terminality, text: str) -> tuple[bool, float]:
     """Whether the text is cut, and the log-odds that it is complete."""
-    if not text.strip():
+    if not text.strip() or text.strip().casefold() in PLACEHOLDERS:
         return False, 0.0
     tail = Tail(text)
     words = tokens(tail.sentence)
