@@ -107,6 +107,12 @@ def processed(text: Column, language: Column) -> Column:
     return bind(clean_for_llm(text), of_clean)
 
 
+def tokens_classifier(text: Column, language: Column) -> Column:
+    """Tokens for linear models: English without stopwords and short words, Chinese signs, other languages lower-cased words."""
+    english = bind(stopwords(F.lit("en")), lambda stop: F.filter(tokens_english(text), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
+    return F.when(language == "en", english).when(language == "zh", tokens_chinese(text)).otherwise(tokens_blank(text))
+
+
 def word_count(tokens_text: Column) -> Column:
     return F.when(F.length(tokens_text) == 0, 0).otherwise(F.size(F.split(tokens_text, " ")))
 

@@ -132,3 +132,12 @@ def format_violations(df: DataFrame) -> DataFrame:
     }
     found = F.filter(F.array(*(F.when(test, name) for name, test in tests.items())), lambda x: x.isNotNull())
     return df.select("id", F.explode(found).alias("violation"))
+
+
+def train_prompt(text: Column) -> Column:
+    return F.concat(F.lit("Sentiment (0=neg,1=neu,2=pos):\n"), F.coalesce(text, F.lit("")), F.lit("\nAnswer:"))
+
+
+def fill_template(template: str, text: Column) -> Column:
+    """Puts the text in place of ``{text}``; other braces of the template stay as they are."""
+    return F.replace(F.lit(template), F.lit("{text}"), F.coalesce(text, F.lit("")))

@@ -78,3 +78,22 @@ def stub_scorer(texts: list[str]) -> list[str]:
 def best_of_grid(df: DataFrame, score: str, names: list[str]) -> DataFrame:
     """The row of the largest score; of equal ones the first by name."""
     return df.orderBy(F.desc(score), *names).limit(1)
+
+
+def time_batches(scorer: Callable[[list[str]], list[str]], texts: list[str], sizes: tuple[int, ...] = (1, 8, 16), warm: int = 2) -> list[tuple[int, int, float]]:
+    """``(batch size, batch number, milliseconds)`` of a scorer over full batches, after some warm-up calls."""
+    import time
+
+    for _ in range(warm):
+        scorer(texts[: sizes[0]])
+    out = []
+    for size in sizes:
+        for i in range(len(texts) // size):
+            began = time.perf_counter()
+            scorer(texts[i * size : (i + 1) * size])
+            out.append((size, i, (time.perf_counter() - began) * 1000))
+    return out
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)

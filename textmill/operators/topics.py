@@ -92,6 +92,22 @@ def coherence_umass(top: DataFrame, words: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.round(F.avg(F.log((F.coalesce("dd", F.lit(0)) + 1) / F.col("d"))), 6).alias("u_mass"))
 
 
+def coherence_npmi(top: DataFrame, words: DataFrame) -> DataFrame:
+    """``cluster, npmi``: mean normalised pointwise mutual information of the cluster's word pairs over documents."""
+    n_docs = words.select(F.countDistinct("doc").alias("n"))
+    listed = top.select("cluster", "word", "rank")
+    have = words.join(F.broadcast(listed.select("word").distinct()), "word").select("doc", "word").distinct()
+    single = have.groupBy("word").agg(F.count("*").alias("d"))
+    both = have.alias("x").join(have.alias("y"), "doc").where("x.word < y.word").select(F.col("x.word").alias("wa"), F.col("y.word").alias("wb")).groupBy("wa", "wb").agg(F.count("*").alias("dd"))
+    a = listed.select("cluster", F.col("word").alias("wa"))
+    b = listed.select("cluster", F.col("word").alias("wb"))
+    pairs = a.join(b, "cluster").where("wa < wb").join(both, ["wa", "wb"], "left")
+    pairs = pairs.join(single.select(F.col("word").alias("wa"), F.col("d").alias("da")), "wa").join(single.select(F.col("word").alias("wb"), F.col("d").alias("db")), "wb").join(F.broadcast(n_docs))
+    joint = F.col("dd") / F.col("n")
+    score = F.when(F.col("dd").isNull(), -1.0).when(joint == 1, 1.0).otherwise(F.log(joint * F.col("n") * F.col("n") / (F.col("da") * F.col("db"))) / -F.log(joint))
+    return pairs.groupBy("cluster").agg(F.round(F.avg(score), 6).alias("npmi"))
+
+
 def dominant_topic(distribution: Column) -> Column:
     """``struct(topic, prob)`` of the largest share; (-1, 0) for an empty or null distribution."""
     top = F.array_max(distribution)

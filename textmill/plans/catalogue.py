@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from textmill.functions import parse, probs, records, text
-from textmill.operators import chat, features, metrics, models, quality, sampling, topics
+from textmill.operators import chat, features, metrics, models, quality, reports, sampling, topics
 from textmill.plans import views
 from textmill.runtime import prefix_sum, shared_folder, table
 from textmill.schemas import SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE, STOPWORDS, STOPWORDS_EN
@@ -532,7 +532,12 @@ def _(s, d):
     return _replies(s, d).select("id", F.length(text.before_first(inner, "<channel|>")).cast("long").alias("n")).where("n IS NOT NULL")
 
 
-@query("q_rationale")
+@query(
+    "q_rationale",
+    _REPLY + f", x AS (SELECT id, output, {_ladder(_RUNGS_CHANNEL)} AS a, {_IN} AS inner_text, nullif(regexp_extract(output, '(?s)\\{{[^{{}}]*\\}}', 0), '') AS body FROM r) "
+    "SELECT id, coalesce(CASE WHEN a <> -1 AND contains(inner_text, '<channel|>') THEN regexp_replace(split_part(inner_text, '<channel|>', 1), '^\\s+|\\s+$', '', 'g') END, "
+    "CASE WHEN json_valid(body) THEN coalesce(nullif(json_extract_string(body, '$.rationale'), ''), json_extract_string(body, '$.reasoning')) END) AS rationale FROM x",
+)
 def _(s, d):
     return _replies(s, d).select("id", parse.rationale(F.col("output")).alias("rationale"))
 
@@ -1030,3 +1035,83 @@ def _(s, d):  # STM-1, 6: the stream of the event file drained in one go
     run = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
     run.awaitTermination()
     return s.table(name)
+
+
+# ---- reports and the rest of the inventory: RPT, AGG-32..35, WIN-4, JOIN-6, PRJ-12, 14, 18 -------
+
+
+@query(
+    "q_f1_grid",
+    _CLS + ", x AS (SELECT 'class_' || class AS metric, round(f, 4) AS v FROM m UNION ALL SELECT 'macro', round(sum(round(f, 4)) / 3, 4) FROM m) SELECT metric, v AS parsed, 1.0::DOUBLE AS perfect FROM x",
+)
+def _(s, d):  # RPT-1, AGG-32
+    perfect = views.predictions(s, d).select("label", F.col("label").alias("pred"))
+    return reports.f1_grid({"parsed": _parsed(s, d), "perfect": perfect})
+
+
+@query("q_label_share", "SELECT source AS route, sentiment_label AS label, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM raw_records GROUP BY 1, 2")
+def _(s, d):  # RPT-3
+    return reports.label_share(table(s, d, "raw_records"), F.col("sentiment_label"), F.col("source"))
+
+
+@query("q_target_check", _PARSED[:-2] + " SELECT round(avg((label = pred)::INT), 4) AS accuracy, round(round(avg((label = pred)::INT), 4) - 0.865, 4) AS over_baseline, round(avg((label = pred)::INT), 4) >= 0.875 AS target_met FROM pr")
+def _(s, d):  # RPT-5
+    return reports.target_check(metrics.summary(_parsed(s, d)))
+
+
+@query(
+    "q_quality_bundle",  # RPT-7
+    f"WITH x AS (SELECT (coalesce(nullif(list_position({_DEFAULT}, list_max({_DEFAULT})), 0) - 1, 2) <> {_LABEL})::INT AS bad, {_CONF} AS c, cot FROM train) "
+    "SELECT count(*) AS n, sum(bad)::BIGINT AS mismatches, count(*) FILTER (c < 0.6) AS low, count(*) FILTER (len(coalesce(cot, '')) = 0) AS missing_cot FROM x",
+)
+def _(s, d):
+    b = reports.quality_bundle(table(s, d, "train"))
+    return b.select("soft.n", "soft.mismatches", "confidence.low", "fields.missing_cot")
+
+
+@query("q_success_rate", _REPLY + f", p AS (SELECT {_ladder(_RUNGS_BATCH)} AS pred FROM r) SELECT count(*) AS n, count(*) FILTER (pred <> -1) AS succeeded, round(count(*) FILTER (pred <> -1) * 100.0::DOUBLE / count(*), 4) AS pct FROM p")
+def _(s, d):  # AGG-35
+    return reports.success_rate(_replies(s, d), parse.sentiment_batch(F.col("output")) != -1)
+
+
+@query("q_batches", "WITH x AS (SELECT DISTINCT id FROM train), y AS (SELECT (row_number() OVER (ORDER BY md5(concat(id, ':42'))) - 1) // 64 AS batch FROM x) SELECT batch, count(*) AS n FROM y GROUP BY 1")
+def _(s, d):  # WIN-4, SMP-5
+    ranked = sampling.hash_rank(table(s, d, "train").select("id").distinct(), F.col("id"), F.lit(0))
+    return ranked.groupBy(F.floor((F.col("_rn") - 1) / 64).alias("batch")).agg(F.count("*").alias("n"))
+
+
+@query("q_lookup", "SELECT id, CASE length_category WHEN 'short' THEN 0 WHEN 'medium' THEN 1 WHEN 'long' THEN 2 ELSE 9 END AS code FROM processed_records")
+def _(s, d):  # JOIN-6
+    return table(s, d, "processed_records").select("id", reports.lookup(F.col("length_category"), {"short": 0, "medium": 1, "long": 2}, 9).alias("code"))
+
+
+@query("q_train_prompt", "SELECT id, concat('Sentiment (0=neg,1=neu,2=pos):', chr(10), coalesce(text, ''), chr(10), 'Answer:') AS prompt, replace('{\"q\": \"{text}\"}', '{text}', coalesce(text, '')) AS filled FROM train")
+def _(s, d):  # PRJ-14, 18
+    return table(s, d, "train").select("id", chat.train_prompt(F.col("text")).alias("prompt"), chat.fill_template('{"q": "{text}"}', F.col("text")).alias("filled"))
+
+
+@query("q_shuffled_take", "SELECT id FROM (SELECT DISTINCT id FROM raw_records) ORDER BY md5(concat(id, ':42')) LIMIT 200")
+def _(s, d):  # SRC-2: the feature is a sample of n
+    return readers.shuffled_take(table(s, d, "raw_records").select("id").distinct(), 200)
+
+
+@query("q_truth_labels", "SELECT id, sentiment_label AS truth FROM raw_records WHERE sentiment_label IS NOT NULL")
+def _(s, d):  # SRC-10
+    return readers.truth_labels(table(s, d, "raw_records").select("id", "sentiment_label")).select("id", "truth")
+
+
+@query("q_split_rows", "SELECT id FROM soft_labels_reviewed WHERE split = 'val'")
+def _(s, d):  # SRC-15
+    return readers.of_split(table(s, d, "soft_labels_reviewed"), "val").select("id")
+
+
+@query("q_classifier_tokens", f"SELECT doc_id, len(list_filter({_TOK.format(c='text', p='^[a-z]+$')}, lambda w: len(w) > 2 AND NOT list_contains({_words(STOPWORDS_EN)}, w))) AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL")
+def _(s, d):  # STR-10, 11
+    df = table(s, d, "documents").where("lang = 'en' AND text IS NOT NULL")
+    return df.select("doc_id", F.size(text.tokens_classifier(F.col("text"), F.col("lang"))).cast("long").alias("n"))
+
+
+@query("q_coherence_npmi")
+def _(s, d):
+    words, assigned, size = _mixture(s, d)
+    return topics.coherence_npmi(topics.topic_words(topics.cluster_words(words, assigned), size), words)

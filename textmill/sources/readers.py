@@ -87,3 +87,39 @@ def distillation_rows(df: DataFrame) -> DataFrame:
     soft = default_soft(F.coalesce(*have("soft_label", "soft_labels")))
     text = F.coalesce(*(F.nullif(c, F.lit("")) for c in have("text", "input")), F.lit(""))
     return df.select(text.alias("text"), coalesce_label(df, ("label", "output")).alias("label"), soft.alias("soft_label"), F.array_max(soft).alias("confidence"))
+
+
+def shuffled_take(df: DataFrame, n: int, key: str = "id", seed: int = 42) -> DataFrame:
+    """``n`` rows of a seeded shuffle: a top-n, so each task keeps ``n`` rows at most."""
+    return df.orderBy(F.md5(F.concat(F.col(key), F.lit(f":{seed}")))).limit(n)
+
+
+def read_lines(spark: SparkSession, path: str, schema: str, n: int | None = None) -> DataFrame:
+    """JSON lines where ``n`` counts lines, bad ones included; bad lines are dropped after the cut."""
+    lines = spark.read.text(path)
+    lines = lines.limit(n) if n is not None else lines
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r IS NOT NULL").select("r.*").dropna(how="all")
+
+
+def truth_labels(df: DataFrame) -> DataFrame:
+    """Rows with ``truth``, the first of the label names there; rows with none are skipped."""
+    return df.withColumn("truth", coalesce_label(df)).where("truth IS NOT NULL")
+
+
+def of_split(df: DataFrame, split: str) -> DataFrame:
+    """Rows of one split; the filter reaches the scan, and prunes folders where they are split so."""
+    return df.where(F.col("split") == split)
+
+
+def labelled_text(df: DataFrame, original: bool = False) -> DataFrame:
+    """``text, label`` with the given label, or the cleaned one where the caller asks for it and it is there."""
+    name = "label" if original or "cleaned_label" not in df.columns else "cleaned_label"
+    return df.select("text", F.col(name).cast("int").alias("label"))
+
+
+def has_soft_labels(df: DataFrame) -> bool:
+    """Whether the first row carries soft labels; trainers fall back to hard ones otherwise."""
+    if "soft_labels" not in df.columns:
+        return False
+    row = df.select("soft_labels").head()
+    return row is not None and row["soft_labels"] is not None
