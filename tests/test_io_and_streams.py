@@ -47,6 +47,28 @@ def test_csv_label_goes_before_rating(spark):
     assert got == {"a": (0, 5), "b": (1, 3)}
 
 
+def test_split_files_get_ids(spark, tmp_path):
+    for split, texts in (("train", ["a", "b"]), ("val", ["a"])):
+        (tmp_path / f"{split}.jsonl").write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
+    rows = readers.read_splits(spark, str(tmp_path), ["train", "val"], "text string").collect()
+    assert len({r["id"] for r in rows}) == 3 and all(r["id"].startswith(r["split"] + "_") for r in rows)
+
+
+def test_line_limit_counts_bad_lines(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"id": "1"}\nbad\n{"id": "2"}\n{"id": "3"}\n')
+    assert [r["id"] for r in readers.read_lines(spark, str(tmp_path / "l.jsonl"), "id string", 3).collect()] == ["1", "2"]
+
+
+def test_alternative_names(spark):
+    df = spark.createDataFrame([("", "in", "2", [0.1, 0.2, 0.7]), ("t", None, "x", None)], "text string, input string, output string, soft_label array<double>")
+    got = [(r["text"], r["label"], round(r["confidence"], 2)) for r in readers.distillation_rows(df).collect()]
+    assert got == [("in", 2, 0.7), ("t", None, 0.34)]
+    assert readers.truth_labels(df).count() == 1
+    assert not readers.has_soft_labels(df)
+    clean = spark.createDataFrame([("t", 1, 2)], "text string, label int, cleaned_label int")
+    assert readers.labelled_text(clean).head()["label"] == 2 and readers.labelled_text(clean, True).head()["label"] == 1
+
+
 def test_split_folders(spark, tmp_path):
     df = spark.createDataFrame([("1", "train"), ("2", "odd"), ("3", None), ("4", "test")], "id string, split string")
     sinks.write_splits(df, str(tmp_path / "s"))

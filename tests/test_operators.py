@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import chat, features, metrics, models, quality, sampling, topics
+from textmill.operators import chat, features, metrics, models, quality, reports, sampling, topics
 
 GOLDEN = {
     "local_500": ([[157, 2, 0], [6, 190, 5], [0, 8, 132]], 0.958, 0.9586),
@@ -176,3 +176,52 @@ def test_scorer_failures_become_nulls(spark):
     df = spark.createDataFrame([("1", "a"), ("2", "bad")], "id string, text string").coalesce(1)
     got = {r["id"]: r["output"] for r in models.score_batches(df, scorer, batch=1).collect()}
     assert got == {"1": "A", "2": None}
+
+
+def test_report_texts(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "label int, pred int")
+    summary, per_class = metrics.summary(df), metrics.class_metrics(df)
+    assert json.loads(reports.json_array(summary))[0]["total_samples"] == 3
+    assert reports.markdown(summary).splitlines()[2] == "| 0.6667 | 0.5556 | 3 |"
+    assert "class 1: P 0.5000 R 1.0000" in reports.metrics_text(summary, per_class)
+    assert reports.target_check(summary).head()["target_met"] is False
+    assert reports.from_stored("{bad") == {}
+    grid = {r["metric"]: r["a"] for r in reports.f1_grid({"a": df}).collect()}
+    assert grid["class_0"] == 1.0 and grid["macro"] == 0.5556
+
+
+def test_coherence_of_words_that_always_meet(spark):
+    docs = [(i, "cat dog") for i in range(4)] + [(i, "nut bolt") for i in range(4, 8)]
+    words = topics.doc_words(spark.createDataFrame(docs, "d int, t string"), "d", F.split("t", " "))
+    top = spark.createDataFrame([(0, "cat", 0.5, 1), (0, "dog", 0.5, 2), (1, "cat", 0.5, 1), (1, "nut", 0.5, 2)], "cluster int, word string, prob double, rank int")
+    npmi = {r["cluster"]: r["npmi"] for r in topics.coherence_npmi(top, words).collect()}
+    mass = {r["cluster"]: r["u_mass"] for r in topics.coherence_umass(top, words).collect()}
+    assert npmi == {0: 1.0, 1: -1.0} and mass[0] > mass[1]
+
+
+def test_latency_harness():
+    rows = models.time_batches(models.stub_scorer, ["a"] * 20, (1, 8))
+    assert [(s, i) for s, i, _ in rows if s == 8] == [(8, 0), (8, 1)] and len(rows) == 22
+
+
+def test_grid_search_picks_the_smaller_penalty(spark):
+    rows = [(float(i % 2), [float(i % 2), float(i % 7) / 7]) for i in range(120)]
+    df = spark.createDataFrame(rows, "label double, v array<double>").select("label", models.as_vector(F.col("v")).alias("features"))
+    best = models.grid_search(df, [0.0, 50.0], 2)
+    assert best.avgMetrics[0] >= best.avgMetrics[1]
+
+
+def test_model_round_trip(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    rows = [(i, [float(i % 2), 1.0 - i % 2], [0.9, 0.1] if i % 2 else [0.2, 0.8]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, soft_labels array<double>").withColumn("features", models.as_vector(F.col("v")))
+    fit = models.fit_soft_labels(df)
+    models.save_model(fit, str(tmp_path / "m"))
+    assert LogisticRegressionModel.load(str(tmp_path / "m")).coefficientMatrix == fit.coefficientMatrix
+
+
+def test_lda_gives_each_document_a_topic(spark):
+    docs = [(i, "cat dog pet fur") for i in range(10)] + [(i, "bolt nut steel saw") for i in range(10, 20)]
+    _, rows = topics.lda(spark.createDataFrame(docs, "d int, t string"), "d", F.split("t", " "), 2, 10)
+    assert rows.count() == 20

@@ -40,9 +40,13 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def read_splits(spark: SparkSession, folder: str, splits: list[str], schema: T.StructType | str) -> DataFrame:
-    """``{split}.jsonl`` files with ``split``; each row's id is its split and its place by content hash."""
+    """``{split}.jsonl`` files with ``split`` and ``id``, the split's name and a hash of the row.
+
+    A hash stands where a line number would: lines have no order once a file is read in parts.
+    """
     parts = [read_json(spark, f"{folder}/{s}.jsonl", schema).withColumn("split", F.lit(s)) for s in splits]
-    return reduce(DataFrame.unionByName, parts)
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("id", F.concat_ws("_", "split", F.md5(F.to_json(F.struct(*every.columns)))))
 
 
 def project(df: DataFrame, layout: str, language: str, source: str) -> DataFrame:
