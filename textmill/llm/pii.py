@@ -246,7 +246,6 @@ _NAME_RU = r"(?:[а-яё]\.\s?(?:[а-яё]\.\s?)?[а-яё][а-яё-]+|[а-яё][
 _PERSON_RU = re.compile(
     rf"(?:с уважением,|меня зовут|зовут меня|менеджер(?:а|у|ом)?|получател[ья](?:ница)?:?|курьер по имени|спросите|на имя|консультант|оператор|продавец по имени|ваша?,|подпись:|фио:?|имя:?)\s+(?P<n>{_NAME_RU})", re.I
 )
-_NAME_ZH = r"[一-鿿]{2,3}"
 _PERSON_ZH = re.compile(
     r"收件人(?:是|：|:)?\s?(?P<a>[一-鿿]{2,4}?)(?=那天|不在|，|。|,|\s|没|的|电话|$)"
     r"|我(?:叫|的名字(?:是|叫)|是收件人)\s?(?P<b>[一-鿿]{2,4}?)(?=，|。|,|\.|\s|、|！|!|已|$)"
