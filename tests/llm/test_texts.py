@@ -248,3 +248,24 @@ def test_overlap_recall_against_brute_force(spark, tables):
     assert len(got & want) / len(want) >= 0.98 and len(got - want) <= 2
     report = overlap.p7_report(spark, folder).agg(F.sum("records").alias("r"), F.sum("pairs").alias("p")).head()
     assert report["r"] == 170 and abs(report["p"] - len(want)) <= 3
+
+
+@pytest.mark.parametrize("block", [1500, 20])
+def test_crowds_of_near_copies_are_compared_in_full(spark, tables, monkeypatch, block):
+    """Far more variants of one text than a digest may have holders, beside texts that share only a long opening."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    rng = random.Random(13)
+    vocab = [f"word{i}" for i in range(500)]
+    base = [rng.choice(vocab) for _ in range(80)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for at in rng.sample(range(80), 3):
+            text[at] = rng.choice(vocab)
+        rows.append((f"v{i:03}", "train" if i % 3 else "val", " ".join(text)))
+    for i in range(80):
+        rows.append((f"o{i:03}", "train" if i % 2 else "test", " ".join(base[:40] + [rng.choice(vocab) for _ in range(40)])))
+    folder = tables(soft_labels_reviewed=[(*r, None, 1, 0.9, "m", 1, True) for r in rows])
+    got = {tuple(r) for r in overlap.p7_found(spark, folder).collect()}
+    want = {tuple(sorted((a[0], b[0]))) for a in rows[:150] for b in rows[:150] if a[1] == "train" and b[1] == "val"}
+    assert len(want & got) >= 0.99 * len(want) and not any(x.startswith("o") for pair in got for x in pair)
