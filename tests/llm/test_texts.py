@@ -269,3 +269,20 @@ def test_crowds_of_near_copies_are_compared_in_full(spark, tables, monkeypatch,
     got = {tuple(r) for r in overlap.p7_found(spark, folder).collect()}
     want = {tuple(sorted((a[0], b[0]))) for a in rows[:150] for b in rows[:150] if a[1] == "train" and b[1] == "val"}
     assert len(want & got) >= 0.99 * len(want) and not any(x.startswith("o") for pair in got for x in pair)
+
+
+@pytest.mark.parametrize("count,size,edits", [(400, 20, 1)])
+def test_crowds_of_short_texts_and_of_spread_edits_lose_no_pair(spark, tables, count, size, edits):
+    rng = random.Random(13)
+    vocab = [f"word{i}" for i in range(500)]
+    base = [rng.choice(vocab) for _ in range(size)]
+    rows = []
+    for i in range(count):
+        text = list(base)
+        for at in rng.sample(range(size), edits):
+            text[at] = rng.choice(vocab)
+        rows.append((f"v{i:03}", "val" if i % 10 == 0 else "train", " ".join(text)))
+    folder = tables(soft_labels_reviewed=[(*r, None, 1, 0.9, "m", 1, True) for r in rows])
+    got = {tuple(r) for r in overlap.p7_found(spark, folder).collect()}
+    want = {tuple(sorted((a[0], b[0]))) for a in rows for b in rows if a[1] == "train" and b[1] == "val"}
+    assert len(want & got) >= 0.99 * len(want)
