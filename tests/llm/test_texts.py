@@ -271,7 +271,7 @@ def test_crowds_of_near_copies_are_compared_in_full(spark, tables, monkeypatch,
     assert len(want & got) >= 0.99 * len(want) and not any(x.startswith("o") for pair in got for x in pair)
 
 
-@pytest.mark.parametrize("count,size,edits", [(400, 20, 1)])
+@pytest.mark.parametrize("count,size,edits", [(400, 20, 1), (150, 80, 8), (400, 50, 5)])
 def test_crowds_of_short_texts_and_of_spread_edits_lose_no_pair(spark, tables, count, size, edits):
     rng = random.Random(13)
     vocab = [f"word{i}" for i in range(500)]
