@@ -170,6 +170,28 @@ def test_source_report(spark, tables, sf_dir):
     assert rows[("raw_records", "amazon_hf")]["records"] == len(base) and rows[("train", None)]["cut_records"] == 0
 
 
+def test_every_longer_copy_of_a_bucket_is_met(spark, tables, sf_dir):
+    """A longer near-copy with a long lead-in stands in the same buckets; equal word counts and texts that could end there are aligned."""
+    base = spark.read.parquet(f"{sf_dir}/raw_records.parquet").where("original_text IS NOT NULL").select("id", "original_text").dropDuplicates(["id"]).collect()
+    full = "We took the grey kettle along on every trip this summer and used it daily in the van, my brother said that the battery works great for hours and then dies."
+    lead = "UPD after two long weeks of use at home: "
+    cases = {"full": full, "lead": lead + full + " So it goes with all of them.", "cut": full[: full.index(" for hours")], "word": full[:-3]}
+    folder = tables([raw(r["id"], r["original_text"]) for r in base] + [raw(f"case-{k}", v) for k, v in cases.items()])
+    got = {r["id"] for r in truncation.p1_found(spark, folder).collect()}
+    assert {f"case-{k}" for k in cases} & got == {"case-cut", "case-word"}
+
+
+@pytest.mark.parametrize("block", [1500, 3])
+def test_buckets_are_met_in_full_whatever_the_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(truncation, "BLOCK", block)
+    text = "the lid holds up well and the hinge is still tight after a year of use in the garage so I would order it again soon."
+    rows = [("a", str(i), text[: len(text) - i]) for i in range(12)]
+    texts = spark.createDataFrame(rows, "table_name string, id string, t string")
+    judged = texts.select("table_name", "id", F.col("id").cast("long").alias("code"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("bands"))
+    got = {r["id"]: r["inside"] for r in truncation.aligned(judged, texts).collect()}
+    assert got == {str(i): True for i in range(2, 12)}
+
+
 # ---- pair defects ----------------------------------------------------------------------------
 
 

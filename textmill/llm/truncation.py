@@ -1,8 +1,9 @@
 """Problem 1: texts cut off by field limits or in transfer.
 
 Near-copies are found by min-hash banding over five-word shingles (five Han signs). Every record
-of a band bucket is paired with the bucket's longest record, so a bucket costs its size and not
-its square. A pair is verified on the words themselves: if a record's words are the opening words
+of a band bucket meets all others of the bucket that have as many words or more; large buckets are
+met block by block, and only pairs where the longer record holds the shorter one's last two words
+are walked. A pair is verified on the words themselves: if a record's words are the opening words
 of a longer copy (``NEAR`` or more of them in order) and it stops inside one of the copy's
 sentences, it is cut. A record without such a copy is judged by its closing words: a
 terminality model says how likely they end a sentence (see ``terminality``).
@@ -30,10 +31,11 @@ from textmill.runtime import checkpoint
 SHINGLE, BANDS, ROWS = 5, 8, 3
 #: Least share of a record's words that a longer copy must open with, in order.
 NEAR = 0.8
-#: Log-odds below and above which the closing words decide alone; in between a longer copy decides if there is one.
-OPEN_FROM, OPEN_TO = -5.0, 1.0
+#: Records of a bucket that one task holds of either side.
+BLOCK = 1500
 
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
+_CLOSED = re.compile(r"(?:(?<!\.)\.|[!?。！？])[\s\"'”’»)\]]*$")
 _MULT = np.array([1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
 _RNG = np.random.default_rng(17)
 _A = (_RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
@@ -111,10 +113,13 @@ def judge_records(df: DataFrame, text_col: str, name: str) -> DataFrame:
     return rows.mapInArrow(run, "table_name string, id string, cut boolean, score double, n_words int, bands array<long>")
 
 
-def stops_inside(short: str, long: str) -> bool | None:
-    """Whether ``short`` ends inside a sentence of ``long``; ``None`` if it is not an opening of it."""
-    a, b = text_words(short), text_words(long)
-    if len(a) < 4 or len(b) <= len(a):
+def stops_inside(short: str, long: str, short_words: list[str] | None = None, long_words: list[str] | None = None) -> bool | None:
+    """Whether ``short`` ends inside a sentence of ``long``; ``None`` if it is not an opening of it.
+
+    A record with an end mark of its own where the copy goes on was reworded: its closing words decide.
+    """
+    a, b = short_words or text_words(short), long_words or text_words(long)
+    if len(a) < 4 or len(b) < len(a):
         return None
     # walk both in step; a word changed, added or dropped may shift them by a few places
     i = j = same = 0
@@ -138,7 +143,7 @@ def stops_inside(short: str, long: str) -> bool | None:
     elif not b[j].startswith(a[-1]):
         return None
     elif len(a[-1]) < len(b[j]):
-        return True
+        return None if _CLOSED.search(short) else True
     if j >= len(b):
         return None
     # the copy goes on: was there an end of a sentence between its words j-1 and j?
@@ -147,43 +152,96 @@ def stops_inside(short: str, long: str) -> bool | None:
     if not re.search(r"[.!?。！？…]", flat):
         return None  # a copy without any end marks cannot tell where its sentences end
     between = flat[spots[j - 1][1] : spots[j][0]]
-    return not re.search(r"[.!?。！？…\n|]", between)
+    if re.search(r"[.!?。！？…\n|]", between):
+        return False
+    return None if _CLOSED.search(short) else True
+
+
+def inside_any(members: list[tuple[int, str]], across: bool) -> list[bool | None]:
+    """What alignment with the others of a bucket says of each ``(block, text)``: true if any copy goes on inside a sentence.
+
+    With ``across`` only pairs from different blocks are looked at.
+    """
+    cut = [text_words(t) for _, t in members]
+    # a record can only align where the copy has its last two words, the last one perhaps longer
+    flat = [f" {' '.join(w)}" for w in cut]
+    sets = [set(w) for w in cut]
+    order = sorted(range(len(members)), key=lambda i: len(cut[i]), reverse=True)
+    said: list[bool | None] = [None] * len(members)
+    known: dict[str, bool | None] = {}
+    at_least = 0
+    for i in order:
+        a, (block, text) = cut[i], members[i]
+        while at_least < len(order) and len(cut[order[at_least]]) >= len(a):
+            at_least += 1
+        if len(a) < 4:
+            continue
+        if not across and text in known:
+            said[i] = known[text]
+            continue
+        ending, opening = f" {a[-2]} {a[-1]}", set(a[:-1])
+        for j in order[:at_least]:
+            if ending in flat[j] and j != i and not (across and members[j][0] == block) and len(a) - 1 - len(opening - sets[j]) >= NEAR * (len(a) - 1) and members[j][1] != text:
+                inside = stops_inside(text, members[j][1], a, cut[j])
+                if inside is not None:
+                    said[i] = inside
+                    if inside:
+                        break
+        known[text] = said[i]
+    return said
 
 
 def aligned(judged: DataFrame, texts: DataFrame) -> DataFrame:
-    """``table_name, id, inside``: what the alignment with a longer near-copy says of a record.
+    """``table_name, id, inside``: what the alignment with longer near-copies says of a record.
 
-    A record is one number here, its word count above 40 bits of a hash, so the longest record of
-    a bucket is a maximum of longs: a partial aggregation leaves one row even of a bucket that
-    holds a third of all records. Records whose closing words are conclusive need no partner.
+    Buckets with the same members are looked at once. A bucket of more than ``BLOCK`` records is
+    cut into blocks and every two blocks meet in one place, so none is left out and no task holds
+    more than two blocks.
     """
-    keyed = judged.select("open", "code", F.explode("bands").alias("band"))
-    tops = keyed.groupBy("band").agg(F.max("code").alias("top"), F.min("code").alias("low")).where("top > low").select("band", "top")
-    longer = F.shiftright("top", 40) > F.shiftright("code", 40)
-    pairs = keyed.where("open").select("band", "code").join(tops, "band").where(longer).select("code", "top").distinct()
-    names = judged.select("table_name", "id", "code")
-    pairs = pairs.join(names, "code").join(names.select(F.col("table_name").alias("other_table"), F.col("id").alias("other"), F.col("code").alias("top")), "top")
-    pairs = checkpoint(pairs.where("table_name = other_table").select("table_name", "id", "other").distinct())
-    # the texts of either side are fetched in one pass over all texts
-    wanted = pairs.select("table_name", "id").union(pairs.select("table_name", "other")).distinct()
-    texts = checkpoint(texts.join(wanted, ["table_name", "id"], "left_semi"))
-    both = pairs.join(texts.select("table_name", "id", F.col("t").alias("ta")), ["table_name", "id"])
-    both = both.join(texts.select("table_name", F.col("id").alias("other"), F.col("t").alias("tb")), ["table_name", "other"])
+    keyed = judged.select("code", F.explode("bands").alias("band")).distinct()
+    held = keyed.groupBy("band").agg(F.count("code").alias("k"), F.sum(F.xxhash64("code").cast("decimal(20,0)")).alias("members")).where("k > 1")
+    held = held.groupBy("k", "members").agg(F.min("band").alias("band"))
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    met = keyed.join(held.select("band", blocks.alias("b")), "band").withColumn("own", F.pmod(F.xxhash64("code"), F.col("b")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    met = met.select("code", "band", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    met = checkpoint(met.join(judged.select("table_name", "id", "code"), "code").drop("code"))
+    # the texts are fetched in one pass, and each bucket's rows follow one another
+    rows = met.join(texts.distinct(), ["table_name", "id"]).repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def told(held: list[tuple]) -> Iterator[tuple]:
+            for name in {r[2] for r in held}:
+                part = [r for r in held if r[2] == name]
+                for r, inside in zip(part, inside_any([(r[0], r[1]) for r in part], bucket[1] != bucket[2]) if len(part) > 1 else ()):
+                    if inside is not None:
+                        yield name, r[3], inside
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], names=["table_name", "id", "inside"])
+
         for batch in batches:
-            inside = [stops_inside(x, y) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("table_name"), batch.column("id"), pa.array(inside, pa.bool_())], names=["table_name", "id", "inside"])
+            out = []
+            for band, x, y, own, text, name, i in zip(*(c.to_pylist() for c in batch.columns)):
+                if (band, x, y) != bucket:
+                    out.extend(told(held))
+                    bucket, held = (band, x, y), []
+                held.append((own, text, name, i))
+            yield batch_of(out)
+        yield batch_of(list(told(held)))
 
-    found = both.select("table_name", "id", "ta", "tb").mapInArrow(run, "table_name string, id string, inside boolean")
-    return found.where("inside IS NOT NULL").groupBy("table_name", "id").agg(F.max("inside").alias("inside"))
+    found = rows.select("band", "x", "y", "own", "t", "table_name", "id").mapInArrow(run, "table_name string, id string, inside boolean")
+    return found.groupBy("table_name", "id").agg(F.max("inside").alias("inside"))
 
 
 def truncated(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
     """``table_name, id`` of cut records for ``(table, rows with id, text column)``."""
     judged = reduce(DataFrame.unionByName, [judge_records(df, col, name) for name, df, col in sources])
     code = F.shiftleft(F.col("n_words").cast("long"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("table_name", "id"), 24))
-    judged = checkpoint(judged.select("table_name", "id", "cut", F.col("score").between(OPEN_FROM, OPEN_TO).alias("open"), code.alias("code"), "bands"))
+    judged = checkpoint(judged.select("table_name", "id", "cut", code.alias("code"), "bands"))
     texts = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "id", F.col(col).alias("t")).where("t IS NOT NULL") for name, df, col in sources])
     marks = judged.select("table_name", "id", "cut").join(aligned(judged, texts), ["table_name", "id"], "left")
     return marks.where(F.coalesce("inside", "cut")).select("table_name", "id").distinct()
