@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_local_folder: str | None = None
+
 
 def build_session(cpus: str = "8", app: str = "textmill", **conf: str) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
@@ -40,6 +45,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; for large frames.
+
+    Unlike a checkpoint, whose plan keeps the estimates of the plan it replaced, the table is read
+    back with its true size, so no join behind it is broadcast by a wrong guess; it is compressed
+    as well. Lost executors lose nothing of it.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see; a cluster must name it, one machine may make its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,7 +65,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="textmill-")
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="textmill-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
+    return _local_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
