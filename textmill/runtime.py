@@ -60,7 +60,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see; a cluster must name it, one machine may make its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
