@@ -14,7 +14,7 @@ _MODULES = {
     "pii": ("p4_found", "p4_redacted"),
     "language": ("p5_found", "p5_segments"),
     "format_dedup": ("p6_found", "p6_collapsed"),
-    "overlap": ("p7_found", "p7_report", "p7_record_overlap"),
+    "overlap": ("p7_found", "p7_report", "p7_record_overlap", "p7_classes"),
     "packing": ("p8_packed", "p8_fill"),
     "mixing": ("p9_drawn", "p9_shares"),
     "lookalikes": ("p10_found", "p10_normalized"),
