@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.llm import language, lookalikes, overlap, pair_defects, pii, terminality, truncation
+from textmill.llm import language, lookalikes, overlap, pair_defects, pii, refusals, terminality, truncation
 from textmill.llm.crf import LinearChain
 from textmill.llm.ppm import LANGUAGES, SEEDS, Model, Scorer, romanize, words
 
@@ -227,6 +227,65 @@ def test_defects(spark, tables, sf_dir):
     assert got == {"case-empty": "empty", "case-nil": "empty", "case-refusal": "refusal", "case-copy": "copy", "case-language": "language", "case-truncated": "truncated", "c-open": "truncated", "c-json": "truncated", "c-none": "empty", "c-void": "empty"}
 
 
+#: Refusals in wording that the operator's parts do not hold.
+HELD_OUT = (
+    "I'm not comfortable judging what this customer wrote.", "Sadly this is something that I can't do for you.", "I won't take a position on the feedback above.", "It isn't possible for me to say whether this is good or bad.", "My policy prevents me from scoring such opinions.",
+    "I must respectfully decline to weigh in here.", "Providing a sentiment for this is not something I'm able to do.", "I am sorry, this falls outside of what I may answer.", "Apologies, I can't go along with that.", "As an AI, I don't do evaluations like this one.",
+    "很抱歉，这类内容我没法给出看法。", "对此我不能发表任何意见。", "不好意思，我无法对用户的话下结论。", "根据规定，我不可以评论这些文字。", "我没有办法继续这个任务。",
+    "Прошу прощения, но тут я помочь не смогу.", "Я не стану судить о чужом мнении.", "Увы, такой вопрос я обсуждать не могу.", "Мои правила запрещают оценивать подобное.", "Как ИИ я не могу давать таких оценок.",
+)
+ECHOED = ("Quoting the customer: {}", "{}", "Original: {}", "顾客说：{}", "Вот что написано: {}")
+
+
+@pytest.fixture(scope="module")
+def pair_model(spark, sf_dir):
+    return pair_defects.fit(spark, f"{sf_dir}/../sf0.01")
+
+
+def test_held_out_refusals_and_echoes(pair_model):
+    featurizer = pair_model.featurizer()
+    known = " ".join(" ".join(p) for parts in refusals.PARTS.values() for p in parts).lower()
+    assert not any(t.lower() in known for t in HELD_OUT)
+    review = "The lid looks plain but acceptable next to the sofa, and I would order again. My sister could not tell the difference after the update."
+
+    def verdict(answer):
+        rows, sizes = featurizer.clauses(featurizer.question(review), answer, False)
+        return pair_defects.defect(pair_defects.decode(pair_model.field, [rows])[0], sizes, answer)
+
+    found = [t for t in HELD_OUT if verdict(t) == "refusal"]
+    assert len(found) >= 0.9 * len(HELD_OUT), set(HELD_OUT) - set(found)
+    assert all(verdict(e.format(review)) == "copy" for e in ECHOED)
+    for sound in ("The phrase 'I cannot recommend it' is harsh, so the verdict is negative.", "He says sorry for the late post; the tone is mild and positive overall."):
+        assert verdict(sound) is None
+
+
+def test_field_meets_every_clause(pair_model):
+    featurizer = pair_model.featurizer()
+    review = "The lid looks plain but acceptable next to the sofa, and I would order again."
+    long = "The wording points one way and the rating agrees with it. " * 300
+    rows, sizes = featurizer.clauses(featurizer.question(review), long + refusals.made("en", random.Random(1)), False)
+    assert len(rows) >= 301 and sum(sizes) > 3000
+    alone = [pair_defects.decode(pair_model.field, [rows[:k]])[0] for k in (1, 40, 301)]
+    assert pair_defects.decode(pair_model.field, [rows[:1], rows[:40], rows[:301], []]) == [*alone, []]
+
+
+def test_model_is_saved_and_used_again(spark, sf_dir, pair_model, tmp_path):
+    pair_model.save(str(tmp_path / "pairs.model"))
+    again = pair_defects.PairModel.load(str(tmp_path / "pairs.model"))
+    first, second = (set(map(tuple, pair_defects.p3_found(spark, sf_dir, m).collect())) for m in (pair_model, again))
+    assert first == second and first
+
+
+def test_every_turn_of_a_conversation_is_a_pair(spark, tables):
+    turns = lambda *xs: [(r, c) for r, c in xs]
+    chats = [
+        ("m", turns(("system", "s"), ("user", "Review: one"), ("assistant", "a"), ("assistant", "b"), ("user", "two"), ("user", "three"), ("assistant", None)), "t", 1, None, None, "x"),
+        ("n", turns(("assistant", "only")), "t", 1, None, None, "x"), ("o", None, "t", 1, None, None, "x"),
+    ]
+    got = {(r["id"], r["turn"], r["question"], r["answer"]) for r in pair_defects.pairs_of(spark, tables(conversation_rows=chats)).collect()}
+    assert got == {("m", 0, "one", "b"), ("m", 1, "two", None), ("m", 2, "three", None), ("n", 0, "t", "only"), ("o", 0, "t", None)}
+
+
 # ---- overlap ---------------------------------------------------------------------------------
 
 

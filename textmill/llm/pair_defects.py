@@ -2,10 +2,12 @@
 
 The answer is split into clauses. A linear-chain conditional random field tags each clause as
 answer, refusal, echo, foreign or unfinished from its overlap with the question, the language
-models' verdict, cues of refusal, its place and the terminality of the last clause. The share of
-the answer's words under each tag decides the pair's defect. The field is trained on a bounded
-sample of the pairs themselves, with defects made in it (sentences of refusal, copied questions,
-answers from other languages, cut answers), and is then frozen.
+models' verdict, learned cues of refusal (see ``refusals``), its place and the terminality of the
+last clause. The share of the answer's words under each tag decides the pair's defect. The field is
+trained on a bounded sample of the pairs themselves, with defects made in it (refusals put together
+from parts, copied questions, answers from other languages, cut answers), and is then frozen; a
+fitted model can be saved and used again. Of a conversation, each user turn and the assistant turn
+that answers it are a pair.
 
 Results for special input: a null or blank answer, a placeholder, a missing assistant turn or a
 thought block without words is ``empty``; a null question has no words to copy and no language,
@@ -16,6 +18,7 @@ empty, refusal, copy, language, truncated is given; repeated rows count once.
 from __future__ import annotations
 
 import json
+import pickle
 import random
 import re
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import language, terminality
+from textmill.llm import language, refusals, terminality
 from textmill.llm.crf import LinearChain
 from textmill.llm.ppm import WORD
 
@@ -34,22 +37,11 @@ ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Bound of the sample that the field and the terminality model are fitted on.
 SAMPLE_PAIRS = 8000
 TRAIN_PAIRS = 1200
-MOST_CLAUSES = 40
-
-#: Sentences of refusal to learn from.
-REFUSALS = {
-    "en": ("I'm sorry, but I can't help with that request.", "As a language model I am not able to judge this review.", "I cannot provide an analysis of this content.", "Unfortunately I must decline to label this text.", "I won't be able to assist here, please ask something else.", "I am unable to comply with this request.", "This goes against my guidelines, so no assessment will be given."),
-    "zh": ("抱歉，我无法协助完成这个请求。", "作为语言模型，我不能对这条评论作出判断。", "对不起，我没有办法提供评估。", "很遗憾，这段内容我不便分析。", "我拒绝回答这个问题。"),
-    "ru": ("Извините, но я не могу помочь с этим запросом.", "Как языковая модель, я не могу оценивать этот отзыв.", "Я не вправе давать оценку такому тексту.", "К сожалению, вынужден отказаться от анализа.", "Я отказываюсь отвечать на этот вопрос."),
-}
-OFFERS = {
-    "en": ("Is there anything else?", "Can I help with something different?"),
-    "zh": ("还有别的需要吗？", "需要别的帮助吗？"),
-    "ru": ("Могу ли я помочь с другим?", "Чем ещё помочь?"),
-}
-_SELF = re.compile(r"\bas an? (?:ai|language|artificial|large)|\b(?:i|we)(?: am|'m|’m)? (?:can(?:no|['’])?t|could ?n[o'’]t|cannot|unable|not able|won['’]t|will not|must decline|decline|refuse|have to (?:decline|refuse)|do not feel able|am not)|\bnot (?:able|allowed|permitted) to (?:help|assist|judge|provide|label|answer|comply|analy|rate|classif|evaluat)|я (?:не могу|не вправе|не имею|не буду|отказываюсь|вынужден)|вынужден[аы]? отказ|языков\w+ модел|не в состоянии|against my (?:guidelines|polic|rules|principles)|violates? (?:my|our|the) (?:guidelines|polic)|противоречит (?:моим|правилам)|违反(?:了)?(?:我的|相关|使用)?(?:准则|规定|政策)|no (?:assessment|answer|analysis|opinion|rating) (?:will|can) be|我(?:无法|不能|不便|没有办法|没办法|拒绝|不可以|不会)|(?:语言|人工智能|AI)(?:大)?模型|无法(?:协助|提供|回答|完成|判断|分析|评估)|不便(?:分析|评价|回答)", re.I)
-_TASK = re.compile(r"\b(?:request|help|assist|judge|analys|analyz|label|content|provide|comply|answer|ask something|classif|evaluat|rate this|assessment|analysis|guidelines|anything else)|запрос|помочь|оцен|анализ|ответ|текст|отзыв|协助|请求|判断|评估|分析|提供|回答|问题|帮", re.I)
-_SORRY = re.compile(r"\bsorry\b|\bunfortunately\b|\bapolog|извин|к сожалению|прост(?:и|ите)\b|抱歉|对不起|很遗憾|不好意思", re.I)
+#: Clauses of an answer that the field is trained on at most; longer ones are tagged in full all the same.
+MOST_TRAINED = 24
+
+#: What may stand before a copied question.
+LEAD_INS = ("", "", "", "The text reads: ", "Here it is: ", "原文：", "Текст: ")
 _PLACEHOLDER = re.compile(r"^[\W_]*(?:null|none|n/?a|nil|nan|tbd|todo|empty|undefined|no answer|нет|пусто|无|空|暂无)?[\W_]*$", re.I)
 _CLAUSE = re.compile(r"[^.!?。！？…\n]+[.!?。！？…\n]*")
 _THOUGHT = re.compile(r"^\s*<\|channel>\s*thought\s*\n?")
@@ -85,8 +77,8 @@ class Featurizer:
 
     NAMES = 16
 
-    def __init__(self, scorer, terminal):
-        self.scorer, self.terminal = scorer, terminal
+    def __init__(self, scorer, terminal, cues):
+        self.scorer, self.terminal, self.cues = scorer, terminal, cues
 
     def question(self, text: str | None):
         tokens = WORD.findall((text or "").lower())
@@ -98,9 +90,6 @@ class Featurizer:
         _, three, six, q_bits = question
         parts = [(m[0], WORD.findall(m[0].lower())) for m in _CLAUSE.finditer(answer)]
         parts = [p for p in parts if p[1]]
-        if len(parts) > MOST_CLAUSES:  # neighbours are joined, so every word stays in a clause
-            per = -(-len(parts) // MOST_CLAUSES)
-            parts = [("".join(x[0] for x in parts[i : i + per]), [w for x in parts[i : i + per] for w in x[1]]) for i in range(0, len(parts), per)]
         if not parts:
             return [], []
         q_lang = min(q_bits, key=q_bits.get) if q_bits else None
@@ -121,9 +110,9 @@ class Featurizer:
                 lang, _, bits = self.scorer.best(tokens)
                 lead = bits[q_lang] - bits[lang]
             last = i == len(parts) - 1
-            self_cue, task, sorry = bool(_SELF.search(text)), bool(_TASK.search(text)), bool(_SORRY.search(text))
+            cue = self.cues.score(tokens)
             rows.append([
-                1.0, self_cue, self_cue and task, sorry, sorry and self_cue, cover >= 0.85, cover >= 0.5, cover < 0.2, lead > 15, lead > 60 or lead > 8 * n, lead <= 4,
+                1.0, cue > 0, cue > 1, cue > 2.5, cue < -1, cover >= 0.85, cover >= 0.5, cover < 0.2, lead > 15, lead > 60 or lead > 8 * n, lead <= 4,
                 last, last and cut, last and broken, n < 4, i == 0,
             ])
             sizes.append(n)
@@ -158,37 +147,35 @@ def train(pairs: list[tuple[str, str]], featurizer: Featurizer, seed: int = 3) -
 
     def add(question, answer, tag, last=None):
         feats, _ = featurizer.clauses(question, answer, False)
-        if feats:
+        if 0 < len(feats) <= MOST_TRAINED:
             rows.append(feats)
             labels.append([tag] * (len(feats) - 1) + [tag if last is None else last])
 
     for q, a, question, lang in known:
         feats, sizes = featurizer.clauses(question, a, False)
-        if any(f[1] and f[2] for f in feats) or sum(n for f, n in zip(feats, sizes) if f[6]) > 0.5 * sum(sizes):
+        if any(f[2] for f in feats) or sum(n for f, n in zip(feats, sizes) if f[6]) > 0.5 * sum(sizes):
             continue  # a defect of the sample itself, not a sound answer
         add(question, a, ANSWER)
-        kind = rng.randrange(4)
-        if kind == 0:
-            add(question, rng.choice(REFUSALS.get(lang, REFUSALS["en"])) + rng.choice(("", " " + rng.choice(OFFERS.get(lang, OFFERS["en"])))), REFUSAL)
-        elif kind == 1:
-            add(question, rng.choice(("", "", "The text reads: ")) + q, ECHO)
-        elif kind == 2:
-            others = [x for x in by_lang if x != lang]
-            if others:
-                add(question, rng.choice(by_lang[rng.choice(others)]), FOREIGN)
-        elif len(a) > 12:
+        kinds = rng.sample(range(4), 2)
+        if 0 in kinds:
+            add(question, refusals.made(lang, rng), REFUSAL)
+        if 1 in kinds:
+            add(question, rng.choice(LEAD_INS) + q, ECHO)
+        others = [x for x in by_lang if x != lang]
+        if 2 in kinds and others:
+            add(question, rng.choice(by_lang[rng.choice(others)]), FOREIGN)
+        if 3 in kinds and len(a) > 12:
             part = a[: rng.randrange(6, len(a) - 1)]
             if terminality.judge(featurizer.terminal, part)[0]:
                 add(question, part, ANSWER, UNFINISHED)
     # the chat frame's broken end has no other trace in the sample
     for q, a, question, _ in known[:100]:
         feats, _ = featurizer.clauses(question, a, True)
-        if feats:
+        if 0 < len(feats) <= MOST_TRAINED:
             rows.append(feats), labels.append([ANSWER] * (len(feats) - 1) + [UNFINISHED])
-    for lang, texts in REFUSALS.items():
-        for text in texts:
-            for offer in ("", *OFFERS[lang]):
-                add(((), set(), set(), None), f"{text} {offer}", REFUSAL)
+    for lang in refusals.PARTS:
+        for _ in range(20):
+            add(((), set(), set(), None), refusals.made(lang, rng), REFUSAL)
     x, mask = _pad(rows)
     y = np.zeros(mask.shape, int)
     for i, tags in enumerate(labels):
@@ -215,64 +202,102 @@ def defect(tags: list[int], sizes: list[int], answer: str) -> str | None:
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``table_name, id, question, answer``; a conversation's last user and assistant turns."""
-    train_rows = spark.read.parquet(f"{sf_dir}/train.parquet").select(F.lit("train").alias("table_name"), "id", F.col("text").alias("question"), F.col("cot").alias("answer"))
-    turn = lambda role: F.try_element_at(F.filter("conversations", lambda x: x["role"] == role), F.lit(-1))["content"]
-    question = F.coalesce(F.regexp_replace(turn("user"), r"^\s*Review:\s*", ""), F.col("text"))
-    chats = spark.read.parquet(f"{sf_dir}/conversation_rows.parquet").select(F.lit("conversation_rows").alias("table_name"), "id", question.alias("question"), turn("assistant").alias("answer"))
+    """``table_name, id, turn, question, answer``: every user turn of a conversation with the last assistant turn before the next user turn.
+
+    A conversation without a user turn is one pair of its ``text`` and its last assistant turn; ``turn`` counts from 0.
+    """
+    train_rows = spark.read.parquet(f"{sf_dir}/train.parquet").select(F.lit("train").alias("table_name"), "id", F.lit(0).alias("turn"), F.col("text").alias("question"), F.col("cot").alias("answer"))
+    chats = spark.read.parquet(f"{sf_dir}/conversation_rows.parquet").select("id", "text", F.coalesce("conversations", F.array()).alias("c"))
+    users = chats.withColumn("u", F.expr("filter(transform(c, (x, i) -> if(x.role = 'user', i, null)), i -> i IS NOT NULL)"))
+    users = users.withColumn("u", F.when(F.size("u") > 0, F.col("u")).otherwise(F.array(F.lit(-1))))
+    asked = users.select("id", "text", "c", F.posexplode("u").alias("turn", "at"), F.expr("array_append(u, size(c))").alias("u"))
+    answered = asked.withColumn("a", F.expr("try_element_at(filter(slice(c, at + 2, greatest(u[turn + 1] - at - 1, 0)), x -> x.role = 'assistant'), -1).content"))
+    question = F.coalesce(F.regexp_replace(F.expr("try_element_at(c, at + 1).content").alias("q"), r"^\s*Review:\s*", ""), F.col("text"))
+    chats = answered.select(F.lit("conversation_rows").alias("table_name"), "id", "turn", F.when(F.col("at") >= 0, question).otherwise(F.col("text")).alias("question"), F.col("a").alias("answer"))
     return train_rows.unionByName(chats).where("id IS NOT NULL")
 
 
-def _fit(spark: SparkSession, sf_dir: str, pairs: DataFrame):
-    counts = language.fit(spark, sf_dir)
-    filled = pairs.where("question IS NOT NULL AND answer IS NOT NULL")
+class PairModel:
+    """All that is fitted: word counts of the languages, terminality, cues of refusal and the field."""
+
+    def __init__(self, key: int, counts: dict, terminal, cues, field: LinearChain):
+        self.key, self.counts, self.terminal, self.cues, self.field = key, counts, terminal, cues, field
+
+    def featurizer(self) -> Featurizer:
+        return Featurizer(language.worker_scorer(self.key, self.counts), self.terminal, self.cues)
+
+    def save(self, path: str) -> None:
+        with open(path, "wb") as out:
+            pickle.dump(self, out)
+
+    @staticmethod
+    def load(path: str) -> PairModel:
+        """A model that ``save`` wrote; only load files of your own."""
+        with open(path, "rb") as file:
+            return pickle.load(file)
+
+
+def fit(spark: SparkSession, sf_dir: str) -> PairModel:
+    """The models of a folder's tables, from bounded samples spread over them by hash."""
+    key, counts = language.fit(spark, sf_dir).value
+    filled = pairs_of(spark, sf_dir).where("question IS NOT NULL AND answer IS NOT NULL")
     every = max(1, filled.count() // SAMPLE_PAIRS)
     rows = filled.where(F.pmod(F.xxhash64("table_name", "id"), F.lit(every)) == 0).select("table_name", "question", "answer").limit(2 * SAMPLE_PAIRS).collect()
     sample = sorted((r["question"], answer_body(r["answer"], r["table_name"] != "train")[0]) for r in rows)
     terminal = terminality.fit([a for _, a in sample])
-    scorer = language.worker_scorer(*counts.value)
     random.Random(9).shuffle(sample)
-    field = train(sample[:TRAIN_PAIRS], Featurizer(scorer, terminal))
-    return counts, spark.sparkContext.broadcast((terminal, field))
+    cues = refusals.fit([WORD.findall(m.lower()) for pair in sample[: 2 * TRAIN_PAIRS] for text in pair for m in _CLAUSE.findall(text)])
+    field = train(sample[:TRAIN_PAIRS], Featurizer(language.worker_scorer(key, counts), terminal, cues))
+    return PairModel(key, counts, terminal, cues, field)
+
+
+def decode(field: LinearChain, seqs: list[list], batch: int = 256) -> list[list[int]]:
+    """Tags of each sequence; sequences of like length are padded and decoded together, so a long one costs the others nothing."""
+    tags: list[list[int]] = [[] for _ in seqs]
+    order = sorted((i for i, rows in enumerate(seqs) if rows), key=lambda i: len(seqs[i]))
+    for at in range(0, len(order), batch):
+        part = order[at : at + batch]
+        if len(seqs[part[-1]]) > 64:  # very long ones by themselves
+            for i in part:
+                tags[i] = field.decode(*_pad([seqs[i]]))[0].tolist()
+            continue
+        for i, row in zip(part, field.decode(*_pad([seqs[i] for i in part]))):
+            tags[i] = row[: len(seqs[i])].tolist()
+    return tags
 
 
-def tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``table_name, id, defect`` (null for a sound pair) and the word share of each tag."""
-    pairs = pairs_of(spark, sf_dir)
-    counts, fitted = _fit(spark, sf_dir, pairs)
+def tag_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:
+    """``table_name, id, turn, defect`` (null for a sound pair) and the word share of each tag."""
+    fitted = pairs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terminal, field = fitted.value
-        featurizer = Featurizer(language.worker_scorer(*counts.value), terminal)
+        featurizer, field = fitted.value.featurizer(), fitted.value.field
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                names, ids, questions, answers = (c.to_pylist() for c in part.columns)
+                names, ids, turns, questions, answers = (c.to_pylist() for c in part.columns)
                 seqs, sizes, bodies = [], [], []
                 for name, q, a in zip(names, questions, answers):
                     body, broken = answer_body(a, name != "train")
                     rows, n = ([], []) if _PLACEHOLDER.match(body) else featurizer.clauses(featurizer.question(q), body, broken)
                     seqs.append(rows), sizes.append(n), bodies.append(body)
-                filled = [i for i, rows in enumerate(seqs) if rows]
-                tags: list[list[int]] = [[] for _ in seqs]
-                if filled:
-                    x, mask = _pad([seqs[i] for i in filled])
-                    for i, row in zip(filled, field.decode(x, mask)):
-                        tags[i] = row[: len(sizes[i])].tolist()
+                tags = decode(field, seqs)
                 found = [defect(t, n, b) for t, n, b in zip(tags, sizes, bodies)]
                 shares = [[sum(n for t, n in zip(tg, sz) if t == k) / sum(sz) if sz else 0.0 for tg, sz in zip(tags, sizes)] for k in range(len(TAGS))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), pa.array(ids, pa.string()), pa.array(found, pa.string()), *(pa.array(s, pa.float64()) for s in shares)],
-                    names=["table_name", "id", "defect", *TAGS],
+                    [pa.array(names, pa.string()), pa.array(ids, pa.string()), pa.array(turns, pa.int32()), pa.array(found, pa.string()), *(pa.array(s, pa.float64()) for s in shares)],
+                    names=["table_name", "id", "turn", "defect", *TAGS],
                 )
 
-    return pairs.mapInArrow(run, "table_name string, id string, defect string, " + ", ".join(f"{t} double" for t in TAGS))
+    return pairs.mapInArrow(run, "table_name string, id string, turn int, defect string, " + ", ".join(f"{t} double" for t in TAGS))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tag_pairs(spark, sf_dir).where("defect IS NOT NULL").select("table_name", "id", "defect").distinct()
+def p3_found(spark: SparkSession, sf_dir: str, model: PairModel | None = None) -> DataFrame:
+    """Defective pairs; give the model of an earlier ``fit`` to use it again."""
+    found = tag_pairs(pairs_of(spark, sf_dir), model or fit(spark, sf_dir))
+    return found.where("defect IS NOT NULL").select("table_name", "id", "defect").distinct()
 
 
-def p3_pair_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p3_pair_coverage(spark: SparkSession, sf_dir: str, model: PairModel | None = None) -> DataFrame:
     """Share of the answer's words under each tag, and the defect, for every pair."""
-    return tag_pairs(spark, sf_dir).distinct()
+    return tag_pairs(pairs_of(spark, sf_dir), model or fit(spark, sf_dir)).distinct()
