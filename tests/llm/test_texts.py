@@ -186,10 +186,10 @@ def test_buckets_are_met_in_full_whatever_the_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(truncation, "BLOCK", block)
     text = "the lid holds up well and the hinge is still tight after a year of use in the garage so I would order it again soon."
     rows = [("a", str(i), text[: len(text) - i]) for i in range(12)]
-    texts = spark.createDataFrame(rows, "table_name string, id string, t string")
-    judged = texts.select("table_name", "id", F.col("id").cast("long").alias("code"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("bands"))
-    got = {r["id"]: r["inside"] for r in truncation.aligned(judged, texts).collect()}
-    assert got == {str(i): True for i in range(2, 12)}
+    texts = spark.createDataFrame(rows, "table_name string, id string, t string").select(F.col("id").cast("long").alias("cls"), "t")
+    judged = texts.select("cls", F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("bands"))
+    got = {r["cls"]: r["inside"] for r in truncation.aligned(judged, texts).collect()}
+    assert got == {i: True for i in range(2, 12)}
 
 
 # ---- pair defects ----------------------------------------------------------------------------

@@ -22,11 +22,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.terminality import SAMPLE_TEXTS, Terminality, fit, flatten, judge
-from textmill.runtime import checkpoint
+from textmill.runtime import stored
 
 SHINGLE, BANDS, ROWS = 5, 8, 3
 #: Least share of a record's words that a longer copy must open with, in order.
@@ -92,7 +92,7 @@ def _fitted(df: DataFrame, text_col: str) -> Terminality:
 
 
 def judge_records(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``table_name, id, cut, score, n_words, bands``: the verdict of the closing words, and the band keys."""
+    """``table_name, id, cls, cut, score, bands``: the hash of the text, the verdict of its closing words, and its band keys."""
     model = df.sparkSession.sparkContext.broadcast(_fitted(df, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +105,17 @@ def judge_records(df: DataFrame, text_col: str, name: str) -> DataFrame:
             keys = band_keys(words, crc32(name.encode()))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(texts), pa.string()), batch.column("id"), pa.array(cut, pa.bool_()), pa.array(score, pa.float64()), pa.array([len(w) for w in words], pa.int32()), bands],
-                names=["table_name", "id", "cut", "score", "n_words", "bands"],
+                [pa.array([name] * len(texts), pa.string()), batch.column("id"), batch.column("cls"), pa.array(cut, pa.bool_()), pa.array(score, pa.float64()), bands],
+                names=["table_name", "id", "cls", "cut", "score", "bands"],
             )
 
-    rows = df.select("id", F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    return rows.mapInArrow(run, "table_name string, id string, cut boolean, score double, n_words int, bands array<long>")
+    rows = df.select("id", F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL").withColumn("cls", text_class(name))
+    return rows.mapInArrow(run, "table_name string, id string, cls long, cut boolean, score double, bands array<long>")
+
+
+def text_class(name: str) -> Column:
+    """Hash of a table's text ``t``: exact copies are one class, so only different texts meet."""
+    return F.xxhash64(F.lit(name), "t")
 
 
 def stops_inside(short: str, long: str, short_words: list[str] | None = None, long_words: list[str] | None = None) -> bool | None:
@@ -192,59 +197,58 @@ def inside_any(members: list[tuple[int, str]], across: bool) -> list[bool | None
 
 
 def aligned(judged: DataFrame, texts: DataFrame) -> DataFrame:
-    """``table_name, id, inside``: what the alignment with longer near-copies says of a record.
+    """``cls, inside``: what the alignment with longer near-copies says of a text, for ``judged(cls, bands)`` and ``texts(cls, t)``.
 
-    Buckets with the same members are looked at once. A bucket of more than ``BLOCK`` records is
+    Buckets with the same members are looked at once. A bucket of more than ``BLOCK`` texts is
     cut into blocks and every two blocks meet in one place, so none is left out and no task holds
     more than two blocks.
     """
-    keyed = judged.select("code", F.explode("bands").alias("band")).distinct()
-    held = keyed.groupBy("band").agg(F.count("code").alias("k"), F.sum(F.xxhash64("code").cast("decimal(20,0)")).alias("members")).where("k > 1")
+    keyed = judged.groupBy("cls").agg(F.first("bands").alias("bands")).select("cls", F.explode(F.array_distinct("bands")).alias("band"))
+    held = keyed.groupBy("band").agg(F.count("cls").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("members")).where("k > 1")
     held = held.groupBy("k", "members").agg(F.min("band").alias("band"))
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    met = keyed.join(held.select("band", blocks.alias("b")), "band").withColumn("own", F.pmod(F.xxhash64("code"), F.col("b")).cast("int"))
+    met = keyed.join(held.select("band", blocks.alias("b")).hint("merge"), "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("b")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    met = met.select("code", "band", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    met = checkpoint(met.join(judged.select("table_name", "id", "code"), "code").drop("code"))
-    # the texts are fetched in one pass, and each bucket's rows follow one another
-    rows = met.join(texts.distinct(), ["table_name", "id"]).repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    met = met.select("cls", "band", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    # each text is fetched once, and each bucket's rows follow one another
+    rows = met.join(texts.groupBy("cls").agg(F.min("t").alias("t")).hint("merge"), "cls").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
-        def told(held: list[tuple]) -> Iterator[tuple]:
-            for name in {r[2] for r in held}:
-                part = [r for r in held if r[2] == name]
-                for r, inside in zip(part, inside_any([(r[0], r[1]) for r in part], bucket[1] != bucket[2]) if len(part) > 1 else ()):
-                    if inside is not None:
-                        yield name, r[3], inside
+        def told(held: list[tuple]) -> list[tuple]:
+            if len(held) < 2:
+                return []
+            said = inside_any([(own, text) for own, text, _ in held], bucket[1] != bucket[2])
+            return [(cls, inside) for (_, _, cls), inside in zip(held, said) if inside is not None]
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], names=["table_name", "id", "inside"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_())], names=["cls", "inside"])
 
         for batch in batches:
             out = []
-            for band, x, y, own, text, name, i in zip(*(c.to_pylist() for c in batch.columns)):
+            for band, x, y, own, text, cls in zip(*(c.to_pylist() for c in batch.columns)):
                 if (band, x, y) != bucket:
                     out.extend(told(held))
                     bucket, held = (band, x, y), []
-                held.append((own, text, name, i))
+                held.append((own, text, cls))
             yield batch_of(out)
-        yield batch_of(list(told(held)))
+        yield batch_of(told(held))
+
+    found = rows.select("band", "x", "y", "own", "t", "cls").mapInArrow(run, "cls long, inside boolean")
+    return found.groupBy("cls").agg(F.max("inside").alias("inside"))
+
 
-    found = rows.select("band", "x", "y", "own", "t", "table_name", "id").mapInArrow(run, "table_name string, id string, inside boolean")
-    return found.groupBy("table_name", "id").agg(F.max("inside").alias("inside"))
+def verdicts(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """``table_name, id, cut, inside`` for ``(table, rows with id, text column)``; ``inside`` is null where no copy was aligned."""
+    judged = stored(reduce(DataFrame.unionByName, [judge_records(df, col, name).drop("score") for name, df, col in sources]))
+    texts = reduce(DataFrame.unionByName, [df.select(F.col(col).alias("t")).where("t IS NOT NULL").select(text_class(name).alias("cls"), "t") for name, df, col in sources])
+    return judged.select("table_name", "id", "cls", "cut").join(aligned(judged.select("cls", "bands"), texts).hint("merge"), "cls", "left").drop("cls")
 
 
 def truncated(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
-    """``table_name, id`` of cut records for ``(table, rows with id, text column)``."""
-    judged = reduce(DataFrame.unionByName, [judge_records(df, col, name) for name, df, col in sources])
-    code = F.shiftleft(F.col("n_words").cast("long"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("table_name", "id"), 24))
-    judged = checkpoint(judged.select("table_name", "id", "cut", code.alias("code"), "bands"))
-    texts = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "id", F.col(col).alias("t")).where("t IS NOT NULL") for name, df, col in sources])
-    marks = judged.select("table_name", "id", "cut").join(aligned(judged, texts), ["table_name", "id"], "left")
-    return marks.where(F.coalesce("inside", "cut")).select("table_name", "id").distinct()
+    """``table_name, id`` of cut records: the alignment decides, and the closing words where there is none."""
+    return verdicts(sources).where(F.coalesce("inside", "cut")).select("table_name", "id").distinct()
 
 
 def _sources(spark: SparkSession, sf_dir: str):
