@@ -6,7 +6,9 @@ met block by block, and only pairs where the longer record holds the shorter one
 are walked. A pair is verified on the words themselves: if a record's words are the opening words
 of a longer copy (``NEAR`` or more of them in order) and it stops inside one of the copy's
 sentences, it is cut. A record without such a copy is judged by its closing words: a
-terminality model says how likely they end a sentence (see ``terminality``).
+terminality model says how likely they end a sentence (see ``terminality``). A record that has an
+end mark and whose closing words are whole can only be found whole by its copies, so it is met as a
+copy of others, and buckets that hold no other records need no look.
 
 Results for special input: null, blank and wordless texts are not cut; a signature, a code or a
 pictograph may end a whole text; dots after a whole sentence are a choice; whole rows delivered
@@ -92,7 +94,7 @@ def _fitted(df: DataFrame, text_col: str) -> Terminality:
 
 
 def judge_records(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``table_name, id, cls, cut, score, bands``: the hash of the text, the verdict of its closing words, and its band keys."""
+    """``table_name, id, cls, cut, open, score, bands``: the hash of the text, the verdict of its closing words, whether its copies may change it, and its band keys."""
     model = df.sparkSession.sparkContext.broadcast(_fitted(df, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +107,12 @@ def judge_records(df: DataFrame, text_col: str, name: str) -> DataFrame:
             keys = band_keys(words, crc32(name.encode()))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(texts), pa.string()), batch.column("id"), batch.column("cls"), pa.array(cut, pa.bool_()), pa.array(score, pa.float64()), bands],
-                names=["table_name", "id", "cls", "cut", "score", "bands"],
+                [pa.array([name] * len(texts), pa.string()), batch.column("id"), batch.column("cls"), pa.array(cut, pa.bool_()), pa.array([c or not _CLOSED.search(t, max(0, len(t) - 64)) for c, t in zip(cut, texts)], pa.bool_()), pa.array(score, pa.float64()), bands],
+                names=["table_name", "id", "cls", "cut", "open", "score", "bands"],
             )
 
     rows = df.select("id", F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL").withColumn("cls", text_class(name))
-    return rows.mapInArrow(run, "table_name string, id string, cls long, cut boolean, score double, bands array<long>")
+    return rows.mapInArrow(run, "table_name string, id string, cls long, cut boolean, open boolean, score double, bands array<long>")
 
 
 def text_class(name: str) -> Column:
@@ -162,12 +164,12 @@ def stops_inside(short: str, long: str, short_words: list[str] | None = None, lo
     return None if _CLOSED.search(short) else True
 
 
-def inside_any(members: list[tuple[int, str]], across: bool) -> list[bool | None]:
-    """What alignment with the others of a bucket says of each ``(block, text)``: true if any copy goes on inside a sentence.
+def inside_any(members: list[tuple[int, str, bool]], across: bool) -> list[bool | None]:
+    """What alignment with the others of a bucket says of each open ``(block, text, open)``: true if any copy goes on inside a sentence.
 
     With ``across`` only pairs from different blocks are looked at.
     """
-    cut = [text_words(t) for _, t in members]
+    cut = [text_words(t) for _, t, _ in members]
     # a record can only align where the copy has its last two words, the last one perhaps longer
     flat = [f" {' '.join(w)}" for w in cut]
     sets = [set(w) for w in cut]
@@ -176,10 +178,10 @@ def inside_any(members: list[tuple[int, str]], across: bool) -> list[bool | None
     known: dict[str, bool | None] = {}
     at_least = 0
     for i in order:
-        a, (block, text) = cut[i], members[i]
+        a, (block, text, is_open) = cut[i], members[i]
         while at_least < len(order) and len(cut[order[at_least]]) >= len(a):
             at_least += 1
-        if len(a) < 4:
+        if len(a) < 4 or not is_open:
             continue
         if not across and text in known:
             said[i] = known[text]
@@ -197,19 +199,19 @@ def inside_any(members: list[tuple[int, str]], across: bool) -> list[bool | None
 
 
 def aligned(judged: DataFrame, texts: DataFrame) -> DataFrame:
-    """``cls, inside``: what the alignment with longer near-copies says of a text, for ``judged(cls, bands)`` and ``texts(cls, t)``.
+    """``cls, inside``: what the alignment with longer near-copies says of a text, for ``judged(cls, open, bands)`` and ``texts(cls, t)``.
 
     Buckets with the same members are looked at once. A bucket of more than ``BLOCK`` texts is
     cut into blocks and every two blocks meet in one place, so none is left out and no task holds
     more than two blocks.
     """
-    keyed = judged.groupBy("cls").agg(F.first("bands").alias("bands")).select("cls", F.explode(F.array_distinct("bands")).alias("band"))
-    held = keyed.groupBy("band").agg(F.count("cls").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("members")).where("k > 1")
+    keyed = judged.groupBy("cls").agg(F.first("bands").alias("bands"), F.first("open").alias("open")).select("cls", "open", F.explode(F.array_distinct("bands")).alias("band"))
+    held = keyed.groupBy("band").agg(F.count("cls").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("members"), F.bool_or("open").alias("open")).where("k > 1 AND open")
     held = held.groupBy("k", "members").agg(F.min("band").alias("band"))
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     met = keyed.join(held.select("band", blocks.alias("b")).hint("merge"), "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("b")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    met = met.select("cls", "band", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    met = met.select("cls", "open", "band", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     # each text is fetched once, and each bucket's rows follow one another
     rows = met.join(texts.groupBy("cls").agg(F.min("t").alias("t")).hint("merge"), "cls").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
@@ -219,23 +221,23 @@ def aligned(judged: DataFrame, texts: DataFrame) -> DataFrame:
         def told(held: list[tuple]) -> list[tuple]:
             if len(held) < 2:
                 return []
-            said = inside_any([(own, text) for own, text, _ in held], bucket[1] != bucket[2])
-            return [(cls, inside) for (_, _, cls), inside in zip(held, said) if inside is not None]
+            said = inside_any([r[:3] for r in held], bucket[1] != bucket[2])
+            return [(cls, inside) for (*_, cls), inside in zip(held, said) if inside is not None]
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_())], names=["cls", "inside"])
 
         for batch in batches:
             out = []
-            for band, x, y, own, text, cls in zip(*(c.to_pylist() for c in batch.columns)):
+            for band, x, y, own, text, is_open, cls in zip(*(c.to_pylist() for c in batch.columns)):
                 if (band, x, y) != bucket:
                     out.extend(told(held))
                     bucket, held = (band, x, y), []
-                held.append((own, text, cls))
+                held.append((own, text, is_open, cls))
             yield batch_of(out)
         yield batch_of(told(held))
 
-    found = rows.select("band", "x", "y", "own", "t", "cls").mapInArrow(run, "cls long, inside boolean")
+    found = rows.select("band", "x", "y", "own", "t", "open", "cls").mapInArrow(run, "cls long, inside boolean")
     return found.groupBy("cls").agg(F.max("inside").alias("inside"))
 
 
@@ -243,7 +245,7 @@ def verdicts(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
     """``table_name, id, cut, inside`` for ``(table, rows with id, text column)``; ``inside`` is null where no copy was aligned."""
     judged = stored(reduce(DataFrame.unionByName, [judge_records(df, col, name).drop("score") for name, df, col in sources]))
     texts = reduce(DataFrame.unionByName, [df.select(F.col(col).alias("t")).where("t IS NOT NULL").select(text_class(name).alias("cls"), "t") for name, df, col in sources])
-    return judged.select("table_name", "id", "cls", "cut").join(aligned(judged.select("cls", "bands"), texts).hint("merge"), "cls", "left").drop("cls")
+    return judged.select("table_name", "id", "cls", "cut").join(aligned(judged.select("cls", "open", "bands"), texts).hint("merge"), "cls", "left").drop("cls")
 
 
 def truncated(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
