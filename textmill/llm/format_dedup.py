@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.runtime import checkpoint
+from textmill.runtime import stored
 
 #: Names of labelled fields, longest first where one holds another.
 FIELD_LABELS = (
@@ -72,7 +72,7 @@ def _same_multiset(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(a, lambda x: count(a, x) == count(b, x))
 
 
-def collapse_formatting(df: DataFrame, id_col: str = "id", text_col: str = "original_text", salts: int = 16) -> DataFrame:
+def collapse_formatting(df: DataFrame, id_col: str = "id", text_col: str = "original_text", task_rows: int = 20_000) -> DataFrame:
     """One row per distinct id: ``id, class_id`` (smallest id of its class) and ``copies`` of the class.
 
     The fingerprints alone are counted first; texts are taken up again only for groups of two
@@ -86,26 +86,25 @@ def collapse_formatting(df: DataFrame, id_col: str = "id", text_col: str = "orig
         return F.when(~blank, fingerprint(pairs))
 
     # stored, as it is read three times and costs a pass over all texts
-    seen = checkpoint(rows.select("id", _let(fields(F.col("t")), summary).alias("fp"))).where("fp IS NOT NULL")
-    groups = seen.groupBy("fp").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
+    seen = stored(rows.select("id", _let(fields(F.col("t")), summary).alias("fp"))).where("fp IS NOT NULL")
+    groups = seen.groupBy("fp").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.ceil(F.count("id") / task_rows).cast("int").alias("salts")).where("first_id < last_id")
     # only ids move here; the texts of groups of two and more are fetched and taken apart again
-    wanted = seen.join(groups.select("fp", "first_id"), "fp").select("id", "fp", "first_id").distinct()
-    members = checkpoint(rows.join(wanted, "id").withColumn("p", fields(F.col("t"))).drop("t"))
-    first = members.where("id = first_id").groupBy("fp").agg(F.first("p").alias("q"))
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    wanted = seen.join(groups.select("fp", "first_id", "salts").hint("merge"), "fp").select("id", "fp", "first_id", "salts").distinct()
+    members = stored(rows.join(wanted.hint("merge"), "id").withColumn("p", fields(F.col("t"))).drop("t"))
+    own = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    first = members.where("id = first_id").groupBy("fp").agg(F.first("p").alias("q"), F.first("salts").alias("salts"))
+    first = first.withColumn("salt", every).drop("salts")
     checked = (
-        members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(first, ["fp", "salt"])
+        members.withColumn("salt", own).join(first.hint("merge"), ["fp", "salt"])
         .withColumn("same", _same_multiset(F.col("p"), F.col("q")))
     )
     # a record whose fingerprint collides is grouped with its equals by its own pairs
     key = F.when(F.col("same"), F.lit("")).otherwise(F.concat_ws("\u0001", F.array_sort("p")))
-    classed = checked.select("id", "fp", key.alias("k")).distinct()
-    sizes = classed.groupBy("fp", "k").agg(F.min("id").alias("class_id"), F.count("id").alias("copies"))
-    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    grouped = (
-        classed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        .join(sizes, ["fp", "k", "salt"]).select("id", "class_id", "copies")
-    )
+    classed = checked.select("id", "fp", "salts", key.alias("k")).distinct()
+    sizes = classed.groupBy("fp", "k").agg(F.min("id").alias("class_id"), F.count("id").alias("copies"), F.first("salts").alias("salts"))
+    sizes = sizes.withColumn("salt", every).drop("salts")
+    grouped = classed.withColumn("salt", own).join(sizes.hint("merge"), ["fp", "k", "salt"]).select("id", "class_id", "copies")
     return grouped
 
 

@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,9 +29,9 @@ from textmill.llm.ppm import LANGUAGES, WORD, Scorer, words
 #: Bound of the fitting sample: documents per language, and signs per document.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 4000
-#: Least words (or Han signs) and lead in bits of a sentence that stands on its own.
-LEAST_WORDS = 3
-LEAD_BITS = 40.0
+#: Least words (or Han signs) of a sentence that stands on its own, and its least lead in bits: so many a word, and no more than the second.
+LEAST_WORDS = 2
+LEAD_A_WORD, LEAD_BITS = 16.0, 40.0
 
 #: Spellings of language labels.
 _ALIASES = {
@@ -80,7 +81,7 @@ def segments(scorer: Scorer, text: str) -> list[tuple[int, int, str, float]]:
         return []
     weight: Counter = Counter()
     for _, _, n, lang, lead, _ in rows:
-        if n >= LEAST_WORDS and lead >= 4:
+        if n >= 3 and lead >= 4:
             weight[lang] += n
     if not weight:
         bits = {k: sum(r[5][k] for r in rows) for k in rows[0][5]}
@@ -88,7 +89,7 @@ def segments(scorer: Scorer, text: str) -> list[tuple[int, int, str, float]]:
     main = max(weight, key=lambda k: (weight[k], k))
     out: list[list] = []
     for start, end, n, lang, lead, bits in rows:
-        other = lang != main and n >= LEAST_WORDS and bits[main] - bits[lang] >= LEAD_BITS and lead >= 6
+        other = lang != main and n >= LEAST_WORDS and bits[main] - bits[lang] >= min(LEAD_BITS, LEAD_A_WORD * n) and lead >= 1
         name = lang if other else main
         rival = min(v for k, v in bits.items() if k != name)
         lead = rival - bits[name]
@@ -127,11 +128,17 @@ def worker_scorer(key: int, counts: dict) -> Scorer:
     return _SCORERS[key]
 
 
+def content_key(counts: dict[str, dict[str, int]]) -> int:
+    """Number that differs for fits with different words or counts, so a worker never uses a model of another fit."""
+    lines = (f"{lang}\t{word}\t{n}\n" for lang in sorted(counts) for word, n in sorted(counts[lang].items()))
+    return xxhash.xxh64_intdigest("".join(lines)) >> 1
+
+
 def fit(spark: SparkSession, sf_dir: str):
     """Broadcast of the fitted word counts; bounded by the sample."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     counts = fit_counts(docs)
-    return spark.sparkContext.broadcast((hash(str(sorted((k, len(v)) for k, v in counts.items()))), counts))
+    return spark.sparkContext.broadcast((content_key(counts), counts))
 
 
 def record_segments(df: DataFrame, model, id_col: str = "id", label_col: str = "language", text_col: str = "original_text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.runtime import checkpoint
+from textmill.runtime import stored
 
 #: Cyrillic and Greek letters and the Latin letters they look like.
 _CYRILLIC = "аеорсухіјѕԁһԛԝѵӏАВЕКМНОРСТУХІЈЅԌԚԜҮ"
@@ -97,17 +97,18 @@ def normalize_sql(column: str = "text") -> tuple[str, str]:
     return skeleton, f"SELECT id, raw, {form} AS form FROM (SELECT id, raw, sk, {cyr_text} AS cyr FROM skeletons)"
 
 
-def _normalize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_sql(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """``id, raw`` and the ``column`` asked for, ``form`` or ``sk``, from DuckDB inside each batch."""
     skeleton, form = normalize_sql("raw")
     con = duckdb.connect(config={"threads": 1})
-    schema = pa.schema([("id", pa.int64()), ("raw", pa.string()), ("form", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("raw", pa.string()), (column, pa.string())])
     for batch in batches:
         if batch.num_rows == 0:
             continue
         con.register("batch", pa.Table.from_batches([batch]))
-        con.execute(f"CREATE OR REPLACE TEMP TABLE skeletons AS SELECT id, raw, {skeleton} AS sk FROM batch")
-        result = con.execute(form)
-        out = (result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.fetch_arrow_table()).cast(schema)
+        if column == "form":
+            con.execute(f"CREATE OR REPLACE TEMP TABLE skeletons AS SELECT id, raw, {skeleton} AS sk FROM batch")
+        out = con.sql(form if column == "form" else f"SELECT id, raw, {skeleton} AS sk FROM batch").to_arrow_table().cast(schema)
         con.unregister("batch")
         yield from out.to_batches()
 
@@ -115,7 +116,19 @@ def _normalize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def normalize_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, raw, form``: each text and its consistent form."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("raw"))
-    return rows.mapInArrow(_normalize_batches, "id long, raw string, form string")
+    return rows.mapInArrow(lambda batches: _run_sql(batches, "form"), "id long, raw string, form string")
+
+
+def skeletons(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, raw, sk``: the skeleton alone, which two texts share exactly if they share their form, at half the cost."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("raw"))
+    return rows.mapInArrow(lambda batches: _run_sql(batches, "sk"), "id long, raw string, sk string")
+
+
+def look_classes(df: DataFrame) -> DataFrame:
+    """``id, look, stored``: hashes of what a text looks like and of what it is stored as, for all rows with both."""
+    rows = skeletons(df).where("id IS NOT NULL AND raw IS NOT NULL")
+    return stored(rows.select("id", F.md5("sk").alias("look"), F.md5("raw").alias("stored")).distinct())
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +137,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     Equal texts are one member with all its ids, so only different spellings of one form meet;
     their ids are expanded last, as the asked columns name documents.
     """
-    rows = normalize_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("id IS NOT NULL AND raw IS NOT NULL")
-    keyed = checkpoint(rows.select("id", F.md5("form").alias("look"), F.md5("raw").alias("stored")).distinct())
+    keyed = look_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spellings = keyed.groupBy("look", "stored").agg(F.lit(1).alias("one"))
     mixed = spellings.groupBy("look").agg(F.count("stored").alias("k")).where("k > 1").select("look")
     spellings = spellings.join(mixed, "look").select("look", "stored")
@@ -140,3 +152,11 @@ def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's consistent form, and whether it differs from what is stored."""
     rows = normalize_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select(F.col("id").alias("doc_id"), F.col("form").alias("text"), (~F.col("raw").eqNullSafe(F.col("form"))).alias("changed")).distinct()
+
+
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its class of equal looks (named by its smallest id) and the number of spellings and documents of the class."""
+    keyed = look_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    spellings = keyed.groupBy("look", "stored").agg(F.min("id").alias("first"), F.countDistinct("id").alias("n"))
+    classes = spellings.groupBy("look").agg(F.min("first").alias("class_id"), F.count("stored").alias("spellings"), F.sum("n").alias("documents"))
+    return keyed.select("id", "look").distinct().join(classes, "look").select(F.col("id").alias("doc_id"), "class_id", "spellings", "documents").distinct()

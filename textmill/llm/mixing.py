@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.llm.tokens import TOKENIZER, count_tokens
-from textmill.runtime import checkpoint, prefix_sum
+from textmill.runtime import prefix_sum, stored
 
 
 def draw(docs: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
@@ -38,7 +38,9 @@ def draw(docs: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
     rows = docs.join(F.broadcast(plan.select("mix_name", "source", "rate", "offset", "max_repeats")), "source")
     h = F.xxhash64(F.lit(seed + 1), F.col("doc_id"))
     size_class = F.floor(F.log2(F.col("n_tokens") + 1) * 64).cast("int")
-    bucket = size_class * 64 + F.shiftrightunsigned(h, 58).cast("int")
+    # buckets follow the order whatever their number, which only spreads the work: one for some ten thousand rows of a size class
+    bits = min(max((docs.count() >> 14).bit_length(), 6), 20)
+    bucket = size_class * (1 << bits) + F.shiftrightunsigned(h, 64 - bits).cast("int")
     ranked = prefix_sum(rows, ["mix_name", "source"], bucket, [h, F.col("doc_id")], F.lit(1.0), "k")
     upto = lambda k: F.floor(F.col("offset") + F.col("rate") * k)
     copies = F.least(upto(F.col("k") + 1) - upto(F.col("k")), F.col("max_repeats").cast("long"))
@@ -48,7 +50,7 @@ def draw(docs: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
 def draw_documents(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").where("doc_id IS NOT NULL AND source IS NOT NULL")
     sized = count_tokens(docs, "text", ["doc_id", "source"], tokenizer)
-    sized = checkpoint(sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens")))
+    sized = stored(sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens")))
     targets = spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
     return draw(sized, targets), targets
 

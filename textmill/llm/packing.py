@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.tokens import TOKENIZER, count_tokens
-from textmill.runtime import checkpoint
+from textmill.runtime import stored
+
+
+#: Tasks the groups are spread over at most.
+MOST_TASKS = 20_000
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -48,7 +52,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
-def pack(docs: DataFrame, capacities: DataFrame, group_size: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, capacities: DataFrame, group_size: int = 1024) -> DataFrame:
     """``capacity_name, capacity_tokens, doc_id, piece_no, token_start, tokens, container`` for ``docs(doc_id, n_tokens)``.
 
     ``capacities`` is a short table (a row per container kind) and is read by the driver.
@@ -78,13 +82,15 @@ def pack(docs: DataFrame, capacities: DataFrame, group_size: int = 4096) -> Data
 
     # a group per key, so a task holds one group of bounded size at a time
     keyed = docs.withColumn("g", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(groups)).cast("int"))
+    # a number of partitions that is asked for is not merged by its bytes, which are few for the work behind them
+    keyed = keyed.repartition(min(groups, MOST_TASKS), "g")
     schema = "capacity_name string, capacity_tokens int, doc_id long, piece_no int, token_start long, tokens int, container string"
     return keyed.groupBy("g").applyInPandas(lambda pdf: pd.concat(list(run(iter([pdf])))) if kinds else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")]), schema)
 
 
 def pack_documents(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    sized = checkpoint(count_tokens(docs, "text", ["doc_id"], tokenizer).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")))
+    sized = stored(count_tokens(docs, "text", ["doc_id"], tokenizer).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")))
     capacities = spark.read.parquet(f"{sf_dir}/pack_capacities.parquet").select("capacity_name", "capacity_tokens")
     return pack(sized, capacities)
 

@@ -21,12 +21,12 @@ LANGUAGES = ("en", "zh", "ru", "de", "es", "uk")
 
 #: Seed texts, so that a language with few labelled documents still has a model.
 SEEDS = {
-    "en": "The weather was fine this morning and we walked to the station before the train left. She said that nothing had changed since they moved into the house, although the windows would not close and the kitchen was too small for all of us. I have been there many times with my friends, because people are kind and the food is good. Would you please tell him what happened when the old man opened the door? There are things which should never be forgotten. It works well, but it is not what I wanted, so I will send it back and ask for the money. Recipient, order, phone, address, name, please write or call me after six, thank you for your help.",
-    "zh": "今天早上天气很好我们走到车站的时候火车还没有开。她说自从搬家以后什么都没有变虽然窗户关不上厨房也太小了。我和朋友去过很多次因为那里的人很好饭菜也好吃。请你告诉他老人开门的时候发生了什么事情。这个东西用起来不错但不是我想要的所以我要退货。谢谢大家的帮助有问题请打电话给我。",
-    "ru": "Сегодня утром погода была хорошая, и мы пошли на вокзал раньше, чем ушёл поезд. Она сказала, что ничего не изменилось с тех пор, как они переехали в новый дом, хотя окна не закрываются и кухня слишком маленькая для всех нас. Я был там много раз со своими друзьями, потому что люди добрые и еда вкусная. Скажите ему, пожалуйста, что случилось, когда старик открыл дверь? Есть вещи, которые нельзя забывать. Работает хорошо, но это не то, что я хотела, поэтому верну и попрошу деньги. Получатель, заказ, телефон, адрес, имя, напишите или позвоните мне после шести, спасибо за помощь.",
-    "de": "Heute Morgen war das Wetter schön, und wir gingen zum Bahnhof, bevor der Zug abfuhr. Sie sagte, dass sich nichts geändert habe, seit sie in das neue Haus gezogen sind, obwohl die Fenster nicht schließen und die Küche für uns alle zu klein ist. Ich war schon oft mit meinen Freunden dort, weil die Leute freundlich sind und das Essen gut schmeckt. Würden Sie ihm bitte sagen, was geschehen ist, als der alte Mann die Tür öffnete? Es gibt Dinge, die man nie vergessen darf. Es funktioniert gut, aber ich wollte etwas anderes und schicke es zurück. Leider, vorweg, kurz gesagt, meiner Meinung nach, vielen Dank für die Hilfe, bitte rufen Sie mich nach sechs Uhr an.",
-    "es": "Esta mañana hacía buen tiempo y fuimos andando a la estación antes de que saliera el tren. Ella dijo que nada había cambiado desde que se mudaron a la casa nueva, aunque las ventanas no cierran y la cocina es demasiado pequeña para todos nosotros. He estado allí muchas veces con mis amigos, porque la gente es amable y la comida está rica. ¿Puede decirle qué pasó cuando el viejo abrió la puerta? Hay cosas que nunca se deben olvidar. Funciona bien, pero no es lo que yo quería, así que lo devuelvo y pido el dinero. Por desgracia, en resumen, para mí, muchas gracias por su ayuda, llámeme después de las seis.",
-    "uk": "Сьогодні вранці погода була гарна, і ми пішли на вокзал раніше, ніж рушив потяг. Вона сказала, що нічого не змінилося відтоді, як вони переїхали до нового будинку, хоча вікна не зачиняються і кухня замала для всіх нас. Я був там багато разів зі своїми друзями, тому що люди добрі й їжа смачна. Скажіть йому, будь ласка, що сталося, коли старий відчинив двері? Є речі, яких не можна забувати. Працює добре, але це не те, чого я хотіла, тому поверну і попрошу гроші. На жаль, якщо коротко, чесно кажучи, під час відпустки, через місяць, щоб користуватися, дуже дякую за допомогу, зателефонуйте мені після шостої.",
+    "en": "The weather was fine this morning and we walked to the station before the train left. She said that nothing had changed since they moved into the house, although the windows would not close and the kitchen was too small for all of us. I have been there many times with my friends, because people are kind and the food is good. Would you please tell him what happened when the old man opened the door? There are things which should never be forgotten. It works well, but it is not what I wanted, so I will send it back and ask for the money. The garden lies behind the station, and in autumn the children gather leaves there while their parents sit on the bench and read the paper.",
+    "zh": "今天早上天气很好我们走到车站的时候火车还没有开。她说自从搬家以后什么都没有变虽然窗户关不上厨房也太小了。我和朋友去过很多次因为那里的人很好饭菜也好吃。请你告诉他老人开门的时候发生了什么事情。这个东西用起来不错但不是我想要的所以我要退货。花园在车站后面秋天孩子们在那里捡叶子父母坐在长椅上看报纸。",
+    "ru": "Сегодня утром погода была хорошая, и мы пошли на вокзал раньше, чем ушёл поезд. Она сказала, что ничего не изменилось с тех пор, как они переехали в новый дом, хотя окна не закрываются и кухня слишком маленькая для всех нас. Я был там много раз со своими друзьями, потому что люди добрые и еда вкусная. Скажите ему, пожалуйста, что случилось, когда старик открыл дверь? Есть вещи, которые нельзя забывать. Работает хорошо, но это не то, что я хотела, поэтому верну и попрошу деньги. Сад лежит за вокзалом, и осенью дети собирают там листья, пока их родители сидят на скамейке и читают газету.",
+    "de": "Heute Morgen war das Wetter schön, und wir gingen zum Bahnhof, bevor der Zug abfuhr. Sie sagte, dass sich nichts geändert habe, seit sie in das neue Haus gezogen sind, obwohl die Fenster nicht schließen und die Küche für uns alle zu klein ist. Ich war schon oft mit meinen Freunden dort, weil die Leute freundlich sind und das Essen gut schmeckt. Würden Sie ihm bitte sagen, was geschehen ist, als der alte Mann die Tür öffnete? Es gibt Dinge, die man nie vergessen darf. Es funktioniert gut, aber ich wollte etwas anderes und schicke es zurück. Der Garten liegt hinter dem Bahnhof, und im Herbst sammeln die Kinder dort Blätter, während ihre Eltern auf der Bank sitzen und Zeitung lesen.",
+    "es": "Esta mañana hacía buen tiempo y fuimos andando a la estación antes de que saliera el tren. Ella dijo que nada había cambiado desde que se mudaron a la casa nueva, aunque las ventanas no cierran y la cocina es demasiado pequeña para todos nosotros. He estado allí muchas veces con mis amigos, porque la gente es amable y la comida está rica. ¿Puede decirle qué pasó cuando el viejo abrió la puerta? Hay cosas que nunca se deben olvidar. Funciona bien, pero no es lo que yo quería, así que lo devuelvo y pido el dinero. El jardín está detrás de la estación, y en otoño los niños recogen hojas mientras sus padres se sientan en el banco a leer el periódico.",
+    "uk": "Сьогодні вранці погода була гарна, і ми пішли на вокзал раніше, ніж рушив потяг. Вона сказала, що нічого не змінилося відтоді, як вони переїхали до нового будинку, хоча вікна не зачиняються і кухня замала для всіх нас. Я був там багато разів зі своїми друзями, тому що люди добрі й їжа смачна. Скажіть йому, будь ласка, що сталося, коли старий відчинив двері? Є речі, яких не можна забувати. Працює добре, але це не те, чого я хотіла, тому поверну і попрошу гроші. Сад лежить за вокзалом, і восени діти збирають там листя, поки їхні батьки сидять на лавці та читають газету.",
 }
 
 #: Common transliteration of Russian and Ukrainian letters.
