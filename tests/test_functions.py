@@ -105,15 +105,44 @@ def test_rationale(spark):
 def test_annotation(spark):
     got = one(spark, parse.annotation(F.col("o")), o='<think>x</think> {"negative": 1, "neutral": 1, "positive": 2}')
     assert got["probabilities"] == pytest.approx([0.25, 0.25, 0.5]) and got["hard_label"] == 2
+    assert got["thinking_preview"] == "x"
     assert one(spark, parse.annotation(F.col("o")), o="no object") is None
 
 
+@pytest.mark.parametrize(
+    "reply,shares,conf",
+    [
+        ('{"negative": "0.5", "positive": 0.5, "neutral": 1}', [0.25, 0.5, 0.25], 0.5), ('{"positive": 0.34}', [0.33, 0.33, 0.34], 0.34), ('{"negative": 0, "neutral": 0, "positive": 0}', [0.33, 0.33, 0.34], 0.34),
+        ('{"positive": null}', None, None), ('{"positive": "much"}', None, None), ('{"positive": 1, "confidence": null}', None, None), ('{"positive": 1, "confidence": "0.7", "neutral": 0, "negative": 1}', [0.5, 0.0, 0.5], 0.7),
+        ('{"positive": true, "neutral": 0, "negative": 0}', [0.0, 0.0, 1.0], 1.0), ('{"positive": [1]}', None, None), ("{'positive': 1}", None, None), ('{"positive": "1d"}', None, None), ("", None, None),
+    ],
+)
+def test_annotation_reads_numbers_only(spark, reply, shares, conf):
+    got = one(spark, parse.annotation(F.col("o")), o=reply)
+    assert (got is None) is (shares is None)
+    if shares:
+        assert got["probabilities"] == pytest.approx(shares) and got["confidence"] == pytest.approx(conf) and got["thinking_preview"] == ""
+
+
+def test_annotation_previews_the_first_thought(spark):
+    reply = "<|begin_of_thought|> " + "y" * 300 + "<|end_of_thought|><think>b</think>" + '{"positive": 1}'
+    assert one(spark, parse.annotation(F.col("o")), o=reply)["thinking_preview"] == "y" * 200
+
+
+def test_annotation_batch(spark):
+    read = lambda o: one(spark, parse.annotation_batch(F.col("o")), o=o)
+    got = read('so {"negative": 1, "neutral": 1, "positive": 2, "reasoning": "why"} it is')
+    assert got["probabilities"] == pytest.approx([0.25, 0.25, 0.5]) and got["reasoning"] == "why" and got["raw_response"].startswith("so {")
+    assert read('{"positive": "0.5"}') is None and read("[1]") is None and read('{"a": {"b": 1') is None
+    assert read('{"positive": 1, "confidence": "high"}')["confidence"] is None and read("{}")["reasoning"] == ""
+
+
 def test_strip_thinking(spark):
     got = one(spark, parse.strip_thinking(F.col("o")), o="<think> a </think> b <think>c</think>")
     assert (got["answer"], got["thinking"]) == ("b", "a")
 
 
-@pytest.mark.parametrize("raw,want", [("Review: good<|im_end|>x", "good"), ("Review: good", "good"), ("Review: <|im_end|>x", None), ("none", None)])
+@pytest.mark.parametrize("raw,want", [("Review: good<|im_end|>x", "good"), ("Review: good", "good"), ("Review: <|im_end|>x", ""), ("none", None), ("Review: ", None), ("Review: \n\t a\u00a0b \u3000\n<|im_end|>", "a\u00a0b"), ("Review:  ", "")])
 def test_review_of_prompt(spark, raw, want):
     assert one(spark, parse.review_of_prompt(F.col("o")), o=raw) == want
 
@@ -144,3 +173,29 @@ def test_tokens(spark):
     assert one(spark, text.tokens_russian(F.col("t")), t="Очень хороший tovar") == ["очень", "хороший"]
     assert one(spark, text.last_position(F.col("t"), "ab"), t="abxab") == 3
     assert one(spark, text.last_position(F.col("t"), "ab"), t="x") == -1
+
+
+def test_strip_takes_white_space_of_any_kind(spark):
+    raw = "\u00a0\t\x1c\n a \u3000 b\u2028\r "
+    assert one(spark, text.strip(F.col("o")), o=raw) == raw.strip() == "a \u3000 b"
+    assert one(spark, text.strip(F.col("o")), o="a" + " " * 50_000 + "b ") == "a" + " " * 50_000 + "b"
+
+
+def test_topic_tokens_keep_words_apart(spark):
+    assert one(spark, text.tokens_topic(F.col("o")), o="Great\u00a0lid!\u2009Don't\x1cbuy") == ["great", "lid", "dont", "buy"]
+
+
+@pytest.mark.parametrize("language,raw,want", [("en", "The lid's fine2 OK", ["the", "lid", "s", "ok"]), ("zh", "好 lid 的", ["好", "的"]), ("ru", "Крышка lid Ок", ["крышка", "ок"]), ("xx", "A b", ["a", "b"]), ("en", None, [])])
+def test_library_tokens_fall_back(spark, language, raw, want):
+    for name in ("jieba", "nltk", "natasha"):
+        try:
+            __import__(name)
+            pytest.skip(f"{name} is installed")
+        except ImportError:
+            pass
+    assert one(spark, text.library_tokens(F.col("o"), language), o=raw) == want
+
+
+@pytest.mark.parametrize("path,want", [("/data/cot_Home_1.jsonl", "Home"), ("cot.json", "unknown"), ("a/b_c", "c"), ("x__y.json", "")])
+def test_category_of_a_file(spark, path, want):
+    assert one(spark, records.file_category(F.col("o")), o=path) == want

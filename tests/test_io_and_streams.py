@@ -1,7 +1,10 @@
 """Round trips of sources and sinks, and replay of the annotation stream."""
 
+import datetime as dt
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.schemas import TRAINING_ROW
@@ -51,7 +54,45 @@ def test_split_files_get_ids(spark, tmp_path):
     for split, texts in (("train", ["a", "b"]), ("val", ["a"])):
         (tmp_path / f"{split}.jsonl").write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
     rows = readers.read_splits(spark, str(tmp_path), ["train", "val"], "text string").collect()
-    assert len({r["id"] for r in rows}) == 3 and all(r["id"].startswith(r["split"] + "_") for r in rows)
+    assert {(r["id"], r["text"]) for r in rows} == {("train_0", "a"), ("train_1", "b"), ("val_0", "a")}
+
+
+def test_places_of_a_file_read_in_parts(spark, tmp_path):
+    (tmp_path / "train.jsonl").write_text("".join(json.dumps({"n": i}) + "\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.read_splits(spark, str(tmp_path), ["train"], "n int")
+        assert rows.rdd.getNumPartitions() >= 1 and {(r["id"], r["n"]) for r in rows.collect()} == {(f"train_{i}", i) for i in range(3000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_layouts_fill_their_places_and_label_unknown_ratings(spark, tmp_path):
+    folder = tmp_path / "raw_review_Home"
+    folder.mkdir()
+    (folder / "a.json").write_text("".join(json.dumps({"text": t, "rating": r, "parent_asin": "p"}) + "\n" for t, r in (("\u00a0x\n", 9.0), ("x", None), ("y", 4.9), ("y", 4.9))))
+    got = readers.read_layout(spark, "mcauley", str(tmp_path), "en", "amazon_mcauley", "Home").collect()
+    assert sorted((r["original_text"], r["rating"], r["sentiment_label"]) for r in got if r["rating"]) == [("y", 4, 2), ("y", 4, 2)]
+    assert [(r["original_text"], r["sentiment_label"]) for r in got if r["rating"] is None] == [("x", 1)]
+    assert len({r["id"] for r in got}) == 3
+    again = readers.read_layout(spark, "mcauley", str(tmp_path), "en", "amazon_mcauley", "Home").collect()
+    assert {r["id"] for r in got} == {r["id"] for r in again}
+
+
+def test_a_source_that_fails_is_left_out(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    assert readers.union_languages({"en": df, "zh": lambda: spark.read.json("/nowhere/at/all"), "ru": None, "de": lambda: df}).count() == 2
+
+
+def test_json_arrays_in_parts(spark, tmp_path):
+    df = spark.createDataFrame([(i, "好" if i % 2 else None) for i in range(50)], "n int, t string").repartition(3)
+    sinks.write_json_array(df, str(tmp_path / "a"))
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("part-*")]
+    assert sorted(r["n"] for part in parts for r in part) == list(range(50)) and any("好" in p.read_text() for p in (tmp_path / "a").glob("part-*"))
+    assert readers.read_json(spark, str(tmp_path / "a"), "n int, t string").count() == 50
+    sinks.write_json_array(df.where("n < 0").coalesce(1), str(tmp_path / "e"))
+    assert all(p.read_text().strip() in ("", "[]") for p in (tmp_path / "e").glob("part-*"))
 
 
 def test_line_limit_counts_bad_lines(spark, tmp_path):
@@ -87,3 +128,28 @@ def test_annotation_stream_does_each_row_once(spark, sf_dir, tmp_path):
     assert annotate.run_annotation(spark, src, rows.schema, out, state) == want + 7
     stored = annotate._stored(spark, out)
     assert stored.select("id").distinct().count() == stored.count()
+
+
+def test_a_new_checkpoint_leaves_out_what_is_stored(spark, sf_dir, tmp_path):
+    rows = spark.read.parquet(f"{sf_dir}/raw_records.parquet").select("id", F.col("original_text").alias("text")).where("text IS NOT NULL").limit(60)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.write.parquet(src)
+    n = annotate.run_annotation(spark, src, rows.schema, out, str(tmp_path / "s1"))
+    assert annotate.run_annotation(spark, src, rows.schema, out, str(tmp_path / "s2")) == n
+
+
+def test_annotation_is_throttled(spark):
+    rows = spark.createDataFrame([(str(i), "x") for i in range(16)], "id string, text string")
+    began = time.time()
+    assert annotate.annotate(rows, workers=2, pause=0.5).count() == 16
+    assert time.time() - began >= 0.5 and annotate.calls_a_second(20, 0.05) == pytest.approx(400)
+
+
+def test_streams_append_lines_and_drop_repeats(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 0, 0)), ("a", dt.datetime(2024, 1, 1, 0, 1)), ("b", dt.datetime(2024, 1, 1, 0, 2))], "k string, ts timestamp")
+    df.write.parquet(src)
+    stream = annotate.first_of_each(spark.readStream.schema(df.schema).parquet(src), "k", "ts", "1 hour")
+    annotate.append_lines(stream, out, state).awaitTermination()
+    annotate.append_lines(annotate.first_of_each(spark.readStream.schema(df.schema).parquet(src), "k", "ts", "1 hour"), out, state).awaitTermination()
+    assert sorted(r["k"] for r in spark.read.json(out).collect()) == ["a", "b"]

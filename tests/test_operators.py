@@ -1,6 +1,9 @@
 """Operators on small tables and golden matrices."""
 
 import json
+import math
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,7 +184,8 @@ def test_scorer_failures_become_nulls(spark):
 def test_report_texts(spark):
     df = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "label int, pred int")
     summary, per_class = metrics.summary(df), metrics.class_metrics(df)
-    assert json.loads(reports.json_array(summary))[0]["total_samples"] == 3
+    with pytest.raises(ValueError):
+        reports.markdown(spark.range(reports.MOST_ROWS + 1))
     assert reports.markdown(summary).splitlines()[2] == "| 0.6667 | 0.5556 | 3 |"
     assert "class 1: P 0.5000 R 1.0000" in reports.metrics_text(summary, per_class)
     assert reports.target_check(summary).head()["target_met"] is False
@@ -205,10 +209,28 @@ def test_latency_harness():
 
 
 def test_grid_search_picks_the_smaller_penalty(spark):
-    rows = [(float(i % 2), [float(i % 2), float(i % 7) / 7]) for i in range(120)]
-    df = spark.createDataFrame(rows, "label double, v array<double>").select("label", models.as_vector(F.col("v")).alias("features"))
-    best = models.grid_search(df, [0.0, 50.0], 2)
-    assert best.avgMetrics[0] >= best.avgMetrics[1]
+    # a ring around a disc: only the radial kernel can tell them apart
+    rows = [(i, i % 2, [(1 + 2 * (i % 2)) * math.cos(i), (1 + 2 * (i % 2)) * math.sin(i)]) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, label int, v array<double>").select("id", "label", models.as_vector(F.col("v")).alias("features"))
+    found = models.grid_search(df, cs=(1,), gammas=("scale",), folds=2, rounds=8)
+    assert [r["kernel"] for r in found] == ["rbf", "linear"] and found[0]["f1_macro"] > 0.9
+    held_out = models.grid_search(df, cs=(1, 10), kernels=("linear",), folds=1, rounds=5)
+    assert len(held_out) == 2
+
+
+def test_macro_f1_gives_each_class_the_same_weight(spark):
+    df = spark.createDataFrame([(0, 0)] * 8 + [(1, 0), (1, 1)], "label int, prediction int")
+    assert models.macro_f1(df) == pytest.approx((16 / 17 + 2 / 3) / 2)
+
+
+def test_platt_probabilities_follow_the_margins(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(i % 2, [float(i % 2) + (i % 5) / 10, 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "label int, v array<double>").withColumn("features", models.as_vector(F.col("v")))
+    scored = models.fit_linear_svm(df).transform(df)
+    got = models.fit_platt(scored).transform(scored).select("label", vector_to_array("probability")[1].alias("p")).collect()
+    assert min(r["p"] for r in got if r["label"]) > max(r["p"] for r in got if not r["label"])
 
 
 def test_model_round_trip(spark, tmp_path):
@@ -225,3 +247,94 @@ def test_lda_gives_each_document_a_topic(spark):
     docs = [(i, "cat dog pet fur") for i in range(10)] + [(i, "bolt nut steel saw") for i in range(10, 20)]
     _, rows = topics.lda(spark.createDataFrame(docs, "d int, t string"), "d", F.split("t", " "), 2, 10)
     assert rows.count() == 20
+
+
+@pytest.mark.parametrize("value,bin_", [(0.3, 2), (0.6, 5), (0.7, 6), (0.30000000000000004, 3), (0.1, 1), (1.0, 9), (0.0, 0)])
+def test_calibration_bounds_are_multiples_of_a_tenth(spark, value, bin_):
+    # a second row in the middle of the bin shares it: the two are judged together only then
+    df = spark.createDataFrame([(value, True), (bin_ / 10 + 0.05, False)], "c double, k boolean")
+    ece = metrics.calibration_error(df, F.col("c"), F.col("k")).head()["ece"]
+    assert ece == pytest.approx(abs(0.5 - (value + bin_ / 10 + 0.05) / 2), abs=1e-6)
+
+
+def test_confidence_out_of_range_counts_in_no_bin(spark):
+    df = spark.createDataFrame([(1.5, True), (0.95, False)], "c double, k boolean")
+    assert metrics.calibration_error(df, F.col("c"), F.col("k")).head()["ece"] == pytest.approx(0.95 / 2)
+
+
+def test_samples_of_an_id_are_averaged(spark):
+    rows = [("a", [0.2, 0.2, 0.6]), ("a", [0.4, 0.4, 0.2]), ("a", None), ("a", [0.1, None, 0.9]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0, 0.0])]
+    got = {r["id"]: r for r in quality.multi_sample_mean(spark.createDataFrame(rows, "id string, probabilities array<double>")).collect()}
+    assert set(got) == {"a", "c"} and got["a"]["n_samples"] == 2 and got["a"]["probabilities"] == pytest.approx([0.3, 0.3, 0.4]) and got["a"]["hard_label"] == 2
+
+
+def test_quarantine_keeps_every_row(spark):
+    rows = [("1", "en", "ok", 1, 3), (None, "en", "ok", 1, 3), ("2", "en", " \u00a0", 1, 3), ("3", "xx", "ok", 1, 3), ("4", "ru", "ok", 7, 3), ("5", "zh", "ok", None, 9), ("6", "zh", "ok", None, None)]
+    good, bad = quality.quarantine(spark.createDataFrame(rows, "id string, language string, original_text string, sentiment_label int, rating int"))
+    assert sorted(r["id"] for r in good.collect()) == ["1", "6"] and sorted(r["reason"] for r in bad.collect()) == ["label", "language", "no id", "no text", "rating"]
+
+
+def _cooccurrence(tokens, top, size):
+    import numpy as np
+
+    windows = [set(t[i : i + size]) for t in tokens if t for i in range(max(len(t) - size, 0) + 1)]
+    k = np.array([[sum(a in w and b in w for w in windows) for b in top] for a in top], float)
+    return k, len(windows)
+
+
+def test_window_coherence_against_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    tokens = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 14))] for _ in range(30)]
+    top = ["a", "b", "c", "d"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "doc int, tokens array<string>")
+    listed = spark.createDataFrame([(0, w, 0.1, i + 1) for i, w in enumerate(top)], "cluster int, word string, prob double, rank int")
+    k, n = _cooccurrence(tokens, top, 5)
+    p, single, eps = k / n, np.diag(k) / n, 1e-12
+    pmi = np.log((p + eps) / np.outer(single, single))
+    assert topics.coherence_uci(listed, docs, 5).head()["c_uci"] == pytest.approx(pmi[np.triu_indices(4, 1)].mean(), abs=1e-5)
+    v = pmi / -np.log(p + eps)
+    total = v.sum(0)
+    cos = (v @ total) / (np.linalg.norm(v, axis=1) * np.linalg.norm(total))
+    assert topics.coherence_cv(listed, docs, 5).head()["c_v"] == pytest.approx(cos.mean(), abs=1e-5)
+
+
+def test_gibbs_parts_two_topics_and_predicts(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice(["cat", "dog", "pet"] if i % 2 else ["nut", "bolt", "saw"]) for _ in range(6)]) for i in range(60)] + [(99, [])]
+    docs = spark.createDataFrame(rows, "doc long, tokens array<string>")
+    found = topics.fit_gibbs(docs, clusters=4, iterations=15)
+    got = {r["doc"]: r["cluster"] for r in found.collect()}
+    assert got[99] == -1 and not {got[i] for i in range(0, 60, 2)} & {got[i] for i in range(1, 60, 2)}
+    words = docs.select("doc", F.explode("tokens").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("c"))
+    known = found.where("cluster >= 0")
+    counts, sizes = topics.cluster_words(words, known), topics.cluster_sizes(words, known, 4)
+    best = {r["doc"]: r["cluster"] for r in topics.predict_mixture(docs, words, counts, sizes, 6).collect()}
+    drawn = {r["doc"]: r["cluster"] for r in topics.predict_mixture(docs, words, counts, sizes, 6, seed=3).collect()}
+    assert best[99] == -1 == drawn[99] and len(best) == 61
+    assert not {best[i] for i in range(0, 60, 2)} & {best[i] for i in range(1, 60, 2)}
+
+
+def test_cluster_labels_weigh_words_and_first_texts(spark):
+    top = spark.createDataFrame([(0, "good", 1), (0, "bad", 2), (1, "okay", 1), (3, "lid", 1)], "cluster int, word string, rank int")
+    assigned = spark.createDataFrame([(i, 0) for i in range(60)] + [(100, 1)], "doc int, cluster int")
+    tokens = spark.createDataFrame([(0, "great"), (0, "great"), (1, "great"), (55, "awful"), (56, "awful"), (57, "awful"), (100, "fine"), (100, "fine")], "doc int, word string")
+    got = {r["cluster"]: r["label"] for r in topics.cluster_labels(top, assigned, tokens, 5).collect()}
+    assert got == {0: 2, 1: 1, 2: 1, 3: 0, 4: 1}
+
+
+def test_subword_places(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer files")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    label_ids = F.array(*(F.lit(t.encode(str(k)).ids[-1]) for k in (0, 1, 2)))
+    raw = 'reason <|endoftext|> {"sentiment":2}'
+    df = spark.createDataFrame([(raw,), ("none",), (None,)], "o string")
+    got = df.select(features.subword_ids(F.col("o"), path).alias("ids"), features.subword_label_place(F.col("o"), '"sentiment":', path, label_ids).alias("at")).collect()
+    t.encode_special_tokens = True
+    assert got[0]["ids"] == t.encode(raw).ids and got[0]["at"] == len(t.encode('reason <|endoftext|> {"sentiment":').ids)
+    assert got[1]["at"] == -1 and got[2]["ids"] == []

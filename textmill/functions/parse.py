@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textmill.functions.bind import bind
-from textmill.functions.probs import argmax, normalize3
-from textmill.functions.text import after_first, before_first
+from textmill.functions.probs import argmax
+from textmill.functions.text import after_first, before_first, strip
 from textmill.schemas import THOUGHT_CLOSE, THOUGHT_OPEN, TURN_END
 
 FLAT_JSON = r"(?s)\{[^{}]*\}"
@@ -116,7 +116,7 @@ def rationale(text: Column) -> Column:
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return strip(text)
 
 
 def stated_confidence(text: Column) -> Column:
@@ -129,25 +129,95 @@ def stated_confidence(text: Column) -> Column:
 
 def strip_thinking(text: Column) -> Column:
     """``struct(answer, thinking)``: the first thought block, and the text without all of them and solution tags."""
-    first = F.coalesce(_match(text, r"(?s)<think>(.*?)</think>"), _match(text, r"(?s)<\|begin_of_thought\|>(.*?)<\|end_of_thought\|>"))
+    either = r"(?s)<\|begin_of_thought\|>(.*?)<\|end_of_thought\|>|<think>(.*?)</think>"
+    first = F.coalesce(_match(text, either, 1), _match(text, either, 2))
     rest = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
     rest = F.regexp_replace(rest, r"(?s)<\|begin_of_thought\|>.*?<\|end_of_thought\|>", "")
     rest = F.regexp_replace(rest, r"<\|(?:begin|end)_of_solution\|>", "")
     return F.struct(_strip(rest).alias("answer"), _strip(first).alias("thinking"))
 
 
+_NUMBER = r"^\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
+
+
+def _number(body: Column, key: str, default: Column, from_text: bool) -> Column:
+    """Number under a key of a parsed object, ``default`` where the key is missing, null where it holds none.
+
+    Truth values count as 0 and 1; a number written as text counts only ``from_text``.
+    """
+
+    def read(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        text = F.try_variant_get(value, "$", "string")
+        number = F.when(kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double")).when(kind == "BOOLEAN", (text == "true").cast("double"))
+        if from_text:
+            number = number.when((kind == "STRING") & text.rlike(_NUMBER), text.try_cast("double"))
+        return F.when(kind.isNull(), default).otherwise(number)
+
+    return bind(F.try_variant_get(body, f"$.{key}", "variant"), read)
+
+
+def _probabilities(body: Column, from_text: bool) -> Column:
+    """Three shares of a parsed object in the order of the labels; null if any of them is no number."""
+
+    def scale(raw: Column) -> Column:
+        total = raw[0] + raw[1] + raw[2]
+        fixed = F.array(F.lit(0.33), F.lit(0.33), F.lit(0.34))
+        return F.when(total > 0, F.transform(raw, lambda x: x / total)).when(total.isNotNull(), fixed)
+
+    return bind(F.array(*(_number(body, k, F.lit(0.33), from_text) for k in ("negative", "neutral", "positive"))), scale)
+
+
+def _is_object(body: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
+
+
 def annotation(text: Column) -> Column:
-    """``struct(probabilities, hard_label, confidence)`` of an annotator's reply; null where no object can be read."""
+    """``struct(probabilities, hard_label, confidence, thinking_preview)`` of an annotator's reply.
+
+    Null where no object can be read, or where a share or the confidence is there but is no number;
+    a missing share is 0.33 and a missing confidence the largest share.
+    """
+
+    def of_parts(parts: Column) -> Column:
+        preview = F.coalesce(F.substring(parts["thinking"], 1, 200), F.lit(""))
+
+        def of_body(body: Column) -> Column:
+            def of_probs(p: Column) -> Column:
+                return bind(
+                    _number(body, "confidence", F.array_max(p), True),
+                    lambda c: F.when(c.isNotNull(), F.struct(p.alias("probabilities"), argmax(p).alias("hard_label"), c.alias("confidence"), preview.alias("thinking_preview"))),
+                )
+
+            return F.when(_is_object(body), bind(_probabilities(body, True), lambda p: F.when(p.isNotNull(), of_probs(p))))
+
+        return bind(F.try_parse_json(first_json(parts["answer"])), of_body)
 
-    def of_body(body: Column) -> Column:
-        value = lambda k: F.get_json_object(body, f"$.{k}").try_cast("double")
-        of_probs = lambda p: F.struct(p.alias("probabilities"), argmax(p).alias("hard_label"), F.coalesce(value("confidence"), F.array_max(p)).alias("confidence"))
-        return F.when(F.try_parse_json(body).isNotNull(), bind(normalize3(value("negative"), value("neutral"), value("positive")), of_probs))
+    return bind(strip_thinking(text), of_parts)
 
-    return bind(text, lambda t: bind(first_json(strip_thinking(t)["answer"]), of_body))
+
+def annotation_batch(text: Column) -> Column:
+    """``struct(probabilities, hard_label, confidence, reasoning, raw_response)`` of a batch annotator's reply.
+
+    The first flat object is read, else the whole reply; shares must be numbers, not texts. Null where that fails.
+    """
+
+    def of_reply(text: Column) -> Column:
+        def of_body(body: Column) -> Column:
+            get = lambda k: F.try_variant_get(body, f"$.{k}", "string")
+            confidence = lambda p: _number(body, "confidence", F.array_max(p), False)
+            reasoning = F.when(F.try_variant_get(body, "$.reasoning", "variant").isNull(), F.lit("")).otherwise(get("reasoning"))
+            of_probs = lambda p: F.struct(p.alias("probabilities"), argmax(p).alias("hard_label"), confidence(p).alias("confidence"), reasoning.alias("reasoning"), text.alias("raw_response"))
+            return F.when(_is_object(body), bind(_probabilities(body, False), lambda p: F.when(p.isNotNull(), of_probs(p))))
+
+        return bind(F.try_parse_json(F.coalesce(first_json(text, greedy=False), text)), of_body)
+
+    return bind(text, of_reply)
 
 
 def review_of_prompt(text: Column) -> Column:
-    """Text after ``Review: `` up to the end mark or the end; null if there is none or it is blank."""
-    tail = after_first(text, "Review: ")
-    return F.nullif(F.trim(F.coalesce(before_first(tail, "<|im_end|>"), tail)), F.lit(""))
+    """Text after ``Review: `` up to the end mark, without white space around it, else what follows to the end.
+
+    An empty review before an end mark is an empty text; null if nothing follows.
+    """
+    return bind(after_first(text, "Review: "), lambda tail: strip(F.coalesce(before_first(tail, "<|im_end|>"), F.nullif(tail, F.lit("")))))

@@ -53,3 +53,9 @@ def valid_soft_label(soft: Column, tolerance: float = 1e-6) -> Column:
 
 def preview(value: Column, signs: int) -> Column:
     return F.substring(value, 1, signs)
+
+
+def file_category(path: Column) -> Column:
+    """Second part between underscores of a file's name without its ending; ``unknown`` where there is none."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=[^.])\.[^.]*$", "")
+    return F.coalesce(F.get(F.split(stem, "_"), F.lit(1)), F.lit("unknown"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,11 +14,21 @@ from pyspark.sql import types as T
 from textmill.functions.bind import bind
 from textmill.schemas import STOPWORDS
 
+#: The patterns decide what is removed.
 URL = r"https?://(?:[-\w.])+(?:[:\d]+)?(?:/(?:[\w/_.])*(?:\?(?:[\w&=%.])*)?(?:#(?:[\w.])*)?)?"
 EMAIL = r"\S+@\S+\.\S+"
 TAG = r"<[^>]+>"
 
 
+#: White space as the data's producers see it, for classes of Java patterns in Unicode mode.
+WHITE = r"\s\x1c-\x1f"
+
+
+def strip(text: Column) -> Column:
+    """White space of any kind cut from both ends; a run inside the text is looked at once."""
+    return F.regexp_replace(text, rf"(?U)^[{WHITE}]++|(?<![{WHITE}])[{WHITE}]++\z", "")
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
@@ -91,8 +103,8 @@ def clean_for_nlp(text: Column, language: Column, remove_stopwords: bool = True)
 
 def tokens_topic(text: Column, least: int = 3) -> Column:
     """Tokens for topic models: letters only (other signs vanish and join words), stopwords and short words out."""
-    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s]", ""))
-    words = F.filter(F.split(flat, r"\s+"), lambda x: F.length(x) >= least)
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?U)[^a-z{WHITE}]", "")
+    words = F.filter(F.split(flat, rf"(?U)[{WHITE}]+"), lambda x: F.length(x) >= least)
     return _without(words, F.array(*map(F.lit, dict.fromkeys(STOPWORDS["en"]))))
 
 
@@ -113,6 +125,64 @@ def tokens_classifier(text: Column, language: Column) -> Column:
     return F.when(language == "en", english).when(language == "zh", tokens_chinese(text)).otherwise(tokens_blank(text))
 
 
+def library_tokens(text: Column, language: str, stem: bool = False, lemma: bool = True) -> Column:
+    """Tokens by the language's usual library where a worker has it, else by the fall-backs above.
+
+    The library is loaded once per worker. English words can be stemmed, Russian ones reduced to
+    their lemma; Chinese words of one sign are left out, as the segmenter's callers do.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut = _library(language, stem, lemma)
+        for batch in batches:
+            yield batch.map(lambda t: cut(t) if t else [])
+
+    return run(text)
+
+
+def _library(language: str, stem: bool, lemma: bool):
+    """A function from text to tokens; modules that are not installed are replaced by patterns."""
+    if language == "zh":
+        try:
+            import jieba
+        except ImportError:
+            return re.compile("[一-鿿]").findall
+        return lambda t: [w.strip() for w in jieba.cut(t) if len(w.strip()) > 1]
+    if language == "en":
+        try:
+            from nltk.stem import PorterStemmer
+            from nltk.tokenize import word_tokenize
+        except ImportError:
+            word = re.compile(r"(?<!\w)[a-z]+(?!\w)")
+            return lambda t: word.findall(t.lower())
+        reduce_word = PorterStemmer().stem if stem else str
+        return lambda t: [reduce_word(w) for w in word_tokenize(t.lower()) if w.isalpha()]
+    if language == "ru":
+        whole = re.compile("[Ѐ-ӿ]+")
+        try:
+            import natasha
+        except ImportError:
+            return lambda t: [w for w in re.findall(r"\w+", t.lower()) if whole.fullmatch(w)]
+        segmenter, vocab, tagger = natasha.Segmenter(), natasha.MorphVocab(), natasha.NewsMorphTagger(natasha.NewsEmbedding())
+
+        def russian(t: str) -> list[str]:
+            doc = natasha.Doc(t)
+            doc.segment(segmenter)
+            if lemma:
+                doc.tag_morph(tagger)
+            out = []
+            for token in doc.tokens:
+                if whole.fullmatch(token.text):
+                    if lemma:
+                        token.lemmatize(vocab)
+                    out.append(token.lemma if lemma and token.lemma else token.text.lower())
+            return out
+
+        return russian
+    return lambda t: t.lower().split()
+
+
 def word_count(tokens_text: Column) -> Column:
     return F.when(F.length(tokens_text) == 0, 0).otherwise(F.size(F.split(tokens_text, " ")))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,6 +91,44 @@ def fixed_length(ids: Column, length: int = 256, pad: int = 0) -> Column:
     return bind(F.slice(ids, 1, length), pad_both)
 
 
+def subword_ids(text: Column, tokenizer: str) -> Column:
+    """Ids of a subword tokenizer's file (``.json`` of a tokenizers library, or ``.model`` of a sentence-piece one), read once per worker.
+
+    Special signs in the text are ordinary text. Null gives an empty list.
+    """
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = _tokenizer(tokenizer)
+        for batch in batches:
+            yield pd.Series(encode(batch.fillna("").tolist()))
+
+    return run(text)
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [model.encode(t) for t in texts]
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def subword_label_place(text: Column, needle: str, tokenizer: str, label_ids: Column, limit: int = 512) -> Column:
+    """Token index of the label behind the last ``needle``: the number of ids of what stands before it, if that is below
+    the number of ids (at most ``limit``) and the id there is one of ``label_ids``; else -1."""
+    before = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, needle, -1)))
+    both = F.struct(F.slice(subword_ids(text, tokenizer), 1, limit).alias("ids"), F.size(subword_ids(before, tokenizer)).alias("at"))
+    found = lambda x: F.when(F.array_contains(label_ids, F.get(x["ids"], x["at"])), x["at"]).otherwise(-1)
+    return F.when(text.contains(needle), bind(both, found)).otherwise(-1)
+
+
 def label_token_place(text: Column, needle: str, tokens: Column) -> Column:
     """Token index of the sign after the last ``needle``, for tokens that are split at blanks; -1 if it is none of 0, 1, 2."""
     at = F.length(F.substring_index(text, needle, -1))

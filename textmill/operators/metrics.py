@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,12 +92,17 @@ def normalized_confusion(df: DataFrame, truth: str = "label", predicted: str = "
 
 
 def calibration_error(df: DataFrame, conf: Column, correct: Column, bins: int = 10) -> DataFrame:
-    """Expected calibration error over equal bins, closed on the left, the last on both sides."""
+    """Expected calibration error over equal bins, closed on the left, the last on both sides.
+
+    The bounds are multiples of the bin's width in doubles, so 0.3 lies below the third of ten
+    (0.30000000000000004). Confidences outside 0..1 are in no bin but count in the whole.
+    """
     rows = df.select(conf.alias("c"), correct.cast("int").alias("k")).where("c IS NOT NULL AND k IS NOT NULL")
-    per = rows.groupBy(F.least(F.floor(F.col("c") * bins), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"), F.avg("k").alias("acc"), F.avg("c").alias("conf"))
-    return per.agg(
-        F.round(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n")
-    )
+    number = reduce(lambda a, i: a + (F.col("c") >= F.lit(i * (1.0 / bins))).cast("int"), range(1, bins), F.lit(0))
+    inside = F.col("c").between(0, 1)
+    per = rows.groupBy(F.when(inside, number).alias("b")).agg(F.count("*").alias("n"), F.avg("k").alias("acc"), F.avg("c").alias("conf"))
+    gap = F.when(F.col("b").isNotNull(), F.col("n") * F.abs(F.col("acc") - F.col("conf"))).otherwise(0.0)
+    return per.agg(F.round(F.sum(gap) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
 
 
 def confidence_gap(df: DataFrame, conf: Column, correct: Column) -> DataFrame:
@@ -124,6 +131,14 @@ def latency(df: DataFrame, value: Column, groups: list[str], batch_size: int = 1
     )
 
 
+def epoch_means(df: DataFrame, epoch: Column, **values: Column) -> DataFrame:
+    """``epoch, n`` and the mean of each named value, with the range of the one named ``temp``."""
+    parts = [F.round(F.avg(v), 6).alias(f"avg_{name}") for name, v in values.items()]
+    if "temp" in values:
+        parts += [F.min(values["temp"]).alias("min_temp"), F.max(values["temp"]).alias("max_temp")]
+    return df.groupBy(epoch.alias("epoch")).agg(F.count("*").alias("n"), *parts)
+
+
 def full_batches(df: DataFrame, place: Column, size: int, value: Column, group: str) -> DataFrame:
     """Sum of ``value`` per full batch of ``size`` rows by place; the rest at the end is dropped."""
     rows = df.withColumn("batch", F.floor((place - 1) / size)).groupBy(group, "batch").agg(F.count("*").alias("k"), F.round(F.sum(value), 4).alias("batch_ms"))

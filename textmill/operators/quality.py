@@ -65,6 +65,38 @@ def confidence_histogram(df: DataFrame, soft: str = "soft_labels") -> DataFrame:
     return one.select(rows, "all").select("r.bucket", "r.n", F.round(F.coalesce(F.try_divide(F.col("r.n") * 100.0, F.col("all")), F.lit(0.0)), 4).alias("pct"))
 
 
+def mismatch_samples(df: DataFrame, soft: str = "soft_labels", n: int = 5) -> DataFrame:
+    """The first ``n`` rows by id whose soft label's largest class is not the hard label."""
+    top = F.coalesce(argmax(default_soft(F.col(soft))), F.lit(2))
+    rows = df.select("id", label_of(df).alias("label"), top.alias("soft_argmax"), F.col(soft).alias("soft")).where("label <> soft_argmax")
+    return rows.orderBy("id", "label", "soft_argmax", "soft").limit(n)
+
+
+def multi_sample_mean(df: DataFrame, key: str = "id", probabilities: str = "probabilities") -> DataFrame:
+    """Mean vector of the readable samples of each key with its largest share and class, and their number."""
+    rows = df.select(F.col(key).alias(key), F.col(probabilities).alias("p")).where((F.size("p") == 3) & F.forall("p", lambda x: x.isNotNull()))
+    means = rows.groupBy(key).agg(F.array(*(F.avg(F.col("p")[i]) for i in range(3))).alias("probabilities"), F.count("*").alias("n_samples"))
+    return means.select(key, "probabilities", F.array_max("probabilities").alias("confidence"), argmax(F.col("probabilities")).alias("hard_label"), "n_samples")
+
+
+def overall_accuracy(df: DataFrame, truth: Column, **guesses: Column) -> DataFrame:
+    """One row: rows, and for each named guess the hits and their share."""
+    hit = lambda g: F.coalesce(g == truth, F.lit(False)).cast("int")
+    parts = [c for name, g in guesses.items() for c in (F.sum(hit(g)).alias(f"{name}_hits"), F.round(F.avg(hit(g)), 6).alias(f"{name}_accuracy"))]
+    return df.agg(F.count("*").alias("n"), *parts)
+
+
+def quarantine(df: DataFrame, languages: tuple[str, ...] = ("zh", "en", "ru")) -> tuple[DataFrame, DataFrame]:
+    """Records that can be processed, and those that cannot with the ``reason``; every row is in one of the two."""
+    flat = F.regexp_replace(F.coalesce("original_text", F.lit("")), r"(?U)\s+", "")
+    reason = (
+        F.when(F.col("id").isNull(), "no id").when(flat == "", "no text").when(F.col("language").isNull() | ~F.col("language").isin(*languages), "language")
+        .when(F.col("sentiment_label").isNotNull() & ~F.col("sentiment_label").isin(0, 1, 2), "label").when(F.col("rating").isNotNull() & ~F.col("rating").between(1, 5), "rating")
+    )
+    told = df.withColumn("reason", reason)
+    return told.where("reason IS NULL").drop("reason"), told.where("reason IS NOT NULL")
+
+
 def cot_coverage(df: DataFrame, pattern: str = RATING_WORDS) -> DataFrame:
     """Reasonings (first assistant turn and ``cot`` field count apart) and those that name the rating."""
     reply = F.try_element_at(F.filter("conversations", lambda m: m["role"] == "assistant"), F.lit(1))["content"] if "conversations" in df.columns else F.lit(None).cast("string")

@@ -58,17 +58,42 @@ def lookup(value: Column, table: dict, default) -> Column:
     return out
 
 
-def json_array(df: DataFrame) -> str:
-    """A small report frame as one JSON array; rows are gathered on the driver, so it is for reports only."""
-    return "[" + ",\n ".join(df.toJSON().collect()) + "]"
+#: Rows of a report that is rendered as text; a longer frame is no report.
+MOST_ROWS = 1000
+
+
+def _rows(df: DataFrame) -> list:
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report of more than {MOST_ROWS} rows: write it with a sink")
+    return rows
 
 
 def markdown(df: DataFrame) -> str:
-    """A small report frame as a Markdown table."""
-    rows = [df.columns, ["---"] * len(df.columns), *([str(v) for v in r] for r in df.collect())]
+    """A report frame of at most ``MOST_ROWS`` rows as a Markdown table."""
+    rows = [df.columns, ["---"] * len(df.columns), *([str(v) for v in r] for r in _rows(df))]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
+def comparison(routes: dict[str, DataFrame], seconds: dict[str, float], milliseconds: dict[str, float]) -> DataFrame:
+    """``route, accuracy, f1_macro, train_seconds, ms_per_sample`` of a few named routes, the most accurate first."""
+    parts = [
+        metrics.summary(df).select(F.lit(name).alias("route"), "accuracy", "f1_macro", F.lit(seconds.get(name)).cast("double").alias("train_seconds"), F.lit(milliseconds.get(name)).cast("double").alias("ms_per_sample"))
+        for name, df in routes.items()
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.orderBy(F.desc("accuracy"), "route")
+
+
+def learning_curve(df: DataFrame, stage: str, truth: str = "label", predicted: str = "pred") -> DataFrame:
+    """``stage, n, accuracy, gain`` in the order of the stages; ``gain`` is against the stage before."""
+    per = df.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg((F.col(truth) == F.col(predicted)).cast("int")), 6).alias("accuracy"))
+    before = F.lag("accuracy").over(Window.orderBy("stage"))  # a row per stage
+    return per.withColumn("gain", F.round(F.col("accuracy") - before, 6)).orderBy("stage")
+
+
 def metrics_text(summary: DataFrame, per_class: DataFrame) -> str:
     top = summary.head().asDict()
     lines = [f"accuracy {top['accuracy']:.4f}  macro F1 {top['f1_macro']:.4f}  rows {top['total_samples']}"]

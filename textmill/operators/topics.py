@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,15 +26,72 @@ def cluster_words(words: DataFrame, assigned: DataFrame) -> DataFrame:
 def mixture_scores(words: DataFrame, counts: DataFrame, sizes: DataFrame, vocabulary: int, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
     """``doc, cluster, score``: ln(n_k + alpha) + sum of ln((n_kw + beta) / (n_k. + V beta)) over the document's words.
 
-    ``sizes(cluster, docs, tokens)`` has a row per cluster (tens), so every document meets every
-    cluster by a broadcast of that fixed table; the word counts join on cluster and word.
+    ``sizes(cluster, docs, tokens)`` has a row per cluster (tens) and is read by the driver. A word's
+    counts in all clusters are one row, so a document's words are joined once, whatever the number
+    of clusters, and summed cluster by cluster.
     """
     eps = 1e-10
-    pairs = words.withColumn("_k", F.lit(1)).join(F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    rows = pairs.join(counts, ["cluster", "word"], "left")
-    term = F.log((F.coalesce("n", F.lit(0)) + beta) / (F.col("tokens") + vocabulary * beta) + eps)
-    got = rows.groupBy("doc", "cluster").agg(F.sum(F.col("c") * term).alias("ll"), F.first("docs").alias("docs"))
-    return got.select("doc", "cluster", (F.log(F.col("docs") + alpha + eps) + F.col("ll")).alias("score"))
+    known = sorted((r["cluster"], r["docs"], r["tokens"]) for r in sizes.collect())
+    per_word = counts.groupBy("word").agg(*(F.sum(F.when(F.col("cluster") == k, F.col("n"))).alias(f"n{k}") for k, _, _ in known))
+    term = lambda k, tokens: F.log((F.coalesce(f"n{k}", F.lit(0)) + beta) / (tokens + vocabulary * beta) + eps)
+    sums = words.join(per_word, "word", "left").groupBy("doc").agg(*(F.sum(F.col("c") * term(k, tokens)).alias(f"ll{k}") for k, _, tokens in known))
+    cells = F.array(*(F.struct(F.lit(k).alias("cluster"), (F.lit(math.log(docs + alpha + eps)) + F.col(f"ll{k}")).alias("score")) for k, docs, _ in known))
+    return sums.select("doc", F.explode(cells).alias("x")).select("doc", "x.cluster", "x.score")
+
+
+def sampled_cluster(scores: DataFrame, seed: int = 1) -> DataFrame:
+    """``doc, cluster`` drawn with the probabilities that the scores stand for: the largest score after Gumbel noise from a hash."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc", "cluster"), 11) + 0.5) / F.lit(float(1 << 53))
+    return best_cluster(scores.withColumn("score", F.col("score") - F.log(-F.log(u))))
+
+
+def predict_mixture(docs: DataFrame, words: DataFrame, counts: DataFrame, sizes: DataFrame, vocabulary: int, seed: int | None = None) -> DataFrame:
+    """``doc, cluster`` for every row of ``docs``: the best cluster, or with a ``seed`` a drawn one; -1 without words."""
+    scores = mixture_scores(words, counts, sizes, vocabulary)
+    found = best_cluster(scores) if seed is None else sampled_cluster(scores, seed)
+    return docs.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def fit_gibbs(docs: DataFrame, clusters: int = 15, iterations: int = 50, alpha: float = 0.1, beta: float = 0.1, seed: int = 1, most_docs: int = 20_000) -> DataFrame:
+    """``doc, cluster`` by collapsed Gibbs sampling, document after document, for ``docs(doc, tokens)``.
+
+    The sampler is sequential, so it takes one group: at most ``most_docs`` documents, those of the
+    smallest hashes. Give the rest their clusters by ``predict_mixture``. Documents without words get -1.
+    """
+    import numpy as np
+
+    sample = docs.orderBy(F.xxhash64(F.lit(seed), "doc"), "doc").limit(most_docs)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc")
+        rng = np.random.default_rng(seed)
+        held = [list(t) for t in pdf["tokens"]]
+        ids = {w: i for i, w in enumerate(sorted({w for t in held for w in t}))}
+        texts = [np.array([ids[w] for w in t], np.int64) for t in held]
+        beta_all = len(ids) * beta
+        mine = rng.integers(0, clusters, len(texts))
+        docs_in, words_in, table = np.zeros(clusters), np.zeros(clusters), np.zeros((clusters, max(len(ids), 1)))
+        filled = [i for i, t in enumerate(texts) if len(t)]
+
+        def move(i: int, step: int) -> None:
+            docs_in[mine[i]] += step
+            words_in[mine[i]] += step * len(texts[i])
+            np.add.at(table[mine[i]], texts[i], step)
+
+        for i in range(len(texts)):
+            move(i, 1)
+        for _ in range(iterations):
+            for i in filled:
+                move(i, -1)
+                logs = np.log(docs_in + alpha + 1e-10) + np.log((table[:, texts[i]] + beta) / (words_in + beta_all)[:, None] + 1e-10).sum(1)
+                chances = np.exp(logs - logs.max())
+                mine[i] = rng.choice(clusters, p=chances / chances.sum())
+                move(i, 1)
+        out = np.where([len(t) > 0 for t in texts], mine, -1)
+        return pd.DataFrame({"doc": pdf["doc"], "cluster": out.astype("int32")})
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    return sample.select("doc", "tokens", F.lit(0).alias("_group")).groupBy("_group").applyInPandas(run, f"doc {kind}, cluster int")
 
 
 def best_cluster(scores: DataFrame) -> DataFrame:
@@ -77,6 +135,74 @@ def cluster_sentiment(words: DataFrame) -> DataFrame:
     return got.select("cluster", (F.array_position(scores, F.array_max(scores)) - 1).cast("int").alias("label"))
 
 
+def cluster_labels(top: DataFrame, assigned: DataFrame, tokens: DataFrame, clusters: int, looked: int = 50) -> DataFrame:
+    """``cluster, label`` for every cluster: seed words among its top words, and a tenth for each negative and positive
+    seed word in its first ``looked`` documents (by ``doc``); the first of equal classes, 1 for a cluster without words.
+
+    ``tokens(doc, word)`` holds the documents' words. Seed words are joined first, so only hits are counted.
+    """
+    spark = top.sparkSession
+    seeds = [(w, i, 1 if i == 1 else 2) for i, ws in enumerate((SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE)) for w in ws]
+    seeds = F.broadcast(spark.createDataFrame(seeds, "word string, class int, kind int"))
+    by_words = top.select("cluster", "word").distinct().join(seeds, "word").groupBy("cluster", "class").agg(F.count("word").cast("double").alias("s"))
+    first = assigned.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy("doc"))).where(F.col("_r") <= looked)
+    hits = tokens.select("doc", "word").distinct().join(seeds.where("kind = 2"), "word").join(first.select("doc", "cluster"), "doc")
+    by_texts = hits.groupBy("cluster", "class").agg((F.count("word") * F.lit(0.1)).alias("s"))
+    scores = by_words.union(by_texts).groupBy("cluster", "class").agg(F.round(F.sum("s"), 6).alias("s"))
+    best = scores.groupBy("cluster").agg(F.max(F.struct("s", (-F.col("class")).alias("k"))).alias("m")).select("cluster", (-F.col("m.k")).cast("int").alias("label"))
+    have = top.select("cluster").distinct().withColumn("_have", F.lit(0))
+    every = spark.range(clusters).select(F.col("id").cast("int").alias("cluster"))
+    # a cluster with words but no hit scores 0 in all classes, and the first of them is 0
+    return every.join(best, "cluster", "left").join(have, "cluster", "left").select("cluster", F.coalesce("label", "_have", F.lit(1)).cast("int").alias("label"))
+
+
+def _window_counts(top: DataFrame, tokens: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sliding windows of ``size`` tokens: windows that hold each top word, each two top words, and all windows.
+
+    ``tokens(doc, tokens)`` holds the token lists; windows are named by their first place. Only
+    top words are taken apart, so the rows follow their occurrences.
+    """
+    listed = F.broadcast(top.select("word").distinct())
+    long = tokens.select("doc", "tokens", F.greatest(F.size("tokens") - size, F.lit(0)).alias("last")).where(F.size("tokens") > 0)
+    whole = long.agg(F.sum(F.col("last") + 1).alias("windows"))
+    places = long.select("doc", "last", F.posexplode("tokens").alias("at", "word")).join(listed, "word")
+    held = places.select("doc", "word", F.explode(F.sequence(F.greatest(F.col("at") - size + 1, F.lit(0)), F.least("at", "last"))).alias("w")).distinct()
+    single = held.groupBy("word").agg(F.count("*").alias("k"))
+    # per window its top words only, at most clusters x top of them
+    both = held.alias("x").join(held.alias("y"), ["doc", "w"]).where("x.word < y.word").groupBy(F.col("x.word").alias("wa"), F.col("y.word").alias("wb")).agg(F.count("*").alias("kk"))
+    return single, both, whole
+
+
+def _pair_measures(top: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
+    """``cluster, wi, wj, ki, kj, kij, windows`` for all ordered pairs of a cluster's top words, a word with itself included."""
+    single, both, whole = _window_counts(top, tokens, size)
+    listed = top.select("cluster", "word").distinct()
+    pairs = listed.select("cluster", F.col("word").alias("wi")).join(listed.select("cluster", F.col("word").alias("wj")), "cluster")
+    pairs = pairs.withColumn("wa", F.least("wi", "wj")).withColumn("wb", F.greatest("wi", "wj"))
+    pairs = pairs.join(both, ["wa", "wb"], "left").join(single.select(F.col("word").alias("wi"), F.col("k").alias("ki")), "wi").join(single.select(F.col("word").alias("wj"), F.col("k").alias("kj")), "wj")
+    kij = F.when(F.col("wi") == F.col("wj"), F.col("ki")).otherwise(F.coalesce("kk", F.lit(0)))
+    return pairs.withColumn("kij", kij).join(F.broadcast(whole))
+
+
+def coherence_uci(top: DataFrame, tokens: DataFrame, size: int = 10) -> DataFrame:
+    """``cluster, c_uci``: mean pointwise mutual information of the cluster's word pairs over sliding windows."""
+    n, eps = F.col("windows"), 1e-12
+    pmi = F.log((F.col("kij") / n + eps) / (F.col("ki") / n * F.col("kj") / n))
+    return _pair_measures(top, tokens, size).where("wi < wj").groupBy("cluster").agg(F.round(F.avg(pmi), 6).alias("c_uci"))
+
+
+def coherence_cv(top: DataFrame, tokens: DataFrame, size: int = 110) -> DataFrame:
+    """``cluster, c_v``: mean cosine of each top word's vector of normalised mutual information with the sum of the cluster's vectors."""
+    n, eps = F.col("windows"), 1e-12
+    joint = F.col("kij") / n
+    npmi = F.log((joint + eps) / (F.col("ki") / n * F.col("kj") / n)) / -F.log(joint + eps)
+    cells = _pair_measures(top, tokens, size).select("cluster", "wi", "wj", npmi.alias("v"))
+    cells = cells.withColumn("total", F.sum("v").over(Window.partitionBy("cluster", "wj")))
+    dot, a, b = F.sum(F.col("v") * F.col("total")), F.sqrt(F.sum(F.col("v") * F.col("v"))), F.sqrt(F.sum(F.col("total") * F.col("total")))
+    per = cells.groupBy("cluster", "wi").agg(F.coalesce(F.try_divide(dot, a * b), F.lit(0.0)).alias("cos"))
+    return per.groupBy("cluster").agg(F.round(F.avg("cos"), 6).alias("c_v"))
+
+
 def coherence_umass(top: DataFrame, words: DataFrame) -> DataFrame:
     """``cluster, u_mass``: mean of ln((D(a, b) + 1) / D(b)) over the cluster's word pairs, b ranked before a."""
     listed = top.select("cluster", "word", "rank")
@@ -125,5 +251,20 @@ def lda(df: DataFrame, doc: str, tokens: Column, topics: int = 15, iterations: i
     return model, model.transform(rows)
 
 
+def lda_topics(model, top: int = 10) -> DataFrame:
+    """``topic, rank, word, weight`` of a fitted pipeline's topics."""
+    words = model.stages[0].vocabulary
+    rows = model.stages[1].describeTopics(top)
+    entry = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")
+    names = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")  # bounded by the vocabulary kept
+    return rows.select("topic", entry).select("topic", (F.col("rank") + 1).alias("rank"), F.get(names, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
+
+
+def lda_summary(model, rows: DataFrame) -> dict:
+    """Number of topics, words and documents, and log perplexity on ``rows``."""
+    fitted = model.stages[1]
+    return {"topics": fitted.getK(), "vocabulary": len(model.stages[0].vocabulary), "documents": rows.count(), "log_perplexity": fitted.logPerplexity(rows)}
+
+
 def perplexity_bound(log_likelihood: float, tokens: int) -> float:
     return math.exp(-log_likelihood / max(tokens, 1))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textmill.functions import parse, probs, records, text
 from textmill.operators import chat, features, metrics, models, quality, reports, sampling, topics
 from textmill.plans import views
-from textmill.runtime import prefix_sum, shared_folder, table
+from textmill.runtime import checkpoint, prefix_sum, shared_folder, table
 from textmill.schemas import SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE, STOPWORDS, STOPWORDS_EN
 from textmill.sources import readers, sinks
 
@@ -553,7 +553,7 @@ def _(s, d):
 @query(
     "q_extract_review",
     "WITH u AS (SELECT id, list_filter(conversations, lambda m: m.role = 'user')[-1].content AS c FROM conversation_rows) "
-    f"SELECT id, nullif(trim({_aft('c', 'Review: ')}), '') AS review FROM u",
+    f"SELECT id, trim({_aft('c', 'Review: ')}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(8239) || chr(12288)) AS review FROM u",
 )
 def _(s, d):
     turn = F.try_element_at(F.filter("conversations", lambda m: m["role"] == "user"), F.lit(-1))["content"]
@@ -565,11 +565,56 @@ def _(s, d):
     return _replies(s, d).where("output IS NOT NULL").select("id", text.last_position(F.col("output"), '"sentiment": ').cast("long").alias("place"))
 
 
-@query("q_annotation_parse")
-def _(s, d):
-    rows = table(s, d, "raw_records").select("id", F.col("original_text").alias("text"))
-    replies = rows.select("id", F.concat(F.lit("<think>t</think> {\"negative\": "), F.length("text") % 7, F.lit(', "positive": 1}')).alias("output"))
-    return replies.select("id", parse.annotation(F.col("output")).alias("a")).select("id", "a.*")
+#: Replies of every shape: numbers, numbers as text, missing and null shares, words, nested and broken objects.
+_SHAPES = """CASE ifnull(length(original_text), 0) % 9
+ WHEN 0 THEN concat('<think>t ', id, '</think> {"negative": ', length(original_text) % 7, ', "positive": 1}')
+ WHEN 1 THEN '{"negative": "0.5", "neutral": 1, "positive": 0.5}' WHEN 2 THEN '{"negative": null, "positive": 1}'
+ WHEN 3 THEN '{"negative": "much", "positive": 1}' WHEN 4 THEN '{"negative": 0, "neutral": 0, "positive": 0, "confidence": 0.25}'
+ WHEN 5 THEN 'so {"negative": 1, "confidence": "high"}' WHEN 6 THEN '<|begin_of_thought|>why<|end_of_thought|>{"neutral": 3, "confidence": 0.5}' WHEN 7 THEN 'no object' ELSE '{"a": {"b": 1}, "positive": 2' END"""
+
+
+def _share(key: str, from_text: bool) -> str:
+    text = f"WHEN json_type(j, '$.{key}') = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$.{key}') AS DOUBLE) " if from_text else ""
+    return f"CASE WHEN NOT json_exists(j, '$.{key}') THEN 0.33::DOUBLE WHEN json_type(j, '$.{key}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract(j, '$.{key}') AS DOUBLE) {text}END"
+
+
+_ANNOTATED = (
+    f"WITH o AS (SELECT id, {_SHAPES} AS output FROM raw_records), t AS (SELECT id, coalesce(nullif(regexp_extract(output, '(?s)<think>(.*?)</think>', 1), ''), regexp_extract(output, '(?s)<\\|begin_of_thought\\|>(.*?)<\\|end_of_thought\\|>', 1)) AS thinking, "
+    "regexp_replace(regexp_replace(output, '(?s)<think>.*?</think>', '', 'g'), '(?s)<\\|begin_of_thought\\|>.*?<\\|end_of_thought\\|>', '', 'g') AS answer, output FROM o), "
+)
+
+
+def _annotated(from_text: bool, source: str) -> str:
+    return (
+        _ANNOTATED + f"b AS (SELECT id, thinking, {source} AS body FROM t), p AS (SELECT id, thinking, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM b WHERE json_valid(body)), "
+        f"v AS (SELECT id, thinking, j, {_share('negative', from_text)} AS a, {_share('neutral', from_text)} AS b, {_share('positive', from_text)} AS c FROM p), "
+        "w AS (SELECT id, thinking, j, CASE WHEN a + b + c > 0 THEN a / (a + b + c) ELSE 0.33 END AS p0, CASE WHEN a + b + c > 0 THEN b / (a + b + c) ELSE 0.33 END AS p1, CASE WHEN a + b + c > 0 THEN c / (a + b + c) ELSE 0.34 END AS p2 FROM v WHERE a + b + c IS NOT NULL), "
+        f"x AS (SELECT id, thinking, p0, p1, p2, CASE WHEN NOT json_exists(j, '$.confidence') THEN greatest(p0, p1, p2) WHEN json_type(j, '$.confidence') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract(j, '$.confidence') AS DOUBLE) END AS confidence FROM w) "
+        "SELECT id, round(p0, 9) AS p0, round(p1, 9) AS p1, round(p2, 9) AS p2, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)::INT AS hard_label, round(confidence, 9) AS confidence"
+    )
+
+
+_FLAT = "nullif(regexp_extract({t}, '(?s)\\{{[^{{}}]*\\}}'), '')"
+
+
+def _replies_of_shapes(s, d):
+    return table(s, d, "raw_records").selectExpr("id", f"{_SHAPES} AS output")
+
+
+def _shares(a):
+    return [F.round(a["probabilities"][i], 9).alias(f"p{i}") for i in range(3)]
+
+
+@query("q_annotation_parse", _annotated(True, f"coalesce({_FLAT.format(t='answer')}, nullif(regexp_extract(answer, '(?s)\\{{.*\\}}'), ''))") + ", left(thinking, 200) AS thinking_preview FROM x WHERE confidence IS NOT NULL")
+def _(s, d):  # JSN-1, 3
+    a = _replies_of_shapes(s, d).select("id", parse.annotation(F.col("output")).alias("a")).where("a IS NOT NULL")
+    return a.select("id", *_shares(F.col("a")), "a.hard_label", F.round("a.confidence", 9).alias("confidence"), "a.thinking_preview")
+
+
+@query("q_annotation_batch", _annotated(False, f"coalesce({_FLAT.format(t='output')}, output)") + " FROM x")
+def _(s, d):  # JSN-2
+    a = _replies_of_shapes(s, d).select("id", parse.annotation_batch(F.col("output")).alias("a")).where("a IS NOT NULL")
+    return a.select("id", *_shares(F.col("a")), "a.hard_label", F.round("a.confidence", 9).alias("confidence"))
 
 
 # ---- metrics: AGG-20..30, JOIN-1, 5, RPT-1..6 --------------------------------------------------
@@ -645,7 +690,7 @@ def _(s, d):
     return metrics.positional_join(a, b, ["id"]).select("place", "truth", "guess")
 
 
-@query("q_ece", views.SQL + ", x AS (SELECT greatest(p0, p1, p2) AS c, (pred = label)::INT AS k FROM v_pred), y AS (SELECT least(floor(c * 10), 9) AS b, count(*) AS n, avg(k) AS acc, avg(c) AS conf FROM x GROUP BY 1) SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM y")
+@query("q_ece", views.SQL + ", x AS (SELECT greatest(p0, p1, p2) AS c, (pred = label)::INT AS k FROM v_pred), y AS (SELECT len(list_filter([1 * 0.1::DOUBLE, 2 * 0.1::DOUBLE, 3 * 0.1::DOUBLE, 4 * 0.1::DOUBLE, 5 * 0.1::DOUBLE, 6 * 0.1::DOUBLE, 7 * 0.1::DOUBLE, 8 * 0.1::DOUBLE, 9 * 0.1::DOUBLE], lambda e: c >= e)) AS b, count(*) AS n, avg(k) AS acc, avg(c) AS conf FROM x GROUP BY 1) SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM y")
 def _(s, d):
     return metrics.calibration_error(views.soft(views.predictions(s, d)), F.array_max("p"), F.col("pred") == F.col("label"))
 
@@ -815,7 +860,9 @@ def _(s, d):  # PRJ-5, 6
     return df.select("id", "x.*", records.length_category(F.col("x.word_count")).alias("length_category"))
 
 
-_TOPIC = f"list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z\\s]', '', 'g')), '\\s+'), lambda w: len(w) >= 3 AND NOT list_contains({_words(STOPWORDS_EN)}, w))"
+#: White space of any kind for RE2 classes, whose own \\s knows ASCII only.
+_WHITE = r"'\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}'"
+_TOPIC = f"list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z' || {_WHITE} || ']', '', 'g')), '[' || {_WHITE} || ']+'), lambda w: len(w) >= 3 AND NOT list_contains({_words(STOPWORDS_EN)}, w))"
 
 
 @query("q_topic_tokens", f"SELECT doc_id, len({_TOPIC}) AS n, coalesce(list_sort({_TOPIC})[1], '') AS first_word FROM documents WHERE lang = 'en'")
@@ -944,7 +991,7 @@ def _(s, d):
 @query("q_mixture_fit")
 def _(s, d):
     words, _, _ = _mixture(s, d)
-    return topics.fit_mixture(words, 8, 3).groupBy("cluster").agg(F.count("*").alias("docs"))
+    return topics.fit_mixture(words).groupBy("cluster").agg(F.count("*").alias("docs"))
 
 
 @query("q_coherence")
@@ -962,7 +1009,7 @@ def _(s, d):
 def _(s, d):
     from pyspark.ml.functions import vector_to_array
 
-    _, rows = topics.lda(table(s, d, "documents").where("lang = 'en'"), "doc_id", text.tokens_topic(F.col("text")), 5, 5)
+    _, rows = topics.lda(table(s, d, "documents").where("lang = 'en'"), "doc_id", text.tokens_topic(F.col("text")))
     return rows.select("doc", topics.dominant_topic(vector_to_array("topicDistribution")).alias("x")).select("doc", "x.topic", F.round("x.prob", 4).alias("prob"))
 
 
@@ -1009,7 +1056,7 @@ def _(s, d):  # SNK-7
 
 @query(
     "q_csv_records",
-    "SELECT trim(original_text) AS text, coalesce(CASE WHEN sentiment_label IN (0, 1, 2) THEN sentiment_label END, CASE WHEN rating IN (1, 2) THEN 0 WHEN rating = 3 THEN 1 WHEN rating IN (4, 5) THEN 2 END) AS label, CASE WHEN rating BETWEEN 1 AND 5 THEN rating END AS rating "
+    "SELECT trim(original_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(8239) || chr(12288)) AS text, coalesce(CASE WHEN sentiment_label IN (0, 1, 2) THEN sentiment_label END, CASE WHEN rating IN (1, 2) THEN 0 WHEN rating = 3 THEN 1 WHEN rating IN (4, 5) THEN 2 END) AS label, CASE WHEN rating BETWEEN 1 AND 5 THEN rating END AS rating "
     "FROM raw_records WHERE coalesce(regexp_matches(original_text, '[^\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]'), false) AND coalesce(CASE WHEN sentiment_label IN (0, 1, 2) THEN sentiment_label END, CASE WHEN rating BETWEEN 1 AND 5 THEN 1 END) IS NOT NULL",
 )
 def _(s, d):  # SRC-4
@@ -1115,3 +1162,172 @@ def _(s, d):  # STR-10, 11
 def _(s, d):
     words, assigned, size = _mixture(s, d)
     return topics.coherence_npmi(topics.topic_words(topics.cluster_words(words, assigned), size), words)
+
+
+# ---- the rest of the inventory: AGG-5, 14, 16, 19, 31, PRJ-6, 20, ML-3, 5, 7..9, RPT-4, 6, SRT-1, UDF-2, 5, STM-4 ----
+
+_SAMPLES = "WITH u AS (SELECT id, probabilities AS p FROM soft_labels_reviewed UNION ALL SELECT id, soft_labels FROM train), g AS (SELECT id, avg(p[1]) AS a, avg(p[2]) AS b, avg(p[3]) AS c, count(*) AS n_samples FROM u WHERE len(p) = 3 AND p[1] IS NOT NULL AND p[2] IS NOT NULL AND p[3] IS NOT NULL GROUP BY 1) "
+
+
+@query("q_multi_sample_by_id", _SAMPLES + "SELECT id, round(greatest(a, b, c), 6) AS confidence, (CASE WHEN round(a, 9) >= round(b, 9) AND round(a, 9) >= round(c, 9) THEN 0 WHEN round(b, 9) >= round(c, 9) THEN 1 ELSE 2 END)::INT AS hard_label, n_samples FROM g")
+def _(s, d):  # AGG-19
+    rows = table(s, d, "soft_labels_reviewed").select("id", "probabilities").unionByName(table(s, d, "train").select("id", F.col("soft_labels").alias("probabilities")))
+    got = quality.multi_sample_mean(rows)
+    label = F.array_position(F.transform("probabilities", lambda x: F.round(x, 9)), F.array_max(F.transform("probabilities", lambda x: F.round(x, 9)))) - 1
+    return got.select("id", F.round("confidence", 6).alias("confidence"), label.cast("int").alias("hard_label"), "n_samples")
+
+
+@query("q_overall_accuracy", _CAL + "SELECT count(*) AS n, sum(coalesce(guess = truth, false)::INT)::BIGINT AS hard_hits, sum(coalesce(calibrated = truth, false)::INT)::BIGINT AS calibrated_hits FROM (SELECT hard_label AS truth, hard_label AS guess, calibrated FROM y)")
+def _(s, d):  # AGG-16
+    got = quality.overall_accuracy(_calibrated(s, d), F.col("hard_label"), hard=F.col("hard_label"), calibrated=F.col("calibrated"))
+    return got.select("n", "hard_hits", "calibrated_hits")
+
+
+@query("q_merge_distribution", _MERGE + "SELECT predicted_label AS label, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM f WHERE rn = 1 GROUP BY 1")
+def _(s, d):  # AGG-14
+    return quality.distribution(_merged(s, d), F.col("predicted_label"), "label")
+
+
+@query(
+    "q_mismatch_samples",  # AGG-5: the feature is a sample of five
+    f"WITH x AS (SELECT id, {_LABEL} AS label, (CASE WHEN list_position({_DEFAULT}, list_max({_DEFAULT})) > 0 THEN list_position({_DEFAULT}, list_max({_DEFAULT})) - 1 ELSE 2 END)::INT AS soft_argmax FROM train) SELECT id, label, soft_argmax FROM x WHERE label <> soft_argmax ORDER BY id, label, soft_argmax LIMIT 5",
+)
+def _(s, d):
+    return quality.mismatch_samples(table(s, d, "train")).select("id", "label", "soft_argmax")
+
+
+@query("q_file_category", "SELECT id, concat('/data/cot_', coalesce(category, ''), '_0.jsonl') AS path, coalesce(string_split(concat('cot_', coalesce(category, ''), '_0'), '_')[2], 'unknown') AS category FROM raw_records WHERE coalesce(category, '') NOT LIKE '%/%'")
+def _(s, d):  # PRJ-20
+    df = table(s, d, "raw_records").where("coalesce(category, '') NOT LIKE '%/%'").select("id", F.concat(F.lit("/data/cot_"), F.coalesce("category", F.lit("")), F.lit("_0.jsonl")).alias("path"))
+    return df.withColumn("category", records.file_category(F.col("path")))
+
+
+@query(
+    "q_quarantine",
+    "SELECT CASE WHEN id IS NULL THEN 'no id' WHEN regexp_replace(coalesce(original_text, ''), '[\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', '', 'g') = '' THEN 'no text' WHEN language IS NULL OR language NOT IN ('zh', 'en', 'ru') THEN 'language' "
+    "WHEN sentiment_label NOT IN (0, 1, 2) THEN 'label' WHEN rating NOT BETWEEN 1 AND 5 THEN 'rating' ELSE 'processed' END AS reason, count(*) AS n FROM raw_records GROUP BY 1",
+)
+def _(s, d):  # PRJ-6
+    good, bad = quality.quarantine(table(s, d, "raw_records"))
+    return good.select(F.lit("processed").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q_learning_curve",
+    views.SQL + ", x AS (SELECT lang AS stage, count(*) AS n, round(avg((label = pred)::INT), 6) AS accuracy FROM v_pred WHERE lang IS NOT NULL GROUP BY 1) SELECT stage, n, accuracy, round(accuracy - lag(accuracy) OVER (ORDER BY stage), 6) AS gain FROM x",
+)
+def _(s, d):  # RPT-6
+    return reports.learning_curve(views.predictions(s, d).where("lang IS NOT NULL"), "lang")
+
+
+@query(
+    "q_comparison",
+    _CLS + "SELECT 'parsed' AS route, round((SELECT avg((label = pred)::INT) FROM pr), 4)::DOUBLE AS accuracy, round(sum(round(f, 4)) / 3, 4)::DOUBLE AS f1_macro, 108.31::DOUBLE AS train_seconds, 2.139::DOUBLE AS ms_per_sample FROM m UNION ALL SELECT 'perfect', 1, 1, NULL, NULL",
+)
+def _(s, d):  # RPT-4, SRT-1
+    perfect = views.predictions(s, d).select("label", F.col("label").alias("pred"))
+    return reports.comparison({"parsed": _parsed(s, d), "perfect": perfect}, {"parsed": 108.31}, {"parsed": 2.139})
+
+
+@query("q_ranked_grid", views.SQL + "SELECT source, lang, round(avg((label = pred)::INT), 6) AS accuracy FROM v_pred WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2")
+def _(s, d):  # SRT-1
+    per = views.predictions(s, d).where("lang IS NOT NULL AND source IS NOT NULL").groupBy("source", "lang").agg(F.round(F.avg((F.col("label") == F.col("pred")).cast("int")), 6).alias("accuracy"))
+    return models.ranked_grid(per, "accuracy", ["source", "lang"])
+
+
+@query("q_training_means", views.SQL + "SELECT (doc_id % 3)::INT AS epoch, count(*) AS n, round(avg(p0), 6) AS avg_loss, round(avg(1 + p1), 6) AS avg_temp, round(avg(p1), 6) AS avg_ce, round(avg(p2), 6) AS avg_kl, min(1 + p1) AS min_temp, max(1 + p1) AS max_temp FROM v_pred GROUP BY 1")
+def _(s, d):  # AGG-31
+    df = views.predictions(s, d)
+    return metrics.epoch_means(df, (F.col("doc_id") % 3).cast("int"), loss=F.col("p0"), temp=1 + F.col("p1"), ce=F.col("p1"), kl=F.col("p2"))
+
+
+_SEEDS = " UNION ALL ".join(f"SELECT unnest({_words(ws)}) AS word, {i} AS class" for i, ws in enumerate((SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE)))
+
+
+@query(
+    "q_cluster_labels",
+    _MIX + f", seeds AS ({_SEEDS}), fd AS (SELECT doc, cluster FROM asg QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY doc) <= 50), "
+    "sc AS (SELECT cluster, class, count(*)::DOUBLE AS s FROM top JOIN seeds USING (word) GROUP BY 1, 2 UNION ALL SELECT cluster, class, count(*) * 0.1::DOUBLE FROM dw JOIN fd USING (doc) JOIN seeds USING (word) WHERE class <> 1 GROUP BY 1, 2), "
+    "sm AS (SELECT cluster, class, round(sum(s), 6) AS s FROM sc GROUP BY 1, 2), bs AS (SELECT cluster, class FROM sm QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY s DESC, class) = 1) "
+    "SELECT k::INT AS cluster, coalesce(class, CASE WHEN k IN (SELECT cluster FROM top) THEN 0 END, 1)::INT AS label FROM range(6) t(k) LEFT JOIN bs ON cluster = k",
+)
+def _(s, d):  # ML-7
+    words, assigned, size = _mixture(s, d)
+    return topics.cluster_labels(topics.topic_words(topics.cluster_words(words, assigned), size), assigned, words, 6)
+
+
+def _fitted(s, d):
+    """Words, clusters fitted with the defaults, and the vocabulary's size, over the documents of one language (``en``)."""
+    words, _, size = _mixture(s, d)
+    return words, topics.fit_mixture(words), size
+
+
+@query("q_fitted_topics")
+def _(s, d):  # ML-5, 6
+    words, assigned, size = _fitted(s, d)
+    return topics.topic_words(topics.cluster_words(words, assigned), size)
+
+
+@query("q_gibbs")
+def _(s, d):  # ML-5, UDF-4: sampled on a bounded group, the rest by prediction
+    docs = table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), text.tokens_topic(F.col("text")).alias("tokens"))
+    sampled = checkpoint(topics.fit_gibbs(docs, iterations=10, most_docs=400)).where("cluster >= 0")
+    words, _, size = _mixture(s, d)
+    known = words.join(sampled.select("doc"), "doc")
+    got = topics.predict_mixture(docs, words, topics.cluster_words(known, sampled), topics.cluster_sizes(known, sampled, 15), size)
+    return got.groupBy("cluster").agg(F.count("*").alias("docs"))
+
+
+def _token_lists(s, d):
+    return table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), text.tokens_topic(F.col("text")).alias("tokens"))
+
+
+@query("q_coherence_uci")
+def _(s, d):  # ML-9
+    words, assigned, size = _mixture(s, d)
+    return topics.coherence_uci(topics.topic_words(topics.cluster_words(words, assigned), size), _token_lists(s, d))
+
+
+@query("q_coherence_cv")
+def _(s, d):  # ML-9
+    words, assigned, size = _mixture(s, d)
+    return topics.coherence_cv(topics.topic_words(topics.cluster_words(words, assigned), size), _token_lists(s, d))
+
+
+@query("q_lda_topics")
+def _(s, d):  # ML-8
+    model, _ = topics.lda(table(s, d, "documents").where("lang = 'en'"), "doc_id", text.tokens_topic(F.col("text")))
+    return topics.lda_topics(model).select("topic", "rank", "word", F.round("weight", 6).alias("weight"))
+
+
+@query("q_platt")
+def _(s, d):  # ML-2, 4
+    from pyspark.ml.functions import vector_to_array
+
+    df = table(s, d, "embeddings").select("vec_id", "label", models.as_vector(F.col("embedding")).alias("features"))
+    scored = models.fit_linear_svm(df, rounds=10).transform(df)
+    got = models.fit_platt(scored).transform(scored.drop("probability"))
+    return got.select("vec_id", "label", F.round(F.array_max(vector_to_array("probability")), 6).alias("confidence"))
+
+
+@query("q_library_tokens", f"SELECT id, array_to_string({_EN_TOK}, ' ') AS tokens FROM processed_records WHERE text_for_llm IS NOT NULL AND regexp_full_match(text_for_llm, '[ -~\\s]*')")
+def _(s, d):  # UDF-2 with the fall-backs of a machine without the libraries
+    df = table(s, d, "processed_records").where(F.col("text_for_llm").isNotNull() & F.col("text_for_llm").rlike(r"\A[ -~\s]*\z"))
+    return df.select("id", F.array_join(text.library_tokens(F.col("text_for_llm"), "en"), " ").alias("tokens"))
+
+
+SUBWORDS = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("q_subwords")
+def _(s, d):  # UDF-5, ARR-10
+    df = table(s, d, "train").select("id", features.subword_ids(F.col("text"), SUBWORDS).alias("ids"))
+    return df.select("id", F.size("ids").alias("n"), features.fixed_length(F.col("ids")).alias("e")).select("id", "n", F.aggregate("e.attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
+
+
+@query("q_limited_annotation")
+def _(s, d):  # STM-4: two workers, each waits after a call; whole conversations
+    from textmill.streaming.annotate import annotate
+
+    rows = table(s, d, "conversation_rows").select("id", "text").distinct()
+    return annotate(rows, workers=8, pause=0.001)

@@ -56,25 +56,34 @@ LABEL_NAMES = {
 THOUGHT_OPEN, THOUGHT_CLOSE, TURN_END = "<|channel>thought", "<channel|>", "<turn|>"
 
 STOPWORDS_ZH = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 这个 那个 这些 那些 之 与 及 等 "
-    "可以 就是 但是 如果 因为 所以 然而 商品 产品 卖家 买家 快递 物流 包装 已经 非常 真的 感觉 觉得 东西"
-).split()
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+    "那", "这个", "那个", "这些", "那些", "之", "与", "及", "等", "可以", "就是", "但是", "如果", "因为", "所以", "然而", "商品", "产品", "卖家", "买家", "快递", "物流", "包装", "已经", "非常",
+    "真的", "感觉", "觉得", "东西",
+)
 STOPWORDS_EN = (
-    "a an the and or but in on at to for of with by from up about into through during before after above below is are was were be "
-    "been being have has had do does did will would could should may might must can this that these those i you he she it we they "
-    "me him her us them my your his its our their what which who when where why how all any both each few more most other some such "
-    "no nor not only own same so than too very just product item seller shipping package order"
-).split()
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during",
+    "before", "after", "above", "below", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me",
+    "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "what", "which", "who", "when", "where", "why", "how", "all", "any",
+    "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just",
+    "product", "item", "seller", "shipping", "package", "order",
+)
 STOPWORDS_RU = (
-    "и в не на я быть он с что а по это она к но мы как из у то за свой ее так который весь год от такой для ты же все тот мочь вы "
-    "человек его сказать этот продукт товар продавец доставка упаковка заказ магазин покупка"
-).split()
+    "и", "в", "не", "на", "я", "быть", "он", "с", "что", "а", "по", "это", "она", "к", "но", "мы", "как", "из", "у", "то", "за", "свой", "ее", "так",
+    "который", "весь", "год", "от", "такой", "для", "ты", "же", "все", "тот", "мочь", "вы", "человек", "его", "сказать", "этот", "продукт", "товар",
+    "продавец", "доставка", "упаковка", "заказ", "магазин", "покупка",
+)
 STOPWORDS = {"zh": STOPWORDS_ZH, "en": STOPWORDS_EN, "ru": STOPWORDS_RU}
 
 SEEDS_NEGATIVE = (
-    "bad terrible awful worst horrible hate disappointed poor waste useless broken defective return refund problem issue fail error cheap flimsy junk"
-).split()
-SEEDS_NEUTRAL = "okay average fine acceptable standard normal decent moderate regular usual typical common neither nor however but although while".split()
+    "bad", "terrible", "awful", "worst", "horrible", "hate", "disappointed", "poor", "waste", "useless", "broken", "defective", "return", "refund",
+    "problem", "issue", "fail", "error", "cheap", "flimsy", "junk",
+)
+SEEDS_NEUTRAL = (
+    "okay", "average", "fine", "acceptable", "standard", "normal", "decent", "moderate", "regular", "usual", "typical", "common", "neither", "nor",
+    "however", "but", "although", "while",
+)
 SEEDS_POSITIVE = (
-    "good great excellent amazing love perfect best awesome fantastic wonderful happy satisfied recommend quality nice beautiful comfortable easy fast quick"
-).split()
+    "good", "great", "excellent", "amazing", "love", "perfect", "best", "awesome", "fantastic", "wonderful", "happy", "satisfied", "recommend",
+    "quality", "nice", "beautiful", "comfortable", "easy", "fast", "quick",
+)

@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.probs import argmax, default_soft
 from textmill.functions.records import blank_to_null, has_text, rating_to_label, truncated_int, valid_label, valid_rating
+from textmill.functions.text import strip
+from textmill.runtime import prefix_sum
 from textmill.schemas import RAW_RECORD
 
-#: Column names of known dataset layouts; a new layout is a new entry.
+#: Column names of known dataset layouts; a new layout is a new entry. ``path`` may hold the places
+#: ``{language}`` and ``{category}``; ``unknown_label`` is the label of rows whose rating is none of 1..5.
 LAYOUTS = {
-    "reviews": {"text": "review_body", "rating": "stars", "product_id": "product_id", "category": "product_category"},
-    "yelp": {"text": "text", "rating": "label", "product_id": None, "category": None},
-    "mcauley": {"text": "text", "rating": "rating", "product_id": "parent_asin", "category": None},
+    "reviews": {"path": "{root}/reviews_{language}", "text": "review_body", "rating": "stars", "product_id": "product_id", "category": "product_category"},
+    "yelp": {"path": "{root}/yelp", "text": "text", "rating": "label", "product_id": None, "category": None},
+    "mcauley": {"path": "{root}/raw_review_{category}", "text": "text", "rating": "rating", "product_id": "parent_asin", "category": None, "unknown_label": 1},
 }
 
 
+def layout_path(layout: str, root: str, language: str = "", category: str = "") -> str:
+    """Where a layout's files lie, with its places filled in."""
+    return LAYOUTS[layout]["path"].format(root=root.rstrip("/"), language=language, category=category)
+
+
+def read_layout(spark: SparkSession, layout: str, root: str, language: str, source: str, category: str = "") -> DataFrame:
+    """Raw records of a layout's JSON files; a language or category picks the folder, so nothing else is read."""
+    path = layout_path(layout, root, language, category)
+    names = LAYOUTS[layout]
+    columns = ", ".join(f"`{names[k]}` string" for k in ("text", "rating", "product_id", "category") if names.get(k))
+    return project(spark.read.schema(columns).json(path), layout, language, source)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON array, or JSON lines if the name ends in ``.jsonl``; bad lines become null rows and are dropped."""
     lines = path.endswith(".jsonl")
@@ -40,26 +58,37 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def read_splits(spark: SparkSession, folder: str, splits: list[str], schema: T.StructType | str) -> DataFrame:
-    """``{split}.jsonl`` files with ``split`` and ``id``, the split's name and a hash of the row.
+    """``{split}.jsonl`` files with ``split`` and ``id``, the split's name and the row's place in its file from 0.
 
-    A hash stands where a line number would: lines have no order once a file is read in parts.
+    Rows keep their order inside a block of a file; blocks are counted and a prefix sum over the
+    short table of counts gives each its start, so a file is numbered in parts.
     """
-    parts = [read_json(spark, f"{folder}/{s}.jsonl", schema).withColumn("split", F.lit(s)) for s in splits]
-    every = reduce(DataFrame.unionByName, parts)
-    return every.withColumn("id", F.concat_ws("_", "split", F.md5(F.to_json(F.struct(*every.columns)))))
+    parts = [read_json(spark, f"{folder}/{s}.jsonl", schema).select("*", "_metadata.file_path", "_metadata.file_block_start").withColumn("split", F.lit(s)) for s in splits]
+    every = reduce(DataFrame.unionByName, parts).withColumn("_row", F.monotonically_increasing_id())
+    placed = prefix_sum(every, ["split", "file_path"], F.col("file_block_start"), [F.col("_row")], F.lit(1.0), "_place")
+    return placed.withColumn("id", F.concat_ws("_", "split", F.col("_place").cast("long").cast("string"))).drop("file_path", "file_block_start", "_row", "_place")
 
 
 def project(df: DataFrame, layout: str, language: str, source: str) -> DataFrame:
-    """Rows of a known layout as raw records; rows without text or a rating in 1..5 are dropped."""
+    """Rows of a known layout as raw records; rows without text or a rating are dropped, and those with a rating out of
+    1..5 too unless the layout gives them a label.
+
+    An id is the hash of the row's content and its place in the plan's partitions, so a task that is
+    run again gives the same ids and equal rows stay apart.
+    """
     names = LAYOUTS[layout]
     pick = lambda k: F.col(names[k]).cast("string") if names[k] and names[k] in df.columns else F.lit(None).cast("string")
-    rating = valid_rating(truncated_int(pick("rating")))
-    rows = df.select(
-        F.expr("uuid()").alias("id"), F.lit(language).alias("language"), F.lit(source).alias("source"), F.trim(pick("text")).alias("original_text"),
-        rating_to_label(rating).alias("sentiment_label"), rating.alias("rating"), blank_to_null(pick("product_id")).alias("product_id"),
+    stars = truncated_int(pick("rating"))
+    rating = valid_rating(stars)
+    unknown = names.get("unknown_label")
+    label = F.coalesce(rating_to_label(rating), F.lit(unknown)) if unknown is not None else rating_to_label(rating)
+    content = F.md5(F.concat_ws("\u0001", F.lit(source), F.lit(language), *(F.coalesce(pick(k), F.lit("")) for k in ("text", "rating", "product_id", "category"))))
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).select(
+        F.concat_ws("-", content, F.col("_row").cast("string")).alias("id"), F.lit(language).alias("language"), F.lit(source).alias("source"), strip(pick("text")).alias("original_text"),
+        F.when(stars.isNotNull(), label).alias("sentiment_label"), rating.alias("rating"), blank_to_null(pick("product_id")).alias("product_id"),
         blank_to_null(pick("category")).alias("category"), F.current_timestamp().alias("created_at"),
     )
-    return rows.where(has_text(F.col("original_text")) & F.col("rating").isNotNull()).select(*[f.name for f in RAW_RECORD])
+    return rows.where(has_text(F.col("original_text")) & F.col("sentiment_label").isNotNull()).select(*[f.name for f in RAW_RECORD])
 
 
 def csv_records(df: DataFrame, text: str, label: str | None, rating: str | None) -> DataFrame:
@@ -67,12 +96,21 @@ def csv_records(df: DataFrame, text: str, label: str | None, rating: str | None)
     r = valid_rating(truncated_int(F.col(rating))) if rating else F.lit(None).cast("int")
     direct = valid_label(truncated_int(F.col(label))) if label else F.lit(None).cast("int")
     given = F.coalesce(direct, rating_to_label(r)) if label else rating_to_label(r)
-    return df.select(F.trim(F.col(text)).alias("text"), given.alias("label"), r.alias("rating")).where(has_text(F.col("text")) & F.col("label").isNotNull())
+    return df.select(strip(F.col(text)).alias("text"), given.alias("label"), r.alias("rating")).where(has_text(F.col("text")) & F.col("label").isNotNull())
 
 
-def union_languages(parts: dict[str, DataFrame | None]) -> DataFrame:
-    """All languages' rows; a source that could not be read is left out."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df for df in parts.values() if df is not None])
+def union_languages(parts: dict[str, DataFrame | Callable[[], DataFrame] | None]) -> DataFrame:
+    """All languages' rows; a source may be a function that reads it, and one that cannot be read is left out."""
+    found = []
+    for part in parts.values():
+        try:
+            df = part() if callable(part) else part
+            if df is not None:
+                df.schema  # noqa: B018 - a missing file shows here
+                found.append(df)
+        except AnalysisException:
+            continue
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 def coalesce_label(df: DataFrame, names: tuple[str, ...] = ("ground_truth_label", "sentiment_label", "label", "output")) -> Column:
@@ -90,7 +128,7 @@ def distillation_rows(df: DataFrame) -> DataFrame:
     have = lambda *names: [F.col(n) for n in names if n in df.columns]
     soft = default_soft(F.coalesce(*have("soft_label", "soft_labels")))
     text = F.coalesce(*(F.nullif(c, F.lit("")) for c in have("text", "input")), F.lit(""))
-    return df.select(text.alias("text"), coalesce_label(df, ("label", "output")).alias("label"), soft.alias("soft_label"), F.array_max(soft).alias("confidence"))
+    return df.select(text.alias("text"), coalesce_label(df, ("label", "labels", "output")).alias("label"), soft.alias("soft_label"), F.array_max(soft).alias("confidence"))
 
 
 def shuffled_take(df: DataFrame, n: int, key: str = "id", seed: int = 42) -> DataFrame:

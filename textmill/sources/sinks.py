@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,24 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON arrays, one in each part file, with signs outside ASCII as they are; no row passes the driver.
+
+    A part is read back as a whole by ``readers.read_json`` (``multiLine``).
+    """
+
+    def bracket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{before if i == 0 else ','}{line}" for i, line in enumerate(lines)])], names=["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("value")).mapInArrow(bracket, "value string").write.mode(mode).text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

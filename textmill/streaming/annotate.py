@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,37 +14,55 @@ from textmill.operators.models import score_batches, stub_scorer
 from textmill.operators.sampling import not_done
 
 
-def annotate(rows: DataFrame, scorer=stub_scorer) -> DataFrame:
-    """``id, probabilities, hard_label, confidence``; rows whose reply cannot be read are left out."""
-    replies = score_batches(rows, scorer)
+def annotate(rows: DataFrame, scorer=stub_scorer, workers: int | None = None, pause: float = 0.0) -> DataFrame:
+    """``id, probabilities, hard_label, confidence, thinking_preview``; rows whose reply cannot be read are left out.
+
+    ``workers`` tasks call the scorer and wait ``pause`` seconds after each call.
+    """
+    replies = score_batches(rows, scorer, workers=workers, pause=pause)
     return replies.select("id", annotation(F.col("output")).alias("a")).where("a IS NOT NULL").select("id", "a.*")
 
 
-def run_annotation(spark: SparkSession, source: str, schema: T.StructType | str, out: str, checkpoint: str, scorer=stub_scorer) -> int:
+def calls_a_second(workers: int, pause: float) -> float:
+    """Most calls a second of all workers together."""
+    return workers / pause
+
+
+def run_annotation(spark: SparkSession, source: str, schema: T.StructType | str, out: str, checkpoint: str, scorer=stub_scorer, workers: int | None = None, pause: float = 0.0) -> int:
     """Annotate all rows of ``source`` that ``out`` lacks, in micro-batches; returns the rows of ``out``.
 
-    Each batch is written under its own number, so a batch that is replayed after a failure
-    overwrites itself, and ids already stored by earlier batches are skipped by an anti-join.
+    Ids that the stream has met are kept as keyed state in ``checkpoint`` and cost a batch no more
+    than its own rows. Only a run with a new checkpoint leaves out what earlier runs have stored,
+    by an anti-join. Each batch is written under its run's and its own number, so a batch that is
+    replayed after a failure overwrites itself.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source).select("id", "text").dropDuplicates(["id"])
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+    earlier = _stored(spark, out).where(F.col("run") != run)
+    resumed = not earlier.isEmpty()
 
     def write(batch: DataFrame, number: int) -> None:
-        done = _stored(batch.sparkSession, out).where(F.col("batch") != number)
-        fresh = not_done(batch.dropDuplicates(["id"]), done)
-        annotate(fresh, scorer).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fresh = not_done(batch, _stored(batch.sparkSession, out).where(F.col("run") != run)) if resumed else batch
+        annotate(fresh, scorer, workers, pause).write.mode("overwrite").parquet(f"{out}/run={run}/batch={number}")
 
-    query = stream.select("id", "text").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return _stored(spark, out).count()
 
 
-STORED = ("id string, probabilities array<double>, hard_label int, confidence double, batch int")
+STORED = "id string, probabilities array<double>, hard_label int, confidence double, thinking_preview string, run string, batch int"
 
 
 def _stored(spark: SparkSession, out: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(STORED).parquet(out) if there else spark.createDataFrame([], STORED)
+    try:
+        return spark.read.schema(STORED).parquet(out)
+    except AnalysisException:  # nothing is stored yet
+        return spark.createDataFrame([], STORED)
+
+
+def append_lines(stream: DataFrame, path: str, checkpoint: str):
+    """The rows of a stream as JSON lines, appended as they come; each is written once."""
+    return stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_counts(stream: DataFrame, key: str) -> DataFrame:
