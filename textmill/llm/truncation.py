@@ -242,10 +242,14 @@ def aligned(judged: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def verdicts(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
-    """``table_name, id, cut, inside`` for ``(table, rows with id, text column)``; ``inside`` is null where no copy was aligned."""
+    """``table_name, id, cut, inside`` for ``(table, rows with id, text column)``: the records that may be cut.
+
+    Those left out have an end mark and whole closing words; ``inside`` is null where no copy was aligned.
+    """
     judged = stored(reduce(DataFrame.unionByName, [judge_records(df, col, name).drop("score") for name, df, col in sources]))
     texts = reduce(DataFrame.unionByName, [df.select(F.col(col).alias("t")).where("t IS NOT NULL").select(text_class(name).alias("cls"), "t") for name, df, col in sources])
-    return judged.select("table_name", "id", "cls", "cut").join(aligned(judged.select("cls", "open", "bands"), texts).hint("merge"), "cls", "left").drop("cls")
+    found = aligned(judged.select("cls", "open", "bands"), texts)
+    return judged.where("open").select("table_name", "id", "cls", "cut").join(found.hint("merge"), "cls", "left").drop("cls")
 
 
 def truncated(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -265,12 +269,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records, cut records and their share per table and source; train takes its source by id."""
-    raw = spark.read.parquet(f"{sf_dir}/raw_records.parquet").groupBy("id").agg(F.min("source").alias("source"))
-    train = spark.read.parquet(f"{sf_dir}/train.parquet").select("id").distinct()
-    ids = raw.select(F.lit("raw_records").alias("table_name"), "id", "source").unionByName(
-        train.join(raw, "id", "left").select(F.lit("train").alias("table_name"), "id", "source")
-    )
-    cut = p1_found(spark, sf_dir).withColumn("cut", F.lit(1))
-    return ids.join(cut, ["table_name", "id"], "left").groupBy("table_name", "source").agg(
-        F.count("id").alias("records"), F.count("cut").alias("cut_records"), F.round(F.count("cut") / F.count("id"), 6).alias("cut_share")
-    )
+    cut = stored(p1_found(spark, sf_dir))
+    of_table = lambda name: cut.where(F.col("table_name") == name).select("id", F.lit(None).cast("string").alias("source"), F.lit(1).alias("cut"))
+    # verdicts are grouped with the rows they belong to, so each table's ids move once
+    raw = spark.read.parquet(f"{sf_dir}/raw_records.parquet").where("id IS NOT NULL").select("id", "source", F.lit(0).alias("cut"))
+    raw = raw.union(of_table("raw_records")).groupBy("id").agg(F.min("source").alias("source"), F.max("cut").alias("cut"))
+    train = spark.read.parquet(f"{sf_dir}/train.parquet").where("id IS NOT NULL").select("id", F.lit(None).cast("string").alias("source"), F.lit(0).alias("cut"))
+    train = train.union(of_table("train")).groupBy("id").agg(F.max("cut").alias("cut")).join(raw.select("id", "source").hint("merge"), "id", "left")
+    rows = raw.select(F.lit("raw_records").alias("table_name"), "source", "cut").unionByName(train.select(F.lit("train").alias("table_name"), "source", "cut"))
+    return rows.groupBy("table_name", "source").agg(F.count("cut").alias("records"), F.sum("cut").alias("cut_records"), F.round(F.sum("cut") / F.count("cut"), 6).alias("cut_share"))
