@@ -76,6 +76,15 @@ def sentiment_any(text: Column) -> Column:
     return bind(text, lambda t: bind(read(t), pick))
 
 
+def stated_json(text: Column) -> Column:
+    """The object behind the thought block, if that block's reading gives the label and the object can be parsed; else null."""
+
+    def read(rest: Column) -> Column:
+        return F.when(_sentiment(rest).isNotNull(), bind(_match(rest, FLAT_JSON, 0), lambda body: F.when(F.try_parse_json(body).isNotNull(), body)))
+
+    return bind(after_first(after_first(text, THOUGHT_OPEN), THOUGHT_CLOSE), read)
+
+
 def sentiment_model(text: Column) -> Column:
     """After ``</think>``, after ``</thinking>``, anywhere."""
 

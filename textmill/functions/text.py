@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.bind import bind
-from textmill.schemas import STOPWORDS
+from textmill.schemas import CLASSIFIER_STOPWORDS_ZH, STOPWORDS
 
 #: The patterns decide what is removed.
 URL = r"https?://(?:[-\w.])+(?:[:\d]+)?(?:/(?:[\w/_.])*(?:\?(?:[\w&=%.])*)?(?:#(?:[\w.])*)?)?"
@@ -183,6 +183,31 @@ def _library(language: str, stem: bool, lemma: bool):
     return lambda t: t.lower().split()
 
 
+def classifier_text(text: Column, language: Column) -> Column:
+    """Text for linear classifiers: English words and Chinese signs without stopwords, joined by blanks; any other language as it is, in lower case.
+
+    Null gives an empty text. Words keep their form, as no lemmatizer is at hand in the JVM.
+    """
+
+    def of_flat(flat: Column) -> Column:
+        english = bind(stopwords(F.lit("en")), lambda stop: F.filter(tokens_english(flat), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
+        chinese = _without(tokens_chinese(flat), F.array(*map(F.lit, CLASSIFIER_STOPWORDS_ZH)))
+        return F.when(language == "en", F.array_join(english, " ")).when(language == "zh", F.array_join(chinese, " ")).otherwise(flat)
+
+    return bind(strip(F.lower(F.coalesce(text, F.lit("")))), of_flat)
+
+
+def topic_list(text: Column, language: Column) -> Column:
+    """Words for topic models: English as for classifiers; of Chinese words of two signs and more, so none without a segmenter; other languages split at white space."""
+
+    def of_flat(flat: Column) -> Column:
+        words = F.filter(F.split(flat, rf"(?U)[{WHITE}]+"), lambda w: F.length(w) > 0)
+        english = bind(stopwords(F.lit("en")), lambda stop: F.filter(tokens_english(flat), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
+        return F.when(language == "en", english).when(language == "zh", F.array().cast("array<string>")).otherwise(words)
+
+    return bind(strip(F.lower(F.coalesce(text, F.lit("")))), of_flat)
+
+
 def word_count(tokens_text: Column) -> Column:
     return F.when(F.length(tokens_text) == 0, 0).otherwise(F.size(F.split(tokens_text, " ")))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.probs import confidence
+from textmill.functions.probs import confidence, default_soft
 from textmill.schemas import LABEL_NAMES, THOUGHT_CLOSE, THOUGHT_OPEN
 
 #: Templates of the caller's prompts: system text and user text with ``{text}`` for each language.
@@ -34,10 +36,16 @@ def turn(role: str, content: Column) -> Column:
 
 
 def system_prompt(language: Column) -> Column:
-    """Null for a language without a template."""
+    """Null for a language without a template; see ``require_language`` for an error instead."""
     return _lookup(SYSTEM, language)
 
 
+def require_language(language: Column) -> Column:
+    """The language, or an error at run time if it has no template."""
+    known = language.isin(*SYSTEM)
+    return F.when(F.coalesce(known, F.lit(False)), language).otherwise(F.raise_error(F.concat(F.lit("no template for language "), F.coalesce(language, F.lit("null")))).cast("string"))
+
+
 def user_prompt(text: Column, language: Column) -> Column:
     return F.replace(_lookup(USER, language), F.lit("{text}"), text)
 
@@ -100,13 +108,19 @@ def to_conversations(df: DataFrame, instruction: str = SYSTEM["en"]) -> DataFram
     cot = F.coalesce("cot", F.lit(""))
     quoted = F.expr("to_json(named_struct('x', coalesce(cot, '')))")
     quoted = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
-    sure = F.format_string("%.2f", F.coalesce("confidence", confidence(F.col("soft_labels"))))
+    sure = F.coalesce("confidence", confidence(F.col("soft_labels"))).cast("string")
     reply = F.concat(
         F.lit(f"{THOUGHT_OPEN}\n"), cot, F.lit(f"{THOUGHT_CLOSE}\n"), F.lit('{"sentiment": '), F.col("label").cast("string"),
         F.lit(', "confidence": '), sure, F.lit(', "rationale": '), quoted, F.lit("}"),
     )
     turns = F.array(turn("system", F.lit(instruction)), turn("user", F.concat(F.lit("Review: "), F.coalesce("text", F.lit("")))), turn("assistant", reply))
-    return df.select("id", turns.alias("conversations"), "text", "label", "soft_labels", "category")
+    return df.select("id", turns.alias("conversations"), "text", "label", default_soft(F.col("soft_labels")).alias("soft_labels"), F.coalesce("category", F.lit("unknown")).alias("category"))
+
+
+def split_conversations(parts: dict[str, DataFrame], instruction: str = SYSTEM["en"]) -> DataFrame:
+    """The conversations of several splits as one frame with ``split``."""
+    made = [to_conversations(df, instruction).withColumn("split", F.lit(name)) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, made)
 
 
 def to_instructions(df: DataFrame, instruction: str = SYSTEM["en"]) -> DataFrame:

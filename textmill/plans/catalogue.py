@@ -15,7 +15,7 @@ from textmill.functions import parse, probs, records, text
 from textmill.operators import chat, features, metrics, models, quality, reports, sampling, topics
 from textmill.plans import views
 from textmill.runtime import checkpoint, prefix_sum, shared_folder, table
-from textmill.schemas import SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE, STOPWORDS, STOPWORDS_EN
+from textmill.schemas import CLASSIFIER_STOPWORDS_ZH, SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE, STOPWORDS, STOPWORDS_EN
 from textmill.sources import readers, sinks
 
 _QUERIES: dict = {}
@@ -772,12 +772,12 @@ def _whole():
 
 @query(
     "q_conversation_build",
-    "SELECT id, concat('Review: ', coalesce(text, '')) AS user_turn, concat('<|channel>thought', chr(10), coalesce(cot, ''), '<channel|>', chr(10), '{\"sentiment\": ', label) AS head FROM train WHERE label IS NOT NULL",
+    "SELECT id, concat('Review: ', coalesce(text, '')) AS user_turn, concat('<|channel>thought', chr(10), coalesce(cot, ''), '<channel|>', chr(10), '{\"sentiment\": ', label, ', \"confidence\": ', "
+    f"coalesce(confidence, {_CONF})::VARCHAR, ', \"rationale\": ', to_json(coalesce(cot, ''))::VARCHAR, '}}') AS reply, coalesce(category, 'unknown') AS category FROM train WHERE label IS NOT NULL",
 )
-def _(s, d):
+def _(s, d):  # PRJ-7
     df = chat.to_conversations(table(s, d, "train").where("label IS NOT NULL"))
-    reply = F.col("conversations")[2]["content"]
-    return df.select("id", F.col("conversations")[1]["content"].alias("user_turn"), F.substring_index(reply, ', "confidence": ', 1).alias("head"))
+    return df.select("id", F.col("conversations")[1]["content"].alias("user_turn"), F.col("conversations")[2]["content"].alias("reply"), "category")
 
 
 @query(
@@ -799,7 +799,19 @@ def _(s, d):
     return table(s, d, "conversation_rows").select("id", chat.chatml(F.col("conversations")).alias("prompt"))
 
 
-@query("q_render_history")
+_TURN = (
+    "CASE WHEN contains(m.content, '</think>') THEN ltrim(split_part(m.content, '</think>', -1), chr(10)) ELSE m.content END",
+    "CASE WHEN contains(m.content, '</think>') THEN trim(split_part(split_part(m.content, '</think>', 1), '<think>', -1), chr(10)) ELSE '' END",
+)
+
+
+@query(
+    "q_render_history",
+    "WITH x AS (SELECT id, conversations AS c, coalesce(list_max(list_filter(list_transform(conversations, lambda m, i: CASE WHEN m.role = 'user' THEN i END), lambda k: k IS NOT NULL)), 0) AS lu FROM conversation_rows), "
+    f"y AS (SELECT id, c, list_transform(c, lambda m, i: '<|im_start|>' || m.role || chr(10) || CASE WHEN m.role = 'assistant' THEN CASE WHEN i > lu AND (i = len(c) OR len({_TURN[1]}) > 0) "
+    f"THEN '<think>' || chr(10) || ({_TURN[1]}) || chr(10) || '</think>' || chr(10) || chr(10) || ltrim({_TURN[0]}, chr(10)) ELSE {_TURN[0]} END ELSE m.content END || '<|im_end|>' || chr(10)) AS said FROM x) "
+    "SELECT id, CASE WHEN c IS NOT NULL THEN coalesce(array_to_string(list_filter(said, lambda t: t IS NOT NULL), ''), '') || '<|im_start|>assistant' || chr(10) END AS prompt FROM y",
+)
 def _(s, d):
     return table(s, d, "conversation_rows").select("id", chat.render_history(F.col("conversations"), True).alias("prompt"))
 
@@ -848,20 +860,45 @@ def _(s, d):
     return df.select("id", t.alias("t")).select("id", F.array_join("t", " ").alias("nlp"), F.size("t").cast("long").alias("words"))
 
 
-@query("q_clean_llm")
+#: White space of any kind for RE2 classes, whose own \\s knows ASCII only.
+_WHITE = r"'\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}'"
+
+
+def _cleaned(raw: str) -> str:
+    """The three entities that the tables hold, in one pass; links, addresses and tags; white space."""
+    text = f"regexp_replace({raw}, '&(?:amp|AMP);?', chr(1), 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '&(?:quot|QUOT);?', '\"', 'g'), '&nbsp;?', chr(160), 'g')"
+    text = f"replace({text}, chr(1), '&')"
+    w = r"\p{L}\p{N}\p{M}_"
+    url = rf"(?i)https?://[-.{w}]+(?:[:\d]+)?(?:/[/.{w}]*(?:\?[&=%.{w}]*)?(?:#[.{w}]*)?)?"
+    solid = f"'[^' || {_WHITE} || ']+'"
+    text = f"regexp_replace({text}, '{url}', ' ', 'g')"
+    text = f"regexp_replace({text}, {solid} || '@' || {solid} || '[.]' || {solid}, ' ', 'g')"
+    text = f"regexp_replace({text}, '<[^>]+>', ' ', 'g')"
+    return f"trim(regexp_replace({text}, '[' || {_WHITE} || ']+', ' ', 'g'))"
+
+
+_CLEANED = f"WITH k AS (SELECT id, language, {_cleaned("coalesce(original_text, '')")} AS t FROM raw_records) "
+
+
+@query("q_clean_llm", _CLEANED + "SELECT id, language, t AS text_for_llm, length(t)::INT AS char_count FROM k")
 def _(s, d):
     df = table(s, d, "raw_records").select("id", "language", text.clean_for_llm(F.col("original_text")).alias("text_for_llm"))
     return df.withColumn("char_count", F.length("text_for_llm"))
 
 
-@query("q_process_records")
+@query(
+    "q_process_records",
+    _CLEANED + ", w AS (SELECT id, t, CASE language WHEN 'en' THEN " + _TOK.format(c="t", p="^[a-z]+$") + " WHEN 'ru' THEN " + _TOK.format(c="t", p="^[\\x{0400}-\\x{04ff}]+$") + " WHEN 'zh' THEN regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]') "
+    f"ELSE list_filter(regexp_split_to_array(lower(t), '[' || {_WHITE} || ']+'), lambda x: len(x) > 0) END AS w, CASE language WHEN 'en' THEN {_words(STOPWORDS['en'])} WHEN 'ru' THEN {_words(STOPWORDS['ru'])} WHEN 'zh' THEN {_words(STOPWORDS['zh'])} ELSE [] END AS stop FROM k), "
+    "f AS (SELECT id, t, list_filter(w, lambda x: len(x) > 1 AND NOT list_contains(stop, x)) AS w FROM w) "
+    "SELECT id, t AS text_for_llm, array_to_string(w, ' ') AS text_for_nlp, len(w)::INT AS word_count, length(t)::INT AS char_count, CASE WHEN len(w) <= 15 THEN 'short' WHEN len(w) <= 50 THEN 'medium' ELSE 'long' END AS length_category FROM f",
+)
 def _(s, d):  # PRJ-5, 6
     df = table(s, d, "raw_records").select("id", text.processed(F.col("original_text"), F.col("language")).alias("x"))
     return df.select("id", "x.*", records.length_category(F.col("x.word_count")).alias("length_category"))
 
 
-#: White space of any kind for RE2 classes, whose own \\s knows ASCII only.
-_WHITE = r"'\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}'"
 _TOPIC = f"list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z' || {_WHITE} || ']', '', 'g')), '[' || {_WHITE} || ']+'), lambda w: len(w) >= 3 AND NOT list_contains({_words(STOPWORDS_EN)}, w))"
 
 
@@ -932,7 +969,15 @@ def _(s, d):
     return rows.select("doc_id", F.size("e.input_ids").cast("long").alias("n"), add("e.attention_mask").alias("attended"), add("e.input_ids").alias("total"))
 
 
-@query("q_label_token")
+_BLANK_TOKENS = "list_filter(regexp_split_to_array({t}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: len(x) > 0)"
+_BEFORE = "left(output, len(output) - len(split_part(output, '\"sentiment\": ', -1)))"
+
+
+@query(
+    "q_label_token",
+    _REPLY + f", t AS (SELECT id, output, {_BLANK_TOKENS.format(t='output')} AS tokens, len({_BLANK_TOKENS.format(t=_BEFORE)})::INT AS spot FROM r WHERE output IS NOT NULL) "
+    "SELECT id, CASE WHEN contains(output, '\"sentiment\": ') AND coalesce(regexp_matches(tokens[spot + 1], '^[012]'), false) THEN spot ELSE -1 END AS place FROM t",
+)
 def _(s, d):  # ARR-8 with a tokenizer that splits at blanks
     rows = _replies(s, d).where("output IS NOT NULL")
     tokens = F.filter(F.split("output", r"\s+"), lambda x: F.length(x) > 0)
@@ -1331,3 +1376,137 @@ def _(s, d):  # STM-4: two workers, each waits after a call; whole conversations
 
     rows = table(s, d, "conversation_rows").select("id", "text").distinct()
     return annotate(rows, workers=8, pause=0.001)
+
+
+# ---- files written and read again: SRC-1, 5, 8, 9, 11, 13, SNK-1, 2, 5, 6, PRJ-8; FLT-14, 16, STR-16, JSN-13, STM-2, 3, 5 ----
+
+
+def _folder(s) -> str:
+    return f"{shared_folder(s).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_TRAIN_FILE = "SELECT id, text, label FROM train"
+
+
+@query("q_jsonl_file", _TRAIN_FILE)
+def _(s, d):  # SRC-1, 9, SNK-2
+    path = _folder(s) + ".jsonl"
+    sinks.write_jsonl(table(s, d, "train").select("id", "text", "label"), path)
+    return readers.read_json(s, path, "id string, text string, label int")
+
+
+@query("q_json_array_file", _TRAIN_FILE)
+def _(s, d):  # SRC-1, SNK-1
+    path = _folder(s)
+    sinks.write_json_array(table(s, d, "train").select("id", "text", "label"), path)
+    return readers.read_json(s, path, "id string, text string, label int")
+
+
+@query("q_json_lines_file", _TRAIN_FILE)
+def _(s, d):  # SRC-5
+    path = _folder(s)
+    sinks.write_jsonl(table(s, d, "train").select("id", "text", "label"), path)
+    return readers.read_lines(s, path, "id string, text string, label int")
+
+
+@query("q_csv_file", "SELECT coalesce(id, '') AS id, coalesce(text, '') AS text, coalesce(label, 1)::VARCHAR AS label FROM train")
+def _(s, d):  # SRC-11, 13, SNK-5
+    path = _folder(s)
+    sinks.write_csv(sinks.baseline_rows(table(s, d, "train")), path)
+    return readers.read_csv(s, path, ["id", "text", "label"]).select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("id", "text", "label")))
+
+
+@query("q_soft_label_file", f"SELECT coalesce(id, '') AS id, coalesce(hard_label, 1) AS hard_label, coalesce(confidence, 0.5)::DOUBLE AS confidence, round({_DEFAULT}[1], 9)::DOUBLE AS negative, 'train' AS split FROM train")
+def _(s, d):  # SNK-6
+    path = _folder(s) + ".jsonl"
+    sinks.write_jsonl(sinks.soft_label_rows(table(s, d, "train")), path)
+    rows = readers.read_json(s, path, "id string, text string, probabilities array<double>, hard_label int, confidence double, split string")
+    return rows.select("id", "hard_label", "confidence", F.round(F.col("probabilities")[0], 9).alias("negative"), "split")
+
+
+@query("q_split_places", "SELECT split, count(*) AS n, count(*) AS ids, count(*) - 1 AS last_place FROM soft_labels_reviewed WHERE split IN ('train', 'val', 'test') GROUP BY 1")
+def _(s, d):  # SRC-8
+    folder = _folder(s)
+    for name in ("train", "val", "test"):
+        sinks.write_jsonl(table(s, d, "soft_labels_reviewed").where(F.col("split") == name).select("text", "hard_label"), f"{folder}/{name}.jsonl")
+    rows = readers.read_splits(s, folder, ["train", "val", "test"], "text string, hard_label int")
+    place = F.substring_index("id", "_", -1).cast("long")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max(place).alias("last_place"))
+
+
+@query("q_split_conversations", "SELECT CASE label WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM train WHERE label IS NOT NULL GROUP BY 1")
+def _(s, d):  # PRJ-8
+    df = table(s, d, "train")
+    made = chat.split_conversations({name: df.where(F.col("label") == k) for k, name in enumerate(("train", "val", "test"))})
+    return made.groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("q_nonempty_tokens", f"SELECT doc_id FROM documents WHERE lang = 'en' AND len({_TOPIC}) > 0")
+def _(s, d):  # FLT-14
+    return _token_lists(s, d).where(F.size("tokens") > 0).select(F.col("doc").alias("doc_id"))
+
+
+@query("q_label_mode", "SELECT CASE WHEN (SELECT soft_labels IS NOT NULL FROM (SELECT [0.2, 0.8] AS soft_labels)) THEN 'soft' ELSE 'hard' END AS with_soft, 'hard' AS without_soft")
+def _(s, d):  # FLT-16
+    mode = lambda df: "soft" if readers.has_soft_labels(df) else "hard"
+    rows = table(s, d, "train").where("soft_labels IS NOT NULL")
+    return s.range(1).select(F.lit(mode(rows)).alias("with_soft"), F.lit(mode(rows.drop("soft_labels"))).alias("without_soft"))
+
+
+@query("q_remove_prefix", "SELECT id, CASE WHEN starts_with(t, '<bos>') THEN substring(t, 6) ELSE t END AS text FROM (SELECT id, CASE WHEN label = 1 THEN '<bos>' ELSE '' END || text AS t FROM train)")
+def _(s, d):  # STR-16
+    marked = table(s, d, "train").select("id", F.concat(F.when(F.col("label") == 1, "<bos>").otherwise(""), "text").alias("t"))
+    return marked.select("id", text.remove_prefix(F.col("t"), "<bos>").alias("text"))
+
+
+@query("q_json_encode", "SELECT id, to_json({'sentiment': label, 'rationale': cot})::VARCHAR AS body FROM train WHERE label IS NOT NULL AND cot IS NOT NULL")
+def _(s, d):  # JSN-13
+    df = table(s, d, "train").where("label IS NOT NULL AND cot IS NOT NULL")
+    return df.select("id", F.to_json(F.struct(F.col("label").alias("sentiment"), F.col("cot").alias("rationale"))).alias("body"))
+
+
+@query("q_resumed_annotation", "SELECT DISTINCT id FROM train")
+def _(s, d):  # STM-2, 3, FLT-15: the same stream twice, from two checkpoints, annotates each row once
+    from textmill.streaming.annotate import run_annotation
+
+    out, schema = _folder(s), table(s, d, "train").schema
+    for _ in range(2):
+        run_annotation(s, f"{d}/train.parquet*", schema, out, _folder(s))
+    return s.read.parquet(out).select("id")
+
+
+@query("q_first_of_each", "SELECT DISTINCT event_type FROM events")
+def _(s, d):  # STM-5
+    from textmill.streaming.annotate import append_lines, first_of_each
+
+    out, schema = _folder(s), table(s, d, "events").schema
+    stream = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    append_lines(first_of_each(stream, "event_type", "ts", "3650 days"), out, _folder(s)).awaitTermination()
+    return s.read.schema("event_type string").json(out)
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
+_LOWER = f"WITH t AS (SELECT doc_id, lang, trim(lower(coalesce(text, '')), {_BLANKS}) AS f FROM documents) "
+_EN_WORDS = f"list_filter({_TOK.format(c='f', p='^[a-z]+$')}, lambda w: len(w) > 2 AND NOT list_contains({_words(STOPWORDS_EN)}, w))"
+
+
+@query(
+    "q_classifier_text",
+    _LOWER + f"SELECT doc_id, CASE WHEN lang = 'en' THEN array_to_string({_EN_WORDS}, ' ') WHEN lang = 'zh' THEN array_to_string(list_filter(regexp_extract_all(f, '[一-鿿]'), lambda w: NOT list_contains({_words(CLASSIFIER_STOPWORDS_ZH)}, w)), ' ') ELSE f END AS text FROM t",
+)
+def _(s, d):  # STR-10
+    return table(s, d, "documents").select("doc_id", text.classifier_text(F.col("text"), F.col("lang")).alias("text"))
+
+
+@query("q_topic_list", _LOWER + f"SELECT doc_id, array_to_string(CASE WHEN lang = 'en' THEN {_EN_WORDS} WHEN lang = 'zh' THEN [] ELSE list_filter(regexp_split_to_array(f, '[' || {_WHITE} || ']+'), lambda w: len(w) > 0) END, ' ') AS words FROM t")
+def _(s, d):  # STR-11
+    return table(s, d, "documents").select("doc_id", F.array_join(text.topic_list(F.col("text"), F.col("lang")), " ").alias("words"))
+
+
+@query(
+    "q_parse_json",
+    views.SQL + f", r AS (SELECT doc_id, {_aft('(' + _IN + ')', '<channel|>')} AS rest FROM v_out), j AS (SELECT doc_id, CASE WHEN regexp_matches(rest, '\"sentiment\":\\s*[0-2]') THEN nullif(regexp_extract(rest, '(?s)\\{{[^{{}}]*\\}}'), '') END AS body FROM r) "
+    "SELECT doc_id, CASE WHEN json_valid(body) THEN body END AS body FROM j",
+)
+def _(s, d):  # JSN-7: the object of the result
+    return views.outputs(s, d).select("doc_id", parse.stated_json(F.col("output")).alias("body"))

@@ -73,6 +73,10 @@ STOPWORDS_RU = (
     "который", "весь", "год", "от", "такой", "для", "ты", "же", "все", "тот", "мочь", "вы", "человек", "его", "сказать", "этот", "продукт", "товар",
     "продавец", "доставка", "упаковка", "заказ", "магазин", "покупка",
 )
+#: Chinese words that the linear classifiers leave out.
+CLASSIFIER_STOPWORDS_ZH = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+)
 STOPWORDS = {"zh": STOPWORDS_ZH, "en": STOPWORDS_EN, "ru": STOPWORDS_RU}
 
 SEEDS_NEGATIVE = (

@@ -9,11 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from textmill.functions.probs import argmax, default_soft
 from textmill.functions.records import blank_to_null, has_text, rating_to_label, truncated_int, valid_label, valid_rating
 from textmill.functions.text import strip
-from textmill.runtime import prefix_sum
 from textmill.schemas import RAW_RECORD
 
 #: Column names of known dataset layouts; a new layout is a new entry. ``path`` may hold the places
@@ -65,8 +65,12 @@ def read_splits(spark: SparkSession, folder: str, splits: list[str], schema: T.S
     """
     parts = [read_json(spark, f"{folder}/{s}.jsonl", schema).select("*", "_metadata.file_path", "_metadata.file_block_start").withColumn("split", F.lit(s)) for s in splits]
     every = reduce(DataFrame.unionByName, parts).withColumn("_row", F.monotonically_increasing_id())
-    placed = prefix_sum(every, ["split", "file_path"], F.col("file_block_start"), [F.col("_row")], F.lit(1.0), "_place")
-    return placed.withColumn("id", F.concat_ws("_", "split", F.col("_place").cast("long").cast("string"))).drop("file_path", "file_block_start", "_row", "_place")
+    block = ["split", "file_path", "file_block_start"]
+    before = Window.partitionBy("split").orderBy("file_path", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = every.groupBy(*block).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("_row"))
+    placed = every.join(starts, block).withColumn("_place", F.col("_before") + inside - 1)
+    return placed.withColumn("id", F.concat_ws("_", "split", F.col("_place").cast("string"))).drop("file_path", "file_block_start", "_row", "_before", "_place")
 
 
 def project(df: DataFrame, layout: str, language: str, source: str) -> DataFrame:
