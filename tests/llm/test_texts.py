@@ -147,6 +147,12 @@ def test_held_out_mixtures(sf_dir, spark):
     assert all(held(en + t) == {"en", lang} for t, lang in (("Sehr gut.", "de"), ("非常好。", "zh"), ("Ich bin sehr zufrieden.", "de"), ("Очень хорошо.", "ru")))
 
 
+def test_an_address_spelt_out_is_no_language():
+    scorer = Scorer({})
+    zh = "这个东西用起来不错但不是我想要的。卖家请回复 Thessaly.TARNHELM at mailbox dot test 谢谢。"
+    assert {s[2] for s in language.segments(scorer, zh)} == {"zh"}
+
+
 def test_a_model_is_keyed_by_its_content():
     a, b = {"en": {"cat": 1, "dog": 2}}, {"en": {"cat": 2, "dog": 1}}
     assert language.content_key(a) != language.content_key(b) and language.content_key(a) == language.content_key({"en": {"dog": 2, "cat": 1}})

@@ -46,7 +46,7 @@ _LABEL = {alias: lang for lang, names in _ALIASES.items() for alias in names}
 _NONE = ("", "unknown", "und", "n/a", "na", "none", "null", "-", "--", "?", "unk", "undefined", "other", "xx", "zxx", "mul", "nan", "not specified", "unspecified", "tbd", ".", "auto")
 
 _NOISE = re.compile(
-    r"<[^<>]{0,200}>|&#?[0-9A-Za-z]{1,8};|https?://[!-~]+|[0-9A-Za-z_.+-]{1,64}\s?(?:[@＠]|[\[(]at[\])])\s?[0-9A-Za-z_-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[0-9A-Za-z_-]+)*|[^\W一-鿿]{0,80}\d[^\W一-鿿]*"
+    r"<[^<>]{0,200}>|&#?[0-9A-Za-z]{1,8};|https?://[!-~]+|[0-9A-Za-z_.+-]{1,64}\s?(?:[@＠]|[\[(]at[\])])\s?[0-9A-Za-z_-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[0-9A-Za-z_-]+)*|[0-9A-Za-z_.+-]{1,64}\s(?:at|собака|эт)\s[0-9A-Za-z_-]+(?:\s(?:dot|точка)\s[0-9A-Za-z_-]+)+|[^\W一-鿿]{0,80}\d[^\W一-鿿]*", re.I
 )
 _SENTENCE = re.compile(r"[^.!?。！？…\n|]+[.!?。！？…\n|]*")
 
@@ -61,7 +61,7 @@ def label_language(label: str | None) -> str | None:
 
 def sentences(scorer: Scorer, text: str) -> list[tuple[int, int, int, str, float, dict]]:
     """``start, end, letters, language, lead, bits`` of each sentence that holds words."""
-    blank = _NOISE.sub(lambda m: " " * len(m[0]), text) if re.search(r"[<&@＠\d]|http", text) else text
+    blank = _NOISE.sub(lambda m: " " * len(m[0]), text) if re.search(r"[<&@＠\d]|http| (?:dot|точка) ", text, re.I) else text
     lower = blank.lower()
     if len(lower) != len(blank):
         lower = blank
