@@ -210,6 +210,8 @@ def test_alignment():
     assert truncation.stops_inside("The lid holds up well, and I would ord", full) is True
     assert truncation.stops_inside("The lid holds up well, and I would", full) is True
     assert truncation.stops_inside("The lid holds up well, and I would order it again soon.", full) is False
+    assert truncation.stops_inside("The lid holds up well, and I would order it again soon", "The lid holds up well, and I would order it again soon Thanks!") is None
+    assert truncation.stops_inside("The lid holds up well, and I would order it again", "THE LID HOLDS UP WELL, AND I WOULD ORDER IT AGAIN SOON. SO IT IS.") is True
     assert truncation.stops_inside("A scent that nobody liked at all here", full) is None
 
 

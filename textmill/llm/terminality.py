@@ -24,13 +24,18 @@ BITS = 18
 END_LIMIT, DOTS_LIMIT, OPEN_LIMIT = -4.5, -2.5, -1.5
 
 TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[-'’][^\W_一-鿿]+)*|[,:;，：；、]")
-_SPLIT = re.compile(r"(?<=[.!?。！？…])(?:\s+|(?<=[。！？]))|\s\|\s|[\"”»]\s*[,}]")
+_SPLIT = re.compile(r"(?<=[.!?。！？…])(?:\s+|(?<=[。！？]))|\s\|\s|[\"”»]\s*[,}]|;\s+(?=[^\W\d_]{2,16}\s?[-–—:：]\s)")
+#: a field's name before its value; the value is what may be cut
+_FIELD = re.compile(r"\s*[^\W\d_]{2,16}\s?[-–—:：]\s+(?=\S+\s+\S+\s+\S)")
 #: Notes that a page puts where it cut a text.
 _MORE = re.compile(r"[\s.…]*[\[(<]?\s*(?:read more|see more|show more|more|truncated|cut|continued?|ещё|еще|далее|читать далее|подробнее|обрезано|展开|全文|更多|查看更多|阅读全文|未完|截断)\s*[.…]*[\])>]\s*$|[\s.…]+(?:read more|see more|show more|читать далее|查看更多|阅读全文|展开全文)\s*[.…»>]*\s*$|(?:\.\.\.|…)\s*[\[(](?:\.\.\.|…)[\])]\s*$|\s\(more\s*$|\[(?:\.\.\.|…)\]\s*$", re.I)
 _TAG = re.compile(r"<[^<>]{0,200}>")
 #: signs that may follow a finished sentence: quotes, brackets, stars, pictographs and blanks
 _CLOSER = re.compile(r"[\s\"'”’»«“„\]\[)(}{*~_#>|🀀-🫿☀-➿️‍–—]")
 _ENDS = ".!?。！？…"
+_ANY_END = re.compile(r"[.!?。！？…]")
+#: Words of a text without end marks that may still be one sentence.
+UNMARKED = 14
 _BROKEN = re.compile(r"(?:�+|<[a-zA-Z/][^<>]{0,60}|&[a-zA-Z#]\w{0,6})$")
 
 
@@ -96,7 +101,9 @@ class Tail:
         parts = [x for x in _SPLIT.split(body[-500:]) if x and x.strip()]
         if len(parts) < 2 and len(body) > 500:
             parts = [x for x in _SPLIT.split(body) if x and x.strip()]
-        self.sentence = parts[-1] if parts else ""
+        last = parts[-1] if parts else ""
+        field = _FIELD.match(last)
+        self.sentence = last[field.end() :] if field else last
 
 
 class Terminality:
@@ -118,11 +125,12 @@ class Terminality:
                 f"o {a} {b}|{w[-1]}", f"p {a} {b}|{two}", f"q {a}|{two}|{min(commas, 3)}", f"c {a} {b} {min(commas, 3)}", f"l {a} {b}|{min(len(words), 24)}", f"f {piece} {known}"]
         return [crc32(k.encode()) & ((1 << BITS) - 1) for k in keys]
 
-    def score(self, words: list[str]) -> float:
-        """Log-odds that the words are a complete sentence."""
+    def score(self, words: list[str], opened: bool = True) -> float:
+        """Log-odds that the words are a complete sentence; only the closing ones are looked at if it is not known where it ``opened``."""
         if not words:
             return 0.0
-        return float(self.weights[self.features(words)].sum() + self.bias)
+        keys = self.features(words)
+        return float(self.weights[keys if opened else keys[:6] + keys[-1:]].sum() + self.bias)
 
 
 def fit(texts: list[str], seed: int = 1, epochs: int = 4) -> Terminality:
@@ -181,7 +189,8 @@ def judge(model: Terminality, text: str) -> tuple[bool, float]:
         words = words[:-1] if tail.mark else words + ["<end>"]
         if words[-1] == "<end>":
             break
-    score = model.score(words) if words else 0.0
+    # a text without any end mark does not show where its last sentence began
+    score = model.score(words, len(words) <= UNMARKED or bool(_ANY_END.search(text))) if words else 0.0
     if not words:
         return False, score
     if tail.broken or tail.more and score < 3:

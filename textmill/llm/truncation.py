@@ -154,13 +154,20 @@ def stops_inside(short: str, long: str, short_words: list[str] | None = None, lo
     if j >= len(b):
         return None
     # the copy goes on: was there an end of a sentence between its words j-1 and j?
-    flat = flatten(long).casefold()
+    flat = flatten(long)
     spots = [m.span() for m in _WORD.finditer(flat)]
+    cased = len(spots) == len(b)
+    if not cased:
+        flat = flat.casefold()
+        spots = [m.span() for m in _WORD.finditer(flat)]
     if not re.search(r"[.!?。！？…]", flat):
         return None  # a copy without any end marks cannot tell where its sentences end
     between = flat[spots[j - 1][1] : spots[j][0]]
     if re.search(r"[.!?。！？…\n|]", between):
         return False
+    before, after = (flat[x:y] for x, y in (spots[j - 1], spots[j]))
+    if cased and after[0].isupper() and not before[0].isupper():
+        return None  # a capital may open a sentence whose forerunner lost its mark
     return None if _CLOSED.search(short) else True
 
 
