@@ -199,7 +199,7 @@ def test_held_out_cuts(spark, sf_dir, model):
     assert wrong <= 2 and found / len(cut) > 0.85
 
 
-@pytest.mark.parametrize("tail", ["Regards, Dr. Torvin Ashgrove", "Ordered as YZ-732801. 🤷", "…", "", "-"])
+@pytest.mark.parametrize("tail", ["Regards, Dr. Torvin Ashgrove", "Thanks!", "Спасибо!", "Ordered as YZ-732801. 🤷", "…", "", "-"])
 def test_odd_ends_are_whole(model, tail):
     text = f"The lid holds up beautifully in the garage, and I would order again. {tail}" if len(tail) > 1 else tail
     assert not terminality.judge(model, text)[0]

@@ -197,6 +197,8 @@ def judge(model: Terminality, text: str) -> tuple[bool, float]:
         return True, min(score, -5.0)
     if text.lstrip().startswith('{"') and not text.rstrip().endswith("}"):
         return True, min(score, -5.0)
+    if len(words) < 2 and tail.mark and tail.mark[0] in "!?！？" and not words[-1].endswith("<end>"):
+        return False, max(score, 0.0)  # a word called out by itself
     if len(words) < 2 and not tail.mark and words and words[-1] in model.known:
         score += 2  # one whole word by itself is a short text more often than a cut one
     if tail.signed:
