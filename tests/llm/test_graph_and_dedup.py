@@ -34,6 +34,18 @@ def test_components(spark, seed, n, m):
     assert got == components([e for e in edges if e[0] is not None])
 
 
+def test_long_chains_and_a_large_hub(spark):
+    """A chain of 1500 vertices in random order, and a hub with 100 000 edges, a third of them twice."""
+    names = [f"c{i:04}" for i in range(1500)]
+    random.Random(1).shuffle(names)
+    chain = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    leaf = F.concat(F.lit("h"), F.format_string("%06d", F.col("id")))
+    hub = spark.range(100_000).select(F.lit("hub").alias("a"), leaf.alias("b"))
+    got = group_split.connected_components(chain.union(hub).union(hub.where(F.col("b") < "h033333").select("b", "a")))
+    sizes = {(r["component"], r["n"]) for r in got.groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {("c0000", 1500), ("h000000", 100_001)}
+
+
 @pytest.mark.parametrize(
     "value,code",
     [

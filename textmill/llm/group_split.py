@@ -112,6 +112,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored value that names a product, the smallest value of its class, and how many spellings the class has."""
+    df = spark.read.parquet(f"{sf_dir}/raw_records.parquet").select("product_id")
+    parts = checkpoint(value_components(df, "product_id", product_key(F.col("value"))))
+    sizes = parts.groupBy("component").agg(F.count("value").alias("spellings"))
+    return parts.join(sizes, "component").select(F.col("value").alias("product_id"), F.col("component").alias("class_id"), "spellings")
+
+
 def assign_splits(components: DataFrame, targets: DataFrame, big_share: float = 0.002) -> DataFrame:
     """``scheme, component, split`` for ``components(component, weight)`` and ``targets(scheme, split, share)``.
 

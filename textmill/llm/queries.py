@@ -8,7 +8,7 @@ import unicodedata
 #: module -> names of its queries
 _MODULES = {
     "truncation": ("p1_found", "p1_source_report"),
-    "group_split": ("p2_found", "p2_splits", "p2_shares"),
+    "group_split": ("p2_found", "p2_splits", "p2_shares", "p2_classes"),
     "pair_defects": ("p3_found", "p3_pair_coverage"),
     "pii": ("p4_found", "p4_redacted"),
     "language": ("p5_found", "p5_segments"),
@@ -105,10 +105,33 @@ SELECT a.id AS doc_id_a, b.id AS doc_id_b FROM l a JOIN l b ON a.look = b.look A
 """
 
 
+def _forms() -> str:
+    """The consistent form of each document: words of the look that hold a Cyrillic letter are spelt in Cyrillic, and so are words of shared letters only in texts that are mostly Cyrillic."""
+    latin: dict[str, str] = {}
+    for sign, seen in _LOOKS.items():
+        if "Ѐ" <= sign <= "ԯ":
+            latin.setdefault(seen, sign)
+    shared, own = "".join(latin), "".join(latin.values())
+    word = r"'[\p{L}\p{M}]+|[^\p{L}\p{M}]+'"
+    return (
+        _looks()[: _looks().rindex("SELECT a.id")].rstrip()
+        + rf""",
+     w AS (SELECT id, look, raw, unnest(regexp_extract_all(look, {word})) AS word, unnest(range(len(regexp_extract_all(look, {word})))) AS place FROM l),
+     k AS (SELECT *, regexp_matches(word, '\p{{Cyrillic}}') AS cyrillic, regexp_full_match(word, '[{shared}]+') AS both_ways FROM w),
+     t AS (SELECT id, raw, count(*) FILTER (cyrillic) > count(*) FILTER (regexp_matches(word, '\p{{Latin}}') AND NOT cyrillic AND NOT both_ways) AS mostly FROM k GROUP BY id, raw),
+     f AS (SELECT id, raw, string_agg(CASE WHEN cyrillic OR (mostly AND both_ways) THEN translate(word, '{shared}', '{own}') ELSE word END, '' ORDER BY place) AS form FROM k JOIN t USING (id, raw) GROUP BY id, raw)
+SELECT DISTINCT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(form, '') END AS text, text IS DISTINCT FROM CASE WHEN text IS NOT NULL THEN coalesce(form, '') END AS changed
+FROM documents LEFT JOIN f ON f.id = doc_id AND f.raw = text"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_normalized": _forms(),
         "p2_found": _SPELLINGS,
+        "p2_classes": _SPELLINGS[: _SPELLINGS.rindex("SELECT a.value")] + "SELECT value AS product_id, min(value) OVER (PARTITION BY code) AS class_id, count(*) OVER (PARTITION BY code) AS spellings FROM k WHERE length(code) = 10",
         "p6_found": _groups() + "SELECT first_id, id FROM (SELECT id, min(id) OVER (PARTITION BY k) AS first_id FROM g WHERE k IS NOT NULL) WHERE id <> first_id",
         "p6_collapsed": _groups() + "SELECT min(id) AS id, count(*) AS copies FROM g GROUP BY CASE WHEN k IS NULL THEN id END, k",
         "p10_found": _looks(),
+        "p10_classes": _looks()[: _looks().rindex("SELECT a.id")] + "SELECT DISTINCT id AS doc_id, class_id, spellings, documents FROM l JOIN (SELECT look, min(id) AS class_id, count(DISTINCT raw) AS spellings, count(DISTINCT id) AS documents FROM l GROUP BY look) USING (look)",
     }
