@@ -158,7 +158,8 @@ def train(pairs: list[tuple[str, str]], featurizer: Featurizer, seed: int = 3) -
         add(question, a, ANSWER)
         kinds = rng.sample(range(4), 2)
         if 0 in kinds:
-            add(question, refusals.made(lang, rng), REFUSAL)
+            # a refusal is one in whatever language it is given
+            add(question, refusals.made(lang if rng.random() < 0.6 else rng.choice(list(refusals.PARTS)), rng), REFUSAL)
         if 1 in kinds:
             add(question, rng.choice(LEAD_INS) + q, ECHO)
         others = [x for x in by_lang if x != lang]
