@@ -41,7 +41,7 @@ TRAIN_PAIRS = 1200
 MOST_TRAINED = 24
 
 #: What may stand before a copied question.
-LEAD_INS = ("", "", "", "The text reads: ", "Here it is: ", "原文：", "Текст: ")
+LEAD_INS = ("The text reads: ", "Here it is: ", "Quote: ", "原文：", "原话如下：", "Текст: ", "Вот текст: ")
 _PLACEHOLDER = re.compile(r"^[\W_]*(?:null|none|n/?a|nil|nan|tbd|todo|empty|undefined|no answer|нет|пусто|无|空|暂无)?[\W_]*$", re.I)
 _CLAUSE = re.compile(r"[^.!?。！？…\n]+[.!?。！？…\n]*")
 _THOUGHT = re.compile(r"^\s*<\|channel>\s*thought\s*\n?")
@@ -83,11 +83,11 @@ class Featurizer:
     def question(self, text: str | None):
         tokens = WORD.findall((text or "").lower())
         by = self.scorer.best(tokens)[2] if len(tokens) >= 3 else None
-        return tokens, _grams(tokens, 3), _grams(tokens, 6), by
+        return f" {' '.join(tokens)} ", _grams(tokens, 3), _grams(tokens, 6), by
 
     def clauses(self, question, answer: str, broken: bool):
         """``rows of features, words per clause``; empty if the answer has no words."""
-        _, three, six, q_bits = question
+        joined, three, six, q_bits = question
         parts = [(m[0], WORD.findall(m[0].lower())) for m in _CLAUSE.finditer(answer)]
         parts = [p for p in parts if p[1]]
         if not parts:
@@ -104,6 +104,8 @@ class Featurizer:
                 for at, gram in enumerate(zip(*[tokens[j:] for j in range(k)])):
                     if gram in grams:
                         hits[at : at + k] = [True] * k
+            elif n < k and f" {' '.join(tokens)} " in joined:  # too short for a gram: copied if it stands there as a whole
+                hits = [True] * n
             cover = sum(hits) / n
             lead = 0.0
             if q_lang:
@@ -161,6 +163,7 @@ def train(pairs: list[tuple[str, str]], featurizer: Featurizer, seed: int = 3) -
             # a refusal is one in whatever language it is given
             add(question, refusals.made(lang if rng.random() < 0.6 else rng.choice(list(refusals.PARTS)), rng), REFUSAL)
         if 1 in kinds:
+            add(question, q, ECHO)
             add(question, rng.choice(LEAD_INS) + q, ECHO)
         others = [x for x in by_lang if x != lang]
         if 2 in kinds and others:
@@ -176,7 +179,7 @@ def train(pairs: list[tuple[str, str]], featurizer: Featurizer, seed: int = 3) -
             rows.append(feats), labels.append([ANSWER] * (len(feats) - 1) + [UNFINISHED])
     for lang in refusals.PARTS:
         for _ in range(20):
-            add(((), set(), set(), None), refusals.made(lang, rng), REFUSAL)
+            add(("", set(), set(), None), refusals.made(lang, rng), REFUSAL)
     x, mask = _pad(rows)
     y = np.zeros(mask.shape, int)
     for i, tags in enumerate(labels):
