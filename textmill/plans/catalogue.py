@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textmill.functions import parse, probs, records, text
 from textmill.operators import chat, features, metrics, models, quality, reports, sampling, topics
 from textmill.plans import views
-from textmill.runtime import checkpoint, prefix_sum, shared_folder, table
+from textmill.runtime import checkpoint, prefix_sum, shared_folder, stored, table
 from textmill.schemas import CLASSIFIER_STOPWORDS_ZH, SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE, STOPWORDS, STOPWORDS_EN
 from textmill.sources import readers, sinks
 
@@ -995,7 +995,8 @@ _MIX = (
 
 
 def _mixture(s, d):
-    words = topics.doc_words(table(s, d, "documents").where("lang = 'en'"), "doc_id", text.tokens_topic(F.col("text")))
+    # stored, as every step of a mixture reads the words again
+    words = stored(topics.doc_words(table(s, d, "documents").where("lang = 'en'"), "doc_id", text.tokens_topic(F.col("text"))))
     assigned = words.select("doc", (F.col("doc") % 5).cast("int").alias("cluster")).distinct()
     return words, assigned, words.select("word").distinct().count()
 
