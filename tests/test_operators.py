@@ -203,6 +203,25 @@ def test_coherence_of_words_that_always_meet(spark):
     assert npmi == {0: 1.0, 1: -1.0} and mass[0] > mass[1]
 
 
+def test_topics_and_summary_of_lda(spark):
+    docs = [(i, "cat dog pet fur") for i in range(10)] + [(i, "bolt nut steel saw") for i in range(10, 20)]
+    model, rows = topics.lda(spark.createDataFrame(docs, "d int, t string"), "d", F.split("t", " "), 2, 10)
+    top = {}
+    for r in topics.lda_topics(model, 4).collect():
+        top.setdefault(r["topic"], set()).add(r["word"])
+    assert {frozenset(w) for w in top.values()} == {frozenset(("cat", "dog", "pet", "fur")), frozenset(("bolt", "nut", "steel", "saw"))}
+    told = topics.lda_summary(model, rows)
+    assert (told["topics"], told["vocabulary"], told["documents"]) == (2, 8, 20) and told["log_perplexity"] > 0
+
+
+def test_a_language_without_a_template_is_an_error_where_asked(spark):
+    df = spark.createDataFrame([("en",), ("xx",)], "l string")
+    assert df.select(chat.system_prompt(F.col("l")).alias("p")).where("p IS NULL").count() == 1
+    assert df.where("l = 'en'").select(chat.require_language(F.col("l")).alias("l")).head()["l"] == "en"
+    with pytest.raises(Exception, match="no template for language xx"):
+        df.select(chat.require_language(F.col("l"))).collect()
+
+
 def test_latency_harness():
     rows = models.time_batches(models.stub_scorer, ["a"] * 20, (1, 8))
     assert [(s, i) for s, i, _ in rows if s == 8] == [(8, 0), (8, 1)] and len(rows) == 22

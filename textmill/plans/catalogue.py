@@ -1110,11 +1110,23 @@ def _(s, d):  # SRC-4
     return readers.csv_records(df, "original_text", "l", "r")
 
 
-@query("q_stub_annotation")
-def _(s, d):  # SRC-19, STM-4
+def _stub(rows: str) -> str:
+    """What the stub scorer says of ``rows(id, text)``, in SQL."""
+    return (
+        f"WITH r AS ({rows}), k AS (SELECT id, ifnull(length(text), 0) % 7 AS a, ifnull(length(text), 0) % 5 AS b, ifnull(length(text), 0) % 3 + 1 AS c FROM r), p AS (SELECT id, a::DOUBLE / (a + b + c) AS p0, b::DOUBLE / (a + b + c) AS p1, c::DOUBLE / (a + b + c) AS p2 FROM k) "
+        "SELECT id, round(p0, 9) AS p0, round(p1, 9) AS p1, round(p2, 9) AS p2, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)::INT AS hard_label, round(greatest(p0, p1, p2), 9) AS confidence FROM p"
+    )
+
+
+def _annotations(df):
+    return df.select("id", *(F.round(F.col("probabilities")[i], 9).alias(f"p{i}") for i in range(3)), "hard_label", F.round("confidence", 9).alias("confidence"))
+
+
+@query("q_stub_annotation", _stub("SELECT DISTINCT id, original_text AS text FROM raw_records"))
+def _(s, d):  # SRC-19, JOIN-4, ML-14, UDF-3
     from textmill.streaming.annotate import annotate
 
-    return annotate(table(s, d, "raw_records").select("id", F.col("original_text").alias("text")).distinct())
+    return _annotations(annotate(table(s, d, "raw_records").select("id", F.col("original_text").alias("text")).distinct()))
 
 
 @query("q_stream_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -1371,12 +1383,22 @@ def _(s, d):  # UDF-5, ARR-10
     return df.select("id", F.size("ids").alias("n"), features.fixed_length(F.col("ids")).alias("e")).select("id", "n", F.aggregate("e.attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
 
 
-@query("q_limited_annotation")
-def _(s, d):  # STM-4: two workers, each waits after a call; whole conversations
+@query("q_limited_annotation", _stub("SELECT DISTINCT id, text FROM conversation_rows"))
+def _(s, d):  # STM-4: eight workers, each waits after a call
     from textmill.streaming.annotate import annotate
 
     rows = table(s, d, "conversation_rows").select("id", "text").distinct()
-    return annotate(rows, workers=8, pause=0.001)
+    return _annotations(annotate(rows, workers=8, pause=0.001))
+
+
+@query(
+    "q_metrics_text",
+    _CLS + "SELECT printf('accuracy %.4f  macro F1 %.4f  rows %d', (SELECT round(avg((label = pred)::INT), 4) FROM pr), (SELECT round(sum(round(f, 4)) / 3, 4) FROM m), (SELECT count(*) FROM pr)) || "
+    "(SELECT string_agg(printf('%sclass %d: P %.4f R %.4f F1 %.4f n %d', chr(10), class, round(p, 4), round(r, 4), round(f, 4), support::BIGINT), '' ORDER BY class) FROM m) AS report",
+)
+def _(s, d):  # RPT-8, SNK-9
+    rows = _parsed(s, d)
+    return s.range(1).select(F.lit(reports.metrics_text(metrics.summary(rows), metrics.class_metrics(rows))).alias("report"))
 
 
 # ---- files written and read again: SRC-1, 5, 8, 9, 11, 13, SNK-1, 2, 5, 6, PRJ-8; FLT-14, 16, STR-16, JSN-13, STM-2, 3, 5 ----
