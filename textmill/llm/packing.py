@@ -83,7 +83,8 @@ def pack(docs: DataFrame, capacities: DataFrame, group_size: int = 1024) -> Data
     # a group per key, so a task holds one group of bounded size at a time
     keyed = docs.withColumn("g", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(groups)).cast("int"))
     # a number of partitions that is asked for is not merged by its bytes, which are few for the work behind them
-    keyed = keyed.repartition(min(groups, MOST_TASKS), "g")
+    # four to a group, so that few groups meet in one
+    keyed = keyed.repartition(min(4 * groups, MOST_TASKS), "g")
     schema = "capacity_name string, capacity_tokens int, doc_id long, piece_no int, token_start long, tokens int, container string"
     return keyed.groupBy("g").applyInPandas(lambda pdf: pd.concat(list(run(iter([pdf])))) if kinds else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")]), schema)
 
