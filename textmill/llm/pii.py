@@ -278,7 +278,7 @@ _ROLE_RU = re.compile(
 )
 _CAPITALS = re.compile(r"[A-ZА-ЯЁ][a-zа-яё'’-]+\s(?:[A-Z]\.\s)?[A-ZА-ЯЁ][a-zа-яё]")
 #: words that open a sentence or name a shop, a month or a day before a capitalised one
-_COMMON = re.compile(r"\b(?:the|this|that|customer|support|service|prime|store|shop|company|team|amazon|google|apple|black|new|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|june|july|august|september|october|november|december|when|then|after|but|and|our|my|his|her|even|служба|магазин|компания|итог|плюсы|минусы|комментарий|но|а|когда|потом|озон)\b", re.I)
+_COMMON = re.compile(r"\b(?:the|this|that|it|we|they|she|he|you|verdict|pros|cons|comment|liked|disliked|customer|support|service|prime|store|shop|company|team|amazon|google|apple|black|new|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|june|july|august|september|october|november|december|when|then|after|but|and|our|my|his|her|even|служба|магазин|компания|итог|плюсы|минусы|комментарий|но|а|когда|потом|озон)\b", re.I)
 _NOT_NAME = re.compile(
     r"^(?:the|a|an|my|our|your|this|that|it|me|you|us|them|him|her|someone|anyone|support|help|customer|service|seller|shop|store|refund|replacement|manager|agent|delivery|courier|info|details|pictures|"
     r"хозяйку|хозяина|меня|нас|вас|вам|их|магазин\w*|заказа?|заказ\w*|товара?|посылк\w*|сам\w*|не|так|уже|ничем|сказал\w*|обещал\w*|помог\w*|ответил\w*|отказал\w*|молчит|нахамил\w*)\b", re.I
