@@ -1329,7 +1329,7 @@ def _(s, d):  # ML-5, 6
 @query("q_gibbs")
 def _(s, d):  # ML-5, UDF-4: sampled on a bounded group, the rest by prediction
     docs = table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), text.tokens_topic(F.col("text")).alias("tokens"))
-    sampled = checkpoint(topics.fit_gibbs(docs, iterations=10, most_docs=400)).where("cluster >= 0")
+    sampled = checkpoint(topics.fit_gibbs(docs)).where("cluster >= 0")
     words, _, size = _mixture(s, d)
     known = words.join(sampled.select("doc"), "doc")
     got = topics.predict_mixture(docs, words, topics.cluster_words(known, sampled), topics.cluster_sizes(known, sampled, 15), size)
