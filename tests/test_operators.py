@@ -319,6 +319,25 @@ def test_window_coherence_against_brute_force(spark):
     assert topics.coherence_cv(listed, docs, 5).head()["c_v"] == pytest.approx(cos.mean(), abs=1e-5)
 
 
+def test_window_coherence_makes_no_row_per_window(spark):
+    """Long documents, rows of one id and a listed word that never stands; places and windows are counted, not listed."""
+    import numpy as np
+
+    rng = random.Random(9)
+    tokens = [[rng.choice("abcdefghijklmnop") for _ in range(n)] for n in (20_000, 3, 40, 1, 700, 40)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate([*tokens, [], None])], "doc int, tokens array<string>")
+    top = ["a", "b", "c"]
+    k, n = _cooccurrence(tokens, top, 12)
+    got = {(r["wa"], r["wb"]): r["kk"] for r in topics._window_counts([*top, "absent"], docs, 12).collect()}
+    assert got == {(None, None): n} | {(top[i], top[j]): int(k[i, j]) for i in range(3) for j in range(i, 3)}
+    p, single = k / n, np.diag(k) / n
+    pmi = np.log((p + 1e-12) / np.outer(single, single))
+    listed = spark.createDataFrame([(0, w, 0.1, i + 1) for i, w in enumerate(top)], "cluster int, word string, prob double, rank int")
+    measured = topics.coherence_uci(listed, docs, 12)
+    assert measured.head()["c_uci"] == pytest.approx(pmi[np.triu_indices(3, 1)].mean(), abs=1e-5)
+    assert "Generate" not in measured._jdf.queryExecution().toString()
+
+
 def test_gibbs_parts_two_topics_and_predicts(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice(["cat", "dog", "pet"] if i % 2 else ["nut", "bolt", "saw"]) for _ in range(6)]) for i in range(60)] + [(99, [])]

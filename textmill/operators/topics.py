@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textmill.runtime import checkpoint
+from textmill.runtime import checkpoint, stored
 from textmill.schemas import SEEDS_NEGATIVE, SEEDS_NEUTRAL, SEEDS_POSITIVE
 
 
@@ -156,32 +156,70 @@ def cluster_labels(top: DataFrame, assigned: DataFrame, tokens: DataFrame, clust
     return every.join(best, "cluster", "left").join(have, "cluster", "left").select("cluster", F.coalesce("label", "_have", F.lit(1)).cast("int").alias("label"))
 
 
-def _window_counts(top: DataFrame, tokens: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sliding windows of ``size`` tokens: windows that hold each top word, each two top words, and all windows.
+def _window_counts(listed: list[str], tokens: DataFrame, size: int) -> DataFrame:
+    """``wa, wb, kk``: sliding windows of ``size`` tokens that hold both of two ``listed`` words, ``wa <= wb``; all windows in the row of nulls.
 
-    ``tokens(doc, tokens)`` holds the token lists; windows are named by their first place. Only
-    top words are taken apart, so the rows follow their occurrences.
+    Each row of ``tokens(tokens)`` is a document. Neither windows nor places become rows: a place
+    stands in a run of windows, and between two ends of runs all windows hold the same listed words,
+    so a batch of documents is counted stretch by stretch, and a task gives one row for two words.
     """
-    listed = F.broadcast(top.select("word").distinct())
-    long = tokens.select("doc", "tokens", F.greatest(F.size("tokens") - size, F.lit(0)).alias("last")).where(F.size("tokens") > 0)
-    whole = long.agg(F.sum(F.col("last") + 1).alias("windows"))
-    places = long.select("doc", "last", F.posexplode("tokens").alias("at", "word")).join(listed, "word")
-    held = places.select("doc", "word", F.explode(F.sequence(F.greatest(F.col("at") - size + 1, F.lit(0)), F.least("at", "last"))).alias("w")).distinct()
-    single = held.groupBy("word").agg(F.count("*").alias("k"))
-    # per window its top words only, at most clusters x top of them
-    both = held.alias("x").join(held.alias("y"), ["doc", "w"]).where("x.word < y.word").groupBy(F.col("x.word").alias("wa"), F.col("y.word").alias("wb")).agg(F.count("*").alias("kk"))
-    return single, both, whole
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = sorted(listed)
+    wide = 8192  # stretches counted at once
+
+    def run(batches):
+        held, windows = np.zeros((len(names), len(names))), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(0)
+            edges = column.offsets.to_numpy().astype(np.int64)
+            words = column.values.slice(edges[0], edges[-1] - edges[0])
+            edges -= edges[0]
+            last = np.maximum(np.diff(edges) - size, 0)
+            first = np.append(0, np.cumsum(last + 1))  # of each document's windows
+            windows += int(first[-1])
+            found = pc.index_in(words, value_set=pa.array(names, words.type), skip_nulls=True)
+            at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            word = found.drop_null().to_numpy()
+            doc = np.searchsorted(edges, at, "right") - 1
+            place = at - edges[doc]
+            begin, end = first[doc] + np.maximum(place - size + 1, 0), first[doc] + np.minimum(place, last[doc]) + 1
+            cuts = np.unique(np.concatenate([begin, end]))
+            lengths = np.diff(cuts).astype(float)
+            begin, end = np.searchsorted(cuts, begin), np.searchsorted(cuts, end)
+            for left in range(0, len(lengths), wide):
+                weight = lengths[left : left + wide]
+                own = slice(np.searchsorted(end, left, "right"), np.searchsorted(begin, left + len(weight)))
+                steps = np.zeros((len(names), len(weight) + 1))
+                np.add.at(steps, (word[own], np.maximum(begin[own] - left, 0)), 1)
+                np.add.at(steps, (word[own], np.minimum(end[own] - left, len(weight))), -1)
+                there = (np.cumsum(steps[:, :-1], axis=1) > 0).astype(float)
+                held += (there * weight) @ there.T
+        a, b = np.nonzero(np.triu(held))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *(names[i] for i in a)], pa.string()), pa.array([None, *(names[i] for i in b)], pa.string()), pa.array([windows, *held[a, b].astype(np.int64).tolist()], pa.int64())],
+            names=["wa", "wb", "kk"],
+        )
+
+    parts = tokens.select("tokens").where(F.size("tokens") > 0).mapInArrow(run, "wa string, wb string, kk long")
+    return stored(parts.groupBy("wa", "wb").agg(F.sum("kk").alias("kk")))
 
 
 def _pair_measures(top: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
     """``cluster, wi, wj, ki, kj, kij, windows`` for all ordered pairs of a cluster's top words, a word with itself included."""
-    single, both, whole = _window_counts(top, tokens, size)
-    listed = top.select("cluster", "word").distinct()
+    # stored, as the steps that made the top words are long and would run again behind every use
+    listed = stored(top.select("cluster", "word").where("word IS NOT NULL").distinct())
+    counts = _window_counts([r["word"] for r in listed.select("word").distinct().collect()], tokens, size)  # at most clusters x top
+    single = counts.where("wa = wb").select(F.col("wa").alias("word"), F.col("kk").alias("k"))
+    whole = counts.where("wa IS NULL").select(F.col("kk").alias("windows"))
     pairs = listed.select("cluster", F.col("word").alias("wi")).join(listed.select("cluster", F.col("word").alias("wj")), "cluster")
     pairs = pairs.withColumn("wa", F.least("wi", "wj")).withColumn("wb", F.greatest("wi", "wj"))
-    pairs = pairs.join(both, ["wa", "wb"], "left").join(single.select(F.col("word").alias("wi"), F.col("k").alias("ki")), "wi").join(single.select(F.col("word").alias("wj"), F.col("k").alias("kj")), "wj")
-    kij = F.when(F.col("wi") == F.col("wj"), F.col("ki")).otherwise(F.coalesce("kk", F.lit(0)))
-    return pairs.withColumn("kij", kij).join(F.broadcast(whole))
+    pairs = pairs.join(counts, ["wa", "wb"], "left").join(single.select(F.col("word").alias("wi"), F.col("k").alias("ki")), "wi").join(single.select(F.col("word").alias("wj"), F.col("k").alias("kj")), "wj")
+    return pairs.withColumn("kij", F.coalesce("kk", F.lit(0))).join(F.broadcast(whole))
 
 
 def coherence_uci(top: DataFrame, tokens: DataFrame, size: int = 10) -> DataFrame:
