@@ -441,6 +441,28 @@ def test_crowds_of_near_copies_are_compared_in_full(spark, tables, monkeypatch,
     assert len(want & got) >= 0.99 * len(want) and not any(x.startswith("o") for pair in got for x in pair)
 
 
+@pytest.mark.parametrize("block", [30_000, 40])
+def test_every_close_pair_is_met(spark, tables, monkeypatch, block):
+    """Crowds about the limit of edits whose chunks nearly all have many holders, of a few words to some thousand; nothing is lost."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    rng = random.Random(17)
+    vocab = [f"word{i}" for i in range(400)]
+    rows = []
+    for size, count, least, most in ((30, 330, 2, 4), (5, 60, 0, 1), (1, 6, 0, 1), (130, 60, 8, 18), (1500, 12, 100, 220)):
+        base = [rng.choice(vocab) for _ in range(size)]
+        for _ in range(count):
+            text = list(base)
+            for _ in range(rng.randint(least, most)):
+                at = rng.randrange(len(text))
+                text[at : at + rng.choice([1, 1, 1, 0, 2])] = [rng.choice(vocab)] * rng.choice([1, 1, 1, 2])
+            rows.append((f"c{len(rows):04}", rng.choice(["train", "train", "train", "val"]), " ".join(text)))
+    folder = tables(soft_labels_reviewed=[(*r, None, 1, 0.9, "m", 1, True) for r in rows])
+    parts = [(i, split == "train", text.split()) for i, split, text in rows]
+    want = {tuple(sorted((i, j))) for i, t, a in parts if t for j, u, b in parts if not u and overlap.close(a, b)}
+    got = {tuple(r) for r in overlap.p7_found(spark, folder).collect()}
+    assert got == want and len(want) > 5000
+
+
 @pytest.mark.parametrize("count,size,edits", [(400, 20, 1), (150, 80, 8), (400, 50, 5)])
 def test_crowds_of_short_texts_and_of_spread_edits_lose_no_pair(spark, tables, count, size, edits):
     rng = random.Random(13)

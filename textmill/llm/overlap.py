@@ -1,17 +1,18 @@
 """Problem 7: records of evaluation splits that also stand, exactly or almost, in training.
 
-Texts are normalised to words (Han signs), and texts that are then equal form one class. Each
-class is cut into content-defined chunks: a chunk ends where the rolling hash of the last
-``WINDOW`` words meets a mask, so cuts move with the text. Chunk digests are joined between
-training and evaluation classes and the lengths of shared chunks are summed; a digest that more
-than ``HOT`` classes hold is not paired out. So that no pair depends on one, each class also has a
-sketch: minima of its hashed words in ``BANDS`` bands. Texts within ``CHANGED`` share at least 65 %
-of their words, of any length and wherever the edits are, and so a band with a probability of
-99.8 % at least. Holders of a band meet each other; those of one that more than ``BLOCK`` hold meet
-block by block, so a crowd of any size is compared in full and no task holds more than two blocks.
-A met pair is kept if the lengths and the single bits of the two sketches are near. Every kept
-pair is looked at once: an exact word alignment decides, and the chunks it shares give the
-overlap fraction of either record.
+Texts are normalised to words (Han signs), and texts that are then equal form one class. Every
+training class meets every evaluation class of like length, so no pair depends on a key, a sample
+or a number of holders. Classes meet as bitmaps: each word of a text, its repetitions told apart,
+turns over one bit, so the bits in which two bitmaps differ are never more than the words that one
+text has and the other has not. A pair that differs in more bits than ``CHANGED`` allows can't be
+close; an exact word alignment decides the rest. Bitmaps grow with the text, so they keep long
+texts apart as well. Classes are parted by length, as only those of like length can be close, and
+into blocks that hold no more than ``BLOCK`` bitmaps of ``BITS`` bits; a task meets one block of
+either side. The number of meetings grows with the square of the classes, a few nanoseconds each.
+
+The overlap fraction of either record of a pair comes from content-defined chunks: a chunk ends
+where the rolling hash of the last ``WINDOW`` words meets a mask, so cuts move with the text; the
+lengths of the chunks that both texts have are summed.
 
 Results for special input: null texts, texts without words and rows without a split take no
 part; split names are compared by meaning (``dev`` and ``validation`` are ``val``); repeated rows
@@ -20,10 +21,11 @@ count once. Whole texts are cut and aligned.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +37,15 @@ from textmill.runtime import stored
 
 #: Words that the rolling hash looks at, the mask it must meet, and the least and most words of a chunk.
 WINDOW, MASK, LEAST, MOST = 2, 4, 2, 16
-HOT = 48
-#: Least sum of the lengths of shared chunks against the longer text, for pairs that come from digests alone.
-SHARED = 0.1
 #: Largest share of changed, added or dropped words of the longer text.
 CHANGED = 0.21
 
-#: Bands of a sketch and the minima in each; a band is kept as one long of 16 bits a minimum.
-BANDS, ROWS = 32, 4
-SKETCH = BANDS * ROWS
-#: Counts of hashed words that a text has, a byte each.
-COUNTS = 128
-#: Classes of a band that one task meets of either side, and the most minima of a sketch that differ in four of their bits.
-BLOCK, DIFFER = 10_000, 61
+#: Least bits of a bitmap, which has four bits a word at least, and the bitmaps of so many bits that a task meets of either side.
+BITS, BLOCK = 512, 30_000
+#: Near lengths differ by a factor of less than this, so they stand in one length band or two beside each other.
+BAND = 0.78
 _BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(MOST, 0xC2B2AE3D27D4EB4F, np.uint64))
-_RNG = np.random.default_rng(23)
-_MIX = _RNG.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
 
 _JOINER = re.compile(r"(?<=[0-9a-z])[-./'’](?=[0-9a-z])")
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
@@ -172,8 +165,8 @@ def members(df: DataFrame) -> DataFrame:
 def class_pairs(rows: DataFrame) -> DataFrame:
     """``cls_t, cls_e, part_t, part_e``: different classes that are close, and their overlap fractions."""
     classes = rows.groupBy("cls", "train").agg(F.min("text").alias("text"))
-    classes = stored(classes.mapInArrow(sketched, SKETCHED))
-    pairs = within_counts(digest_pairs(classes).union(band_pairs(classes)).distinct(), classes)
+    classes = stored(classes.mapInArrow(mapped, "cls long, train boolean, text string, n int, bits binary"))
+    pairs = stored(near_pairs(classes))
     texts = classes.select("cls", "train", "text")
     both = pairs.join(texts.where("train").select(F.col("cls").alias("cls_t"), F.col("text").alias("tt")).hint("merge"), "cls_t")
     both = both.join(texts.where("NOT train").select(F.col("cls").alias("cls_e"), F.col("text").alias("te")).hint("merge"), "cls_e")
@@ -194,138 +187,113 @@ def class_pairs(rows: DataFrame) -> DataFrame:
     return both.select("cls_t", "cls_e", "tt", "te").mapInArrow(verify, "cls_t long, cls_e long, part_t double, part_e double")
 
 
-def within_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The ``pairs`` whose words, counted by hash, differ in no more than an alignment allows; short counts travel instead of texts."""
-    side = lambda s: classes.where(F.col("train") if s == "t" else ~F.col("train")).select(*(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "counts"))).hint("merge")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16) for c in ("counts_t", "counts_e"))
-            limit = np.floor(CHANGED * np.maximum(batch.column("n_t").to_numpy(), batch.column("n_e").to_numpy()))
-            step = x - y
-            keep = np.maximum(np.maximum(step, 0).sum(1), np.maximum(-step, 0).sum(1)) <= limit
-            yield batch.select(["cls_t", "cls_e"]).filter(pa.array(keep))
-
-    both = pairs.join(side("t"), "cls_t").join(side("e"), "cls_e").select("cls_t", "cls_e", "n_t", "n_e", "counts_t", "counts_e")
-    return stored(both.mapInArrow(near, "cls_t long, cls_e long"))
-
-
-def _near() -> Column:
-    return F.abs(F.col("n_t") - F.col("n_e")) <= CHANGED * F.greatest("n_t", "n_e") + 1
-
-
-def digest_pairs(classes: DataFrame) -> DataFrame:
-    """``cls_t, cls_e`` of classes whose shared chunks, met by no more than ``HOT`` classes, add up to ``SHARED`` of the longer text.
-
-    The size of the digests is in no estimate, so the joins are told to merge.
-    """
-    keys = classes.select("cls", "train", "n", F.explode(F.arrays_zip("digests", "spans")).alias("c"))
-    keys = keys.select("cls", "train", "n", F.col("c.digests").alias("digest"), F.col("c.spans").alias("span"))
-    held = keys.groupBy("digest").agg(_both_sides("k")).where(_met() & (F.shiftright("k", 32) + F.col("k") % _SIDE <= HOT)).select("digest")
-    side = lambda s: keys.where(F.col("train") if s == "t" else ~F.col("train")).select("digest", *(F.col(c).alias(f"{c}_{s}") for c in ("span", "cls", "n")))
-    pairs = side("t").join(held.hint("merge"), "digest").join(side("e").hint("merge"), "digest").where((F.col("cls_t") != F.col("cls_e")) & _near())
-    shared = pairs.groupBy("cls_t", "cls_e").agg(F.sum(F.least("span_t", "span_e")).alias("words"), F.max(F.greatest("n_t", "n_e")).alias("n"))
-    return shared.where(F.col("words") >= SHARED * F.col("n")).select("cls_t", "cls_e")
-
-
-_SIDE = 1 << 32
-
-
-def _both_sides(name: str) -> Column:
-    """Evaluation classes in the lower and training classes in the upper half of one long."""
-    return F.sum(F.when(F.col("train"), F.lit(_SIDE)).otherwise(F.lit(1))).alias(name)
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Bits that the words of a text turn over, a word's second place another bit than its first; a power of two of them."""
+    wide = BITS
+    while wide < 4 * len(hashes):
+        wide *= 2
+    ordered = np.sort(hashes)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    again = np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
+    mixed = (ordered + again.astype(np.uint64) * _SPREAD) * _BASE
+    places = ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(16)).astype(np.int64) & wide - 1
+    return np.packbits((np.bincount(places, minlength=wide) & 1).astype(np.uint8), bitorder="little")
 
 
-def _met() -> Column:
-    return (F.shiftright("k", 32) > 0) & (F.col("k") % _SIDE > 0)
-
-
-def band_pairs(classes: DataFrame) -> DataFrame:
-    """``cls_t, cls_e`` of classes that share a band, are of like length and differ in few minima of their sketches.
-
-    A band that more than ``BLOCK`` classes hold is cut into blocks, and every training block meets
-    every evaluation block in a task of its own.
-    """
-    banded = classes.select("cls", "train", "n", *PLANES, F.posexplode("sketch").alias("band", "value"))
-    banded = banded.withColumn("key", F.xxhash64("band", "value")).drop("band", "value")
-    held = banded.groupBy("key").agg(_both_sides("k")).where(_met())
-    blocks = held.select("key", F.ceil((F.shiftright("k", 32) + F.col("k") % _SIDE) / BLOCK).cast("int").alias("b"))
-
-    def side(s: str) -> DataFrame:
-        return banded.where(F.col("train") if s == "t" else ~F.col("train")).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", *PLANES)))
-
-    few, many = blocks.where("b = 1").select("key"), blocks.where("b > 1")
-    plain = side("t").join(few.hint("merge"), "key").join(side("e").hint("merge"), "key")
-    # the block of a class among those of its side, and each block of the other side
-    spread = lambda s, own, other: (
-        side(s).join(many.hint("merge"), "key").withColumn(own, F.pmod(F.xxhash64(f"cls_{s}"), F.col("b")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("b") - 1))).drop("b")
-    )
-    crowds = spread("t", "bt", "be").join(spread("e", "be", "bt").hint("merge"), ["key", "bt", "be"])
-    unlike = lambda half: F.bit_count(reduce(Column.bitwiseOR, [F.col(f"{p}_t").bitwiseXOR(F.col(f"{p}_e")) for p in PLANES if p[0] == half]))
-    alike = (F.col("cls_t") != F.col("cls_e")) & _near() & (unlike("a") + unlike("b") <= DIFFER)
-    return plain.where(alike).select("cls_t", "cls_e").union(crowds.where(alike).select("cls_t", "cls_e"))
-
-
-#: Bits 5 to 8 of the minima of either half of a sketch, a long each.
-PLANES = tuple(f"{half}{k}" for half in "ab" for k in range(5, 9))
-SKETCHED = "cls long, train boolean, text string, n int, " + ", ".join(f"{p} long" for p in PLANES) + ", sketch array<long>, counts binary, digests array<long>, spans array<int>"
-
-
-def sketches(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """``SKETCH`` minima of each text's hashed words, 16 bits each; a word's second place counts as another word."""
-    sizes = np.diff(ends)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, owner))
-    first = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1]))
-    places = np.arange(len(order))
-    again = np.empty(len(order), np.uint64)
-    again[order] = places - np.maximum.accumulate(np.where(first, places, 0))
-    mixed = (hashes + again * _SPREAD) * _BASE
-    small = ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(16)).astype(np.uint32)
-    out = np.empty((len(sizes), SKETCH), np.uint16)
-    at = 0
-    while at < len(sizes):  # some thousand words at a time, so the products stay in the cache
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + 2048, "right")) - 1)
-        least = np.full((upto - at, SKETCH), 0xFFFFFFFF, np.uint32)
-        for part in range(ends[at], ends[upto], 65_536):
-            stop = min(part + 65_536, ends[upto])
-            starts = np.maximum(ends[at:upto], part) - part
-            held = starts < stop - part
-            found = np.minimum.reduceat(small[part:stop, None] * _MIX + _ADD, starts[held])
-            least[held] = np.minimum(least[held], found)
-        out[at:upto] = least
-        at = upto
-    return out
-
-
-def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the number of words, four bits of each minimum, the bands, the counts of hashed words and the chunks."""
+def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of words and the bitmap."""
     for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
         hashed = [word_hashes(words(text)) for text in batch.column("text").to_pylist()]
-        sizes = np.array([len(h) for h in hashed], np.int64)
-        held = np.flatnonzero(sizes)
-        ends = np.append(0, np.cumsum(sizes[held]))
-        every = np.concatenate([np.empty(0, np.uint64), *hashed])
-        minima = sketches(every, ends) if len(held) else np.empty((0, SKETCH), np.uint16)
-        planes = np.zeros((rows, len(PLANES)), np.int64)
-        for k, (half, bit) in enumerate((half, bit) for half in (slice(0, 64), slice(64, 128)) for bit in range(5, 9)):
-            planes[held, k] = np.packbits(minima[:, half] >> bit & 1, axis=1).view(np.int64)[:, 0]
-        counts = np.zeros((rows, COUNTS), np.int64)
-        np.add.at(counts, (np.repeat(np.arange(rows), sizes), (every >> np.uint64(20)).astype(np.int64) & COUNTS - 1), 1)
-        parts = [chunk_digests(h) for h in hashed]
-        lists = lambda lengths, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values))
-        chunked = [len(d) for d, _ in parts]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(sizes, pa.int32()), *(pa.array(planes[:, k]) for k in range(len(PLANES))), lists(BANDS * (sizes > 0), minima.view(np.int64).ravel()),
-             pa.array([row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8)], pa.binary()),
-             lists(chunked, np.concatenate([d for d, _ in parts])), lists(chunked, np.concatenate([n for _, n in parts]))],
-            names=["cls", "train", "text", "n", *PLANES, "sketch", "counts", "digests", "spans"],
-        )
+        bits = pa.array([bitmap(h).tobytes() if len(h) else b"" for h in hashed], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(h) for h in hashed], pa.int32()), bits], names=["cls", "train", "text", "n", "bits"])
+
+
+def near_pairs(classes: DataFrame) -> DataFrame:
+    """``cls_t, cls_e`` of all different classes across the splits whose lengths and bitmaps are near enough to be close, each pair once."""
+    kept = classes.where("n > 0").select("cls", "train", "n", "bits", F.floor(F.log("n") / -math.log(BAND)).cast("int").alias("band"))
+    held = {(r["band"], r["train"]): r["size"] for r in kept.groupBy("band", "train").agg(F.sum(F.length("bits")).alias("size")).collect()}  # tens of rows
+    cells = []
+    for band in sorted(k for k, train in held if train):
+        beside = sum(held.get((band + step, False), 0) for step in (-1, 0, 1))
+        if beside:
+            cells.append((band, *(-(-size * 8 // (BITS * BLOCK)) for size in (held[band, True], beside))))
+    blocks = F.broadcast(classes.sparkSession.createDataFrame(cells, "band int, bt int, be int"))
+    # an evaluation class meets the training classes of its length band and of those beside it
+    beside = kept.where("NOT train").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in its block among those of its side, and in each block of the other side."""
+        placed = rows.join(blocks, "band").withColumn(own, F.pmod(F.xxhash64("cls"), F.col(f"b{own}")).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"b{other}") - 1))).select("band", "t", "e", "train", "cls", "n", "bits")
+
+    tasks = max(1, sum(bt * be for _, bt, be in cells))
+    spread = side(kept.where("train"), "t", "e").union(side(beside, "e", "t")).repartition(tasks, "band", "t", "e")
+    return spread.sortWithinPartitions("band", "t", "e").mapInArrow(met, "cls_t long, cls_e long")
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The near pairs of each cell; a cell's rows follow each other."""
+    key, held = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "t", "e")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for start, stop in pairwise(cuts):
+            if start < stop:
+                now = tuple(keys[:, start].tolist())
+                if now != key and held:
+                    yield from cell_pairs(pa.Table.from_batches(held))
+                    held = []
+                key = now
+                held.append(batch.slice(start, stop - start))
+    if held:
+        yield from cell_pairs(pa.Table.from_batches(held))
+
+
+def cell_pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell's training and evaluation rows whose bitmaps differ in no more bits than their lengths allow."""
+    train, cls, n = (cell.column(c).to_numpy() for c in ("train", "cls", "n"))
+    bits = cell.column("bits").to_pylist()
+    sizes = np.array([len(x) for x in bits])
+    wide = int(sizes.min()) // 8
+    planes = np.empty((wide, len(bits)), np.uint64)
+    for size in np.unique(sizes):  # longer bitmaps are folded to the shortest
+        at = np.flatnonzero(sizes == size)
+        folded = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1, wide)
+        planes[:, at] = np.bitwise_xor.reduce(folded, axis=1).T
+    limit = np.floor(CHANGED * n).astype(np.int32)
+    few, many = sorted((np.flatnonzero(train), np.flatnonzero(~train)), key=len)
+    many = many[np.argsort(n[many], kind="stable")]
+    across, lengths, limits, ids = np.ascontiguousarray(planes[:, many]), n[many], limit[many], cls[many]
+    # lengths less their limit never fall as lengths grow, so the near ones stand together
+    starts = np.searchsorted(lengths, n[few] - limit[few])
+    stops = np.searchsorted(lengths - limits, n[few], "right")
+    some = 3 * wide // 8  # planes that rule out nearly all
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        one, other = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        t, e = (one, other) if len(few) and train[few[0]] else (other, one)
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(e)], names=["cls_t", "cls_e"])
+
+    for i, start, stop in zip(few.tolist(), starts.tolist(), stops.tolist()):
+        if start >= stop:
+            continue
+        near = lengths[start:stop]
+        allowed = 2 * np.maximum(limits[start:stop], limit[i]) - np.abs(near - n[i])
+        differ = np.zeros(stop - start, np.uint8 if some < 4 else np.uint32)
+        for k in range(some):
+            differ += np.bitwise_count(across[k, start:stop] ^ planes[k, i])
+        at = np.flatnonzero(differ <= allowed)
+        rest = np.bitwise_count(across[some:, start + at] ^ planes[some:, i, None]).sum(0, dtype=np.int64)
+        at = at[(differ[at] + rest <= allowed[at]) & (ids[start + at] != cls[i])]
+        if len(at):
+            found.append((np.full(len(at), cls[i]), ids[start + at]))
+            size += len(at)
+        if size > 100_000:
+            yield batch()
+            found, size = [], 0
+    yield batch()
 
 
 def cross_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
